@@ -9,6 +9,9 @@ A manifest beside the files gives each shard's number of ids and the ids before
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import zlib
 from itertools import chain
 
@@ -25,7 +28,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words remembered with their ids in a task, and the longest of them in bytes; the memory
 #: is emptied when full, which changes no result.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
+_MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
+_LETTERS_THEN_MARKS = re.compile(rb"([a-z]+)([!#-&*-/:-@^_|~]+)")
 WRITE_OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(32 << 20),
@@ -40,52 +45,87 @@ WRITE_OPTIONS = {
 
 
 class WordEncoder:
-    """Encodes whole texts word by word.
+    """Encodes whole texts word by word, remembering words.
 
-    The tokenizer splits at white space before anything else, so the ids of a text are
-    those of its white-space words in order.  Texts with a vertical tab or form feed, whose
-    class depends on the regex engine, are encoded in one piece.
+    The tokenizer lower-cases, then splits at white space and between letters and other
+    characters before anything else, so the ids of a text are those of its white-space
+    words in order, and those of ``word,`` are those of ``word`` and ``,``.  Texts with a
+    vertical tab or form feed, whose class depends on the regex engine, and texts that may
+    hold a special token are encoded in one piece.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def _ids(self, words: list[bytes]) -> list[list[int]]:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [e.ids for e in got]
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        if b"\x0b" in text or b"\x0c" in text:
-            return np.array(self._ids([text])[0], np.int32)
-        words, known = text.split(), self.known
-        try:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, self._ids(new)))
-        ids = np.fromiter(chain.from_iterable(found[w] if w in found else known[w] for w in words), np.int32)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        if len(new) <= REMEMBERED:
-            known.update((w, v) for w, v in found.items() if len(w) <= REMEMBERED_BYTES)
-        return ids
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.is_end[i] = token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _simple_ids(self, words: list[bytes]) -> list[bytes]:
+        """Of words that are letters only or marks only: one call for all, cut at the tokens
+        that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int32)
+        cuts = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+        if len(cuts) != len(words):
+            return self._ids([w.decode() for w in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, parts, pairs = self.known, set(), []
+        for w in words:
+            if m := _LETTERS_THEN_MARKS.fullmatch(w):
+                pairs.append((w, *m.groups()))
+                parts.update(m.groups())
+            else:
+                parts.add(w)
+        simple, whole = [], []
+        for w in parts.difference(known):
+            (simple if w.isalpha() or _MARKS.fullmatch(w) or w.decode().isalpha() else whole).append(w)
+        if simple:
+            known.update(zip(simple, self._simple_ids(simple)))
+        if whole:
+            known.update(zip(whole, self._ids([w.decode() for w in whole])))
+        known.update([(w, known[a] + known[b]) for w, a, b in pairs])
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        plain = [not (b"\x0b" in t or b"\x0c" in t or b"<|" in t) for t in texts]
+        words = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
+        new = set(chain.from_iterable(words)).difference(self.known)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(chain.from_iterable(words))
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, w)) if p else self._ids([t.decode()])[0] for w, p, t in zip(words, plain, texts)]
+        for w in new:
+            if len(w) > REMEMBERED_BYTES:
+                self.known.pop(w)
+        return [np.frombuffer(ids, np.int32) for ids in out]
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which later tasks use again."""
+    kept = sys.modules.setdefault("_clausemill_encoders", types.ModuleType("_clausemill_encoders")).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def _encoder(path: str, end_id: int):
     def run(batches):
-        encode, shard, total = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, shard, total = worker_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             column = batch.column("text").fill_null("").cast(pa.binary())
             # rows go out in pieces, so that a batch of long texts stays small
             for lo in range(0, len(column), 512):
-                ids = [np.append(encode(x.as_py()), np.int32(end_id)) for x in column[lo : lo + 512]]
+                ids = [np.append(x, np.int32(end_id)) for x in encode(column[lo : lo + 512].to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
