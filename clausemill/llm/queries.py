@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, mixing, quality, token_output, toxicity, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,12 +52,14 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op5_token_output": op5_token_output,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op10_licenses": op10_licenses,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
 }
