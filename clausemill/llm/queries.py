@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, licenses, mixing, quality, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, lm_scoring, mixing, quality, token_output, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_output": op5_token_output,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
@@ -59,6 +64,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op4_lm_scoring": lm_scoring.ORACLE_SQL,
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
