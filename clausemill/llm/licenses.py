@@ -92,7 +92,8 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
     docs = documents.filter("doc_id IS NOT NULL").select("doc_id", lower.alias("t")).filter(F.col("t").rlike("|".join(needed)))
     words = F.filter(F.split(F.col("t"), "[^a-z0-9]+", -1), lambda w: w != "")
     docs = save(docs.select("doc_id", F.xxhash64("t").alias("row"), words.alias("words")).filter(F.size("words") > 0).dropDuplicates(["doc_id", "row"]))
-    # shingles in order: the words shifted against themselves, so that no lambda looks back into the array
+    # dealt by document: grouping and joining by document and window then need no further exchange
+    docs = docs.repartition("doc_id", "row")
     n = F.size("words")
     place = F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, SHINGLE), " ")))
     shingles = docs.select("doc_id", "row", place.alias("place", "shingle"))
