@@ -106,16 +106,20 @@ class VoteCounter:
 
 
 def _votes(voters):
+    """Of each row, the logarithms of 1 + hits for all voters."""
+
     def run(batches):
         count = VoteCounter(voters.value)
         for batch in batches:
-            out: list[list[float]] = []
+            parts = [np.empty((0, len(voters.value)), np.float32)]
             for _, raw, offsets in text_blocks(batch.column("text")):
-                m = np.zeros((len(offsets) - 1, len(voters.value)))
+                m = np.zeros((len(offsets) - 1, len(voters.value)), np.float32)
                 row, voter, n = count(raw, offsets)
                 m[row, voter] = np.log1p(n)
-                out.extend(m.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.float64()))], ["label", "hits"])
+                parts.append(m)
+            m = np.concatenate(parts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "hits"])
 
     return run
 
@@ -130,11 +134,10 @@ def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> n
         prior = p.mean()
         on = (p @ x + 0.5) / (p.sum() + 1)  # P(fires | toxic)
         off = ((1 - p) @ x + 0.1) / ((1 - p).sum() + 1)  # P(fires | clean)
-        # correlations within the classes
+        # correlations within the classes, from weighted second moments
         covariance = np.zeros((x.shape[1],) * 2)
-        for w, mean in ((p, on), (1 - p, off)):
-            d = (x - mean) * np.sqrt(w)[:, None]
-            covariance += d.T @ d
+        for w, mean in ((p, p @ x / p.sum()), (1 - p, (1 - p) @ x / (1 - p).sum())):
+            covariance += (x * w[:, None]).T @ x - w.sum() * np.outer(mean, mean)
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
         r = np.abs(covariance / scale[:, None] / scale)
         np.fill_diagonal(r, 0)
@@ -164,23 +167,28 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int
     spark = documents.sparkSession
     train = training_labels(labels, label, most)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = save(docs.join(F.broadcast(train), "doc_id").select("label", "text"))  # at most `most` ids are broadcast
+    rows = save(docs.join(F.broadcast(train), "doc_id").select("doc_id", "label", "text"))  # at most `most` ids are broadcast
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     border = float(np.log(THRESHOLD / (1 - THRESHOLD)))
     if not n or ones in (0, n):
         voters = np.unique(np.array([hash_word(w) for w in SEED_LEXICON], np.uint64))
         return Model(voters, np.full(len(voters), 4.0), border - 2.0)
     voters = mine_voters(rows, int(ones), int(n - ones))
-    # a bounded sample: at most `most` rows with one number for each voter
-    votes = rows.mapInArrow(_votes(spark.sparkContext.broadcast(voters)), "label double, hits array<double>").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    votes = save(rows.mapInArrow(_votes(spark.sparkContext.broadcast(voters)), f"doc_id {kind}, label double, hits array<float>"))
     drop_saved(rows)
-    hits, y = np.stack(votes["hits"].to_numpy()), votes["label"].to_numpy()
+    # a bounded sample: at most `most` rows with one number for each voter
+    sample = votes.toArrow()
+    ids, y = sample["doc_id"], sample["label"].to_numpy()
+    hits = sample["hits"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     p = label_model(hits > 0, y)
-    data = [(float(c), float(w), v) for v, w1 in zip(hits.tolist(), p.tolist()) for c, w in ((1.0, w1), (0.0, 1 - w1)) if w > 1e-4]
-    frame = spark.createDataFrame(pa.table({"label": [d[0] for d in data], "weight": [d[1] for d in data], "hits": [d[2] for d in data]}))
-    frame = frame.select("label", "weight", array_to_vector("hits").alias("features")).coalesce(4).cache()
+    posterior = spark.createDataFrame(pa.table({"doc_id": ids, "p": p})).groupBy("doc_id").agg(F.max("p").alias("p"))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
+    frame = votes.select("doc_id", "hits").join(F.broadcast(posterior), "doc_id").select("hits", both.alias("x"))
+    frame = frame.filter("x.weight > 1e-4").select(array_to_vector("hits").alias("features"), "x.label", "x.weight").coalesce(4).cache()
     linear = LogisticRegression(regParam=0.002, maxIter=40, weightCol="weight", standardization=False).fit(frame)
     frame.unpersist()
+    drop_saved(votes)
     weights = linear.coefficients.toArray()
     return Model(voters, weights, border - _best_border(hits @ weights, y))
 
