@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, licenses, lm_scoring, mixing, quality, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, lm_scoring, mixing, neighbours, quality, token_output, toxicity, url_filter
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_neighbours": op9_neighbours,
     "op10_licenses": op10_licenses,
 }
 ORACLE_SQL = {
