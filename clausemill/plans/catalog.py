@@ -1,4 +1,4 @@
 """All queries over the reference tables."""
 
-from . import finance_queries, retrieval_queries  # noqa: F401
+from . import finance_queries, retrieval_queries, review_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
