@@ -21,8 +21,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
-
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
 WORD = re.compile(r"[a-z0-9]+")
 #: Notices that are looked for: name and text.
@@ -68,14 +66,34 @@ def needed_words(templates: dict[str, str]) -> list[str]:
     return sorted(out)
 
 
-def _hash(shingle: Column, band: int) -> Column:
-    return F.xxhash64(shingle, F.lit(band))
+def _shingle(words: Column, place: Column) -> Column:
+    """The shingle of a place, counted from 1."""
+    return F.array_join(F.slice(words, place, SHINGLE), " ")
+
+
+def _signature(shingles: Column) -> Column:
+    """The MinHash values of an array of shingles, one for each band."""
+
+    def least(k):
+        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k))))
+
+    return F.array(*(least(k) for k in range(BANDS)))
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
-    """(license, size, width, shingle)."""
-    rows = [(name, len(s), size_class(len(s)), x) for name, text in templates.items() if (s := shingle_set(text)) for x in sorted(s)]
-    return spark.createDataFrame(rows, "license string, size int, width int, shingle string")
+    """(license, size, width, known): a template's shingles and the class it belongs to."""
+    rows = [(name, len(s), size_class(len(s)), sorted(s)) for name, text in templates.items() if (s := shingle_set(text))]
+    return spark.createDataFrame(rows, "license string, size int, width int, known array<string>")
+
+
+def band_shingles(known: DataFrame) -> list[int]:
+    """Hashes of the shingles that give a template the value of some band."""
+
+    def least(k):
+        return F.array_min(F.transform("known", lambda x: F.struct(F.xxhash64(x, F.lit(k)), F.xxhash64(x).alias("h"))))["h"]
+
+    rows = known.select(F.explode(F.array_distinct(F.array(*(least(k) for k in range(BANDS))))).alias("h")).distinct()
+    return sorted(r.h for r in rows.collect())  # at most BANDS for each template
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
@@ -83,43 +101,54 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
     ``threshold`` of the shingles lie in one window of the document, with the best window's
     share and the place of its first word; a row for each pair of document and template.
 
+    A window whose value in a band is that of a template holds the shingle that gives the
+    template this value.  So signatures are computed of the windows that hold such a shingle;
+    no other window can meet a template in any band.  All that happens beside the document's
+    row; the best matches alone are shuffled.
+
     Null and empty texts and null ids match nothing; repeated rows give one result; other
     columns are ignored; no templates give an empty result.
     """
     spark = documents.sparkSession
+    known = template_table(spark, templates)  # templates are code: one row each
+    widths = sorted({size_class(len(s)) for t in templates.values() if (s := shingle_set(t))}) or [1]
+    steps = [max(1, w // 2) for w in widths]
     lower = F.lower(F.col("text").cast("string"))
     needed = needed_words(templates) or ["\0"]
     docs = documents.filter("doc_id IS NOT NULL").select("doc_id", lower.alias("t")).filter(F.col("t").rlike("|".join(needed)))
-    words = F.filter(F.split(F.col("t"), "[^a-z0-9]+", -1), lambda w: w != "")
-    docs = save(docs.select("doc_id", F.xxhash64("t").alias("row"), words.alias("words")).filter(F.size("words") > 0).dropDuplicates(["doc_id", "row"]))
-    # dealt by document: grouping and joining by document and window then need no further exchange
-    docs = docs.repartition("doc_id", "row")
-    n = F.size("words")
-    place = F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("words"), i, SHINGLE), " ")))
-    shingles = docs.select("doc_id", "row", place.alias("place", "shingle"))
-    # templates are code: a few hundred rows
-    known = template_table(spark, templates)
-    widths = sorted({size_class(len(s)) for t in templates.values() if (s := shingle_set(t))}) or [1]
-    spans = F.explode(F.array(*(F.struct(F.lit(w).alias("width"), F.lit(max(1, w // 2)).alias("step")) for w in widths)))
-    windows = shingles.select("*", spans.alias("span")).select("doc_id", "row", "place", "shingle", "span.*")
-    # windows that hold the place: from place - width - step + 1 on, at multiples of step
-    first = F.greatest(F.lit(0), F.ceil((F.col("place") - F.col("width") - F.col("step") + 1) / F.col("step"))).cast("int")
-    last = F.floor(F.col("place") / F.col("step")).cast("int")
-    windows = windows.select("doc_id", "row", "width", "place", "shingle", F.explode(F.sequence(first, last)).alias("window"))
-
-    bands = [F.min(_hash(F.col("shingle"), k)).alias(f"b{k}") for k in range(BANDS)]
-    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col(f"b{k}").alias("value")) for k in range(BANDS)))).alias("x")
-    signs = known.groupBy("license", "size", "width").agg(*bands).select("license", "size", "width", listed).select("license", "size", "width", "x.*")
-    found = windows.groupBy("doc_id", "row", "width", "window").agg(*bands).select("doc_id", "row", "width", "window", listed).select("doc_id", "row", "width", "window", "x.*")
-    candidates = found.join(F.broadcast(signs), ["width", "band", "value"]).select("doc_id", "row", "width", "window", "license", "size").distinct()
-    same = windows.join(F.broadcast(known.select("license", "width", "shingle")), ["width", "shingle"])
-    verified = (
-        same.join(candidates, ["doc_id", "row", "width", "window", "license"])
-        .groupBy("doc_id", "row", "license", "size", "window")
-        .agg(F.count_distinct("shingle").alias("held"), F.min("place").alias("first_word"))
-        .withColumn("containment", F.col("held") / F.col("size"))
-        .filter(F.col("containment") >= threshold - 1e-9)
-    )
+    docs = docs.select("doc_id", F.filter(F.split("t", "[^a-z0-9]+", -1), lambda w: w != "").alias("words"))
+
+    words = F.col("words")
+    places = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
+    marks = band_shingles(known)
+    marked = F.filter(F.sequence(F.lit(1), places), lambda i: F.xxhash64(_shingle(words, i)).isin(marks))
+
+    def around(i):
+        """Numbers of the windows of all classes that hold place i: window * classes + class."""
+
+        def of_class(k, width, step):
+            first = F.greatest(F.lit(0), F.ceil((i - width - step) / step).cast("int"))
+            last = F.floor((i - 1) / step).cast("int")
+            return F.transform(F.sequence(first, last), lambda w: w.cast("long") * len(widths) + k)
+
+        return F.concat(*(of_class(k, *x) for k, x in enumerate(zip(widths, steps))))
+
+    def cut(number):
+        k = (number % len(widths)).cast("int") + 1
+        width, step = (F.element_at(F.array(*map(F.lit, x)), k) for x in (widths, steps))
+        begin = (F.floor(number / len(widths)) * step).cast("int")  # from 0
+        end = F.least(begin + width + step, places)
+        return F.struct(width.alias("width"), begin.alias("begin"), F.transform(F.sequence(begin + 1, end), lambda i: _shingle(words, i)).alias("held"))
+
+    numbers = F.array_distinct(F.flatten(F.transform(marked, around)))
+    windows = docs.select("doc_id", F.inline(F.transform(numbers, cut)))
+    bands = windows.select("doc_id", "begin", "width", "held", F.posexplode(_signature(F.col("held"))).alias("band", "value"))
+    signs = known.select("license", "size", "width", "known", F.posexplode(_signature(F.col("known"))).alias("band", "value"))
+    found = bands.join(F.broadcast(signs), ["width", "band", "value"])  # BANDS rows for each template
+    inside = F.filter(F.sequence(F.lit(0), F.size("held") - 1), lambda i: F.array_contains("known", F.get("held", i)))
+    verified = found.select(
+        "doc_id", "license", (F.size(F.array_intersect("held", "known")) / F.col("size")).alias("containment"), (F.col("begin") + F.array_min(inside)).alias("first_word")
+    ).filter(F.col("containment") >= threshold - 1e-9)
     best = F.max_by(F.struct("containment", "first_word"), F.struct("containment", -F.col("first_word"))).alias("best")
     return verified.groupBy("doc_id", "license").agg(best).select("doc_id", "license", "best.*")
 
