@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,13 @@ def drop_saved(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of jobs whose results are saved: it does so once the
+    driver's references are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 3; rows with 1 are held out of training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
@@ -86,6 +94,7 @@ def components(links: DataFrame) -> DataFrame:
         changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
         drop_saved(made)
         made = edges = new
+        free_shuffles(edges.sparkSession)
         if not changed:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

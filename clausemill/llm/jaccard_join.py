@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, drop_saved, save
+from .common import components, drop_saved, free_shuffles, save
 from .words import LOWER, NON_SPACE, WordHasher, ngram_hashes, text_blocks, word_borders
 
 SHINGLE, PERCENT = 5, 80
@@ -224,12 +224,15 @@ class Classes:
         least = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"))
         nodes = save(least.withColumn("node", F.monotonically_increasing_id()))
         self.nodes = nodes.select("node", "digest", "doc_id", "n_shingles")
+        free_shuffles(spark)
 
         shared = nodes.select(F.explode("prefix").alias("shingle"), "node")
         first = shared.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("shingle", "leader")
         stars = shared.join(first, "shingle").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         families = components(stars)
         families = save(families.select(F.col("id").alias("node"), F.col("component").alias("family")))
+        del shared, first, stars
+        free_shuffles(spark)
         if families.isEmpty():
             self.linked = spark.createDataFrame([], "node long, component long")
             return
@@ -240,10 +243,14 @@ class Classes:
         hashed = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         first_pass = texts.select("family", hashed.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"), "text")
         links = save(_joined(first_pass, percent))
+        del first_pass
+        free_shuffles(spark)
         if not members.filter("blocks > 1").isEmpty():
             found = components(links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
             wide = texts.filter("blocks > 1").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             wide = save(wide)
+            drop_saved(texts)
+            free_shuffles(spark)
             by = wide.groupBy("family", "comp").agg(F.count("*").alias("n"))
             main = by.groupBy("family").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
             main = main.filter("all > most").withColumn("outer", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
@@ -253,6 +260,9 @@ class Classes:
             every = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("block"), hashed.alias("mates"), F.lit(1).alias("side"), "node", "comp", "text")
             more = save(_joined(queries.unionByName(every), percent))
             links = links.unionByName(more)
+            del queries, every, open_, main, by
+            drop_saved(wide)
+            free_shuffles(spark)
         self.linked = save(components(links).select(F.col("id").alias("node"), "component"))
 
     @staticmethod

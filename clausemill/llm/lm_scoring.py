@@ -23,15 +23,14 @@ its count row carries v alone.
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import free_shuffles, save
 from .words import ALNUM, LOWER, WordHasher, mix, text_blocks, word_borders
 
 BACKOFF, MIN_COUNT = 0.4, 2
@@ -110,13 +109,6 @@ def _sizes(batches):
         yield batch.select(["doc_id", "row"]).append_column("n_words", pa.array(np.concatenate(n) if n else np.empty(0, np.int64)))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of jobs whose results are saved: it does so once the
-    driver's references are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def count_table(docs: DataFrame, order: int, part: int = 0, ranges: int = 1) -> DataFrame:
     """(key, n, v) of all n-grams of a range of keys; v is the first word."""
     rows = docs.select("text").mapInArrow(_counts(order, part, ranges), "key long, n long, v long")

@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save
-from .lm_scoring import free_shuffles
+from .common import drop_saved, free_shuffles, save
 
 TOP, QUERY_MODULO = 20, 20
 #: Neighbours in the graph, trees, rows of a leaf, rounds of descent, and nodes that a query
