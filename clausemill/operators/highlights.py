@@ -50,6 +50,7 @@ def valid_candidates(candidates: DataFrame, findings: DataFrame, spans: DataFram
 
 
 def apply_corrections(spans: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Spans with the text of their latest correction (span_id, revision, corrected_text)."""
-    last = corrections.groupBy("span_id").agg(F.max_by("corrected_text", "revision").alias("corrected_text"))
+    """Spans with the text of their latest correction (span_id, revision, corrected_text); of equal
+    revisions the larger text counts."""
+    last = corrections.groupBy("span_id").agg(F.max_by("corrected_text", F.struct("revision", "corrected_text")).alias("corrected_text"))
     return spans.join(last, "span_id", "left").withColumn("text", F.coalesce("corrected_text", "text")).drop("corrected_text")

@@ -37,7 +37,7 @@ def priority(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.round(mean, 9), 0).cast("int"))).alias("review_priority"), F.round(F.max("score"), 6).alias("top_score"))
 
 
-def confidence_breakdown(signals: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+def confidence_breakdown(signals: DataFrame, flags: DataFrame, key: str, digits: int = 6) -> DataFrame:
     """Weighted geometric mean of reading, evidence and completeness.  ``flags``: (key,
     n_flags), the missing-input and opacity flags of a document."""
     sums = signals.groupBy(key).agg(F.avg("confidence").alias("reading"), F.avg(F.col("score_eligible").cast("double")).alias("density"))
@@ -48,7 +48,7 @@ def confidence_breakdown(signals: DataFrame, flags: DataFrame, key: str) -> Data
     })
     a, b, c = CONFIDENCE_WEIGHTS
     overall = F.pow("reading", F.lit(a)) * F.pow("evidence", F.lit(b)) * F.pow("completeness", F.lit(c))
-    return out.select(key, *(F.round(x, 6).alias(x) for x in ("reading", "evidence", "completeness")), F.round(overall, 6).alias("overall"))
+    return out.select(key, *(F.round(x, digits).alias(x) for x in ("reading", "evidence", "completeness")), F.round(overall, digits).alias("overall"))
 
 
 def flag_penalty(flags: Column, weights: dict[str, float]) -> Column:

@@ -136,10 +136,12 @@ _FLAGS = "fl AS (SELECT c_custkey AS doc, coalesce(n, 0) % 5 AS n_flags FROM cus
 @query(f"""
 WITH {GROUND_SQL}, {_FLAGS}, a AS (SELECT doc, avg(confidence) AS r, avg(CAST(score_eligible AS INTEGER)) AS d FROM gr GROUP BY doc),
 b AS (SELECT doc, coalesce(r, 1.0) AS r, least(1.0, 0.75 * coalesce(d, 1.0)) AS e, 1 - least(1.0, n_flags * 0.1) AS c FROM fl LEFT JOIN a USING (doc))
-SELECT doc, round(r, 6) AS reading, round(e, 6) AS evidence, round(c, 6) AS completeness, round(pow(r, 0.3) * pow(e, 0.4) * pow(c, 0.3), 6) AS overall FROM b
+SELECT doc, round(r + 1e-9, 6) AS reading, round(e + 1e-9, 6) AS evidence, round(c + 1e-9, 6) AS completeness, round(pow(r, 0.3) * pow(e, 0.4) * pow(c, 0.3) + 1e-9, 6) AS overall FROM b
 """)
 def confidence_breakdown(spark, sf):
-    return sc.confidence_breakdown(grounded(spark, sf), flags(spark, sf), "doc")
+    """Shifted by 1e-9 before rounding, so that sums in another order don't tip halves."""
+    out = sc.confidence_breakdown(grounded(spark, sf), flags(spark, sf), "doc", 12)
+    return out.select("doc", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns if c != "doc"))
 
 
 def flags(spark, sf):
@@ -394,7 +396,7 @@ def _highlight_input(spark, sf):
     return texts, ranges
 
 
-_SEG = f"WITH {_HL}, ct AS (SELECT doc, s AS at FROM rg UNION SELECT doc, e FROM rg UNION SELECT doc, 0 FROM tx UNION SELECT doc, length(text) FROM tx), pt AS (SELECT doc, at AS s, lead(at) OVER (PARTITION BY doc ORDER BY at) AS e FROM ct), sg AS (SELECT doc, pt.s, pt.e, coalesce((SELECT string_agg(DISTINCT label, '+' ORDER BY label) FROM rg WHERE rg.doc = pt.doc AND rg.s <= pt.s AND rg.e >= pt.e), '') AS labels FROM pt WHERE e IS NOT NULL)"
+_SEG = f"WITH {_HL}, ct AS (SELECT doc, s AS cut FROM rg UNION SELECT doc, e FROM rg UNION SELECT doc, 0 FROM tx UNION SELECT doc, length(text) FROM tx), pt AS (SELECT doc, cut AS s, lead(cut) OVER (PARTITION BY doc ORDER BY cut) AS e FROM ct), sg AS (SELECT doc, pt.s, pt.e, coalesce((SELECT string_agg(DISTINCT label, '+' ORDER BY label) FROM rg WHERE rg.doc = pt.doc AND rg.s <= pt.s AND rg.e >= pt.e), '') AS labels FROM pt WHERE e IS NOT NULL)"
 
 
 @query(f'{_SEG} SELECT doc, s AS start, e AS "end", labels FROM sg')
@@ -419,10 +421,10 @@ def span_offsets(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS k, arg_max(l_returnflag, l_linenumber) AS c FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) SELECT o_orderkey AS span_id, coalesce(c, o_orderstatus) AS text FROM orders LEFT JOIN c ON k = o_orderkey
+WITH c AS (SELECT l_orderkey AS k, max(struct_pack(n := l_linenumber, c := l_returnflag)).c AS c FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) SELECT o_orderkey AS span_id, coalesce(c, o_orderstatus) AS text FROM orders LEFT JOIN c ON k = o_orderkey
 """)
 def span_corrections(spark, sf):
-    """The latest correction of each span, others as they were."""
+    """The latest correction of each span (of equal revisions the larger text), others as they were."""
     spans = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("span_id"), F.col("o_orderstatus").alias("text"))
     fixes = read_table(spark, sf, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("span_id"), F.col("l_linenumber").alias("revision"), F.col("l_returnflag").alias("corrected_text"))
     return hl.apply_corrections(spans, fixes)
