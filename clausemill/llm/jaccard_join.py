@@ -6,19 +6,22 @@ sets' Jaccard similarity is 0.8 or more; the join returns the connected componen
 * Documents with equal sets form a class; from here on a class is one node.
 * Nodes that can link share a shingle among the rarest fifth of their sets (any order that
   is the same for all serves; here: by how often the shingle's slot of a fixed table of
-  counters occurs, then by hash).  Nodes joined by such shingles form *families*.
-* A family is dealt into blocks of bounded size.  In a block shingles are hashed into
-  groups; a node's counts by group are a point; an R-tree is packed over the points.  The
-  sum of the coordinates' minima bounds the overlap of two sets, and that of two boxes'
-  upper corners the overlap of any of their members; pairs of boxes, then of points, that
-  cannot reach the threshold are passed over, the rest are compared set by set, save those
-  that are connected already.
-* In families of several blocks, members outside the largest component so far are then
-  compared with all other members, block by block.
-
-No step gathers a group of unbounded size or emits its pairs; an R-tree over the whole
-corpus instead of families would have to visit about all pairs of boxes, since counts of
-unrelated texts of one length differ little.
+  counters occurs, then by hash).
+* A node's point is its counts of shingles by hash group.  An R-tree is packed over the points
+  of a block of nodes.  The sum of the coordinates' minima bounds the overlap of two sets, and
+  that of two boxes' upper corners the overlap of any of their members; pairs of boxes, then
+  of points, that cannot reach the threshold are passed over.
+* First each node meets, in blocks of bounded size, those that hold the most common of its
+  rare shingles; sets of surviving pairs are compared.  That joins most large groups.
+* Then rare shingles that several components hold make groups, shingles of the same nodes one
+  group; their points alone are sent, and trees over them find the nodes that may link with
+  one of another component.  Only these nodes' texts are sent again, by families of the
+  components that such pairs connect, and compared set by set.
+* Groups of more than a block: members outside the largest component meet all, block by block.
+
+No step gathers a group of unbounded size or emits its pairs, and pairs that are connected
+already aren't compared.  One R-tree over the whole corpus would have to visit about all pairs
+of boxes, since counts of unrelated texts of one length differ little.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from .words import LOWER, NON_SPACE, WordHasher, ngram_hashes, text_blocks, word
 
 SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 16
-BLOCK = 256
+BLOCK, POINT_BLOCK = 256, 2048
 LEAF = 8
 #: Ids up to this number may be broadcast to pick rows; beyond it a shuffled join does.
 BROADCAST_IDS = 500_000
@@ -72,12 +75,12 @@ def _slots(batches):
 
 
 def _signatures(slots, percent: int):
-    """Of each document: size and digest of its set, and the rarest part of the set."""
+    """Of each document: size and digest of its set, the rarest part of the set, counts by group."""
 
     def run(batches):
         counts, hasher = slots.value, WordHasher()
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, points = [], [], [], []
             for s in shingle_sets(batch.column("text"), hasher):
                 k = prefix_length(len(s), percent)
                 c = counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -87,10 +90,11 @@ def _signatures(slots, percent: int):
                 else:
                     prefixes.append(s.view(np.int64))
                 sizes.append(len(s))
+                points.append(pack_point(count_point(s)))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             ends = np.cumsum([0, *map(len, prefixes)])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix], ["doc_id", "n_shingles", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, pa.array(points, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix", "point"])
 
     return run
 
@@ -108,36 +112,114 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * i >= percent * (len(a) + len(b) - i)
 
 
+def count_point(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by their top bits; larger sets have more groups, always a power of two."""
+    groups = 16
+    while groups < 1024 and groups * 6 < len(s):
+        groups *= 2
+    return np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def pack_point(point: np.ndarray) -> bytes:
+    """The group number's exponent, the width of a count, the counts."""
+    kind = np.uint8 if point.max() < 256 else np.int32
+    return bytes([len(point).bit_length() - 1, np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
+
+
+def unpack_point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[1] == 1 else np.int32, offset=2).astype(np.int32)
+
+
 class CountRTree:
     """Points (counts of shingles by hash group) packed into leaves of like size."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        groups = 16
-        while groups < 1024 and groups * 8 < self.sizes.mean():
-            groups *= 2
-        shift = np.uint64(64 - int(np.log2(groups)))
-        self.points = np.stack([np.bincount((s >> shift).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+        self._pack(np.stack([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) for s in sets]).astype(np.int32))
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> CountRTree:
+        tree = cls.__new__(cls)
+        tree._pack(points)
+        return tree
+
+    def _pack(self, points: np.ndarray) -> None:
+        self.points, self.sizes = points, points.sum(1)
         # neighbours in size, then in the first coordinates, share a leaf
-        order = np.lexsort((*self.points.T[:2][::-1], self.sizes))
+        order = np.lexsort((*points.T[:2][::-1], self.sizes))
         self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-        self.upper = np.stack([self.points[leaf].max(0) for leaf in self.leaves])
+        self.upper = np.stack([points[leaf].max(0) for leaf in self.leaves])
         self.least = np.array([self.sizes[leaf].min() for leaf in self.leaves])
         self.most = np.array([self.sizes[leaf].max() for leaf in self.leaves])
 
-    def candidates(self, other: CountRTree, percent: int = PERCENT):
-        """(i, j) of points that may link, best bound first within each pair of leaves."""
+    def survivors(self, other: CountRTree, percent: int = PERCENT):
+        """Arrays (i, j) of points that may link, for each pair of leaves that may hold such,
+        best bound first; of a tree and itself each pair of leaves once."""
         for x, leaf in enumerate(self.leaves):
             # i overlap >= percent / (100 + percent) * (sizes' sum)
             near = (100 * other.most >= percent * self.least[x]) & (100 * self.most[x] >= percent * other.least)
-            near &= (100 + percent) * np.minimum(self.upper[x], other.upper).sum(1) >= percent * (self.least[x] + other.least)
-            for y in np.flatnonzero(near):
+            if other is self:
+                near[:x] = False
+            at = np.flatnonzero(near)
+            at = at[(100 + percent) * np.minimum(self.upper[x], other.upper[at]).sum(1) >= percent * (self.least[x] + other.least[at])]
+            for y in at:
                 mates = other.leaves[y]
                 bound = np.minimum(self.points[leaf][:, None], other.points[mates][None]).sum(2)
-                ok = (100 + percent) * bound >= percent * (self.sizes[leaf][:, None] + other.sizes[mates][None])
-                i, j = np.nonzero(ok)
+                i, j = np.nonzero((100 + percent) * bound >= percent * (self.sizes[leaf][:, None] + other.sizes[mates][None]))
                 best = np.argsort(-bound[i, j], kind="stable")
-                yield from zip(leaf[i[best]].tolist(), mates[j[best]].tolist())
+                yield leaf[i[best]], mates[j[best]]
+
+    def candidates(self, other: CountRTree, percent: int = PERCENT):
+        """(i, j) of points that may link, in both orders."""
+        for i, j in self.survivors(other, percent):
+            yield from zip(i.tolist(), j.tolist())
+            if other is self:
+                yield from zip(j.tolist(), i.tolist())
+
+
+def point_survivors(points: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT):
+    """Arrays (i, j) of positions in ``points``, of ``left`` and ``right``, that may link.
+
+    There is a tree for each number of groups.  Sizes of sets that link differ by less than
+    half, so only points of as many groups, or of twice as many, can meet; the latter are
+    folded by adding neighbouring counts.
+    """
+
+    def forest(positions):
+        by: dict[int, list[int]] = {}
+        for i in positions:
+            by.setdefault(len(points[i]), []).append(i)
+        return {g: (np.array(at), np.stack([points[i] for i in at])) for g, at in by.items()}
+
+    def fold(stacked):
+        return stacked.reshape(len(stacked), -1, 2).sum(2)
+
+    a = forest(left)
+    b = a if left is right else forest(right)
+    for g, (at, stacked) in a.items():
+        tree = CountRTree.of(stacked)
+        if g in b:
+            for i, j in tree.survivors(tree if b is a else CountRTree.of(b[g][1]), percent):
+                yield at[i], b[g][0][j]
+        if 2 * g in b:
+            for i, j in tree.survivors(CountRTree.of(fold(b[2 * g][1])), percent):
+                yield at[i], b[2 * g][0][j]
+        if b is not a and g // 2 in b:
+            for i, j in CountRTree.of(fold(stacked)).survivors(CountRTree.of(b[g // 2][1]), percent):
+                yield at[i], b[g // 2][0][j]
+
+
+class _Union:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, p: int, q: int) -> None:
+        """Of two roots."""
+        self.parent[max(p, q)] = min(p, q)
 
 
 def block_links(nodes, comps, sets, left, right, percent: int = PERCENT):
@@ -145,62 +227,136 @@ def block_links(nodes, comps, sets, left, right, percent: int = PERCENT):
     what isn't connected yet."""
     if not left or not right:
         return []
-    parent: dict[int, int] = {}
+    known, out = _Union(), []
+    for some, mates in point_survivors([count_point(s) for s in sets], left, right, percent):
+        for x, y in zip(some.tolist(), mates.tolist()):
+            p, q = known.root(comps[x]), known.root(comps[y])
+            if p != q and linked(sets[x], sets[y], percent):
+                known.join(p, q)
+                out.append((nodes[x], nodes[y]))
+    return out
 
-    def root(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
 
-    a = CountRTree([sets[i] for i in left])
-    b = a if left is right else CountRTree([sets[i] for i in right])
-    out = []
-    for i, j in a.candidates(b, percent):
-        x, y = left[i], right[j]
-        p, q = root(comps[x]), root(comps[y])
-        if p != q and linked(sets[x], sets[y], percent):
-            parent[max(p, q)] = min(p, q)
-            out.append((nodes[x], nodes[y]))
-    return out
+def _by_block(batches, names, work):
+    """Calls ``work`` with the rows of each (grp, block, mates), by which rows come sorted;
+    yields what it returns."""
+    current, rows = None, []
+    for batch in batches:
+        for grp, block, mates, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "mates", *names))):
+            if (grp, block, mates) != current:
+                if rows:
+                    yield work(rows)
+                current, rows = (grp, block, mates), []
+            rows.append(row)
+    if rows:
+        yield work(rows)
+
 
+def _sides(rows):
+    left = [i for i, r in enumerate(rows) if r[0] == 0]
+    right = [i for i, r in enumerate(rows) if r[0] == 1]
+    return left, right
 
-def _block_join(percent: int):
-    """Rows come sorted by (family, block, mates, side); side 0 is compared with side 1, and a
-    block without side 1 with itself."""
+
+def _longs(rows, names):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+
+def _in_lots(results, names):
+    """Lists of rows as batches of some thousand rows."""
+    held: list = []
+    for rows in results:
+        held.extend(rows)
+        if len(held) > 10_000:
+            yield _longs(held, names)
+            held.clear()
+    yield _longs(held, names)
+
+
+def _link_blocks(percent: int):
+    """Links of each block: side 0 is compared with side 1, or with itself where not ``mated``."""
 
     def run(batches):
-        current, rows, links = None, [], []
         hasher = WordHasher()
 
-        def close():
-            if not rows:
-                return
-            sets = list(shingle_sets(pa.array([r[3] for r in rows], pa.string()), hasher))
-            nodes, comps = [r[1] for r in rows], [r[2] for r in rows]
-            left = [i for i, r in enumerate(rows) if r[0] == 0]
-            right = [i for i, r in enumerate(rows) if r[0] == 1]
-            links.extend(block_links(nodes, comps, sets, left, right or left, percent))
-            rows.clear()
+        def work(rows):
+            left, right = _sides(rows)
+            mated = rows[0][3]
+            if not left or mated and not right:
+                return []
+            sets = list(shingle_sets(pa.array([r[4] for r in rows], pa.string()), hasher))
+            return block_links([r[1] for r in rows], [r[2] for r in rows], sets, left, right if mated else left, percent)
 
-        for batch in batches:
-            for family, block, mates, side, node, comp, text in zip(*(batch.column(c).to_pylist() for c in ("family", "block", "mates", "side", "node", "comp", "text"))):
-                if (family, block, mates) != current:
-                    close()
-                    current = (family, block, mates)
-                rows.append((side, node, comp, text))
-            if len(links) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-                links.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        yield from _in_lots(_by_block(batches, ("side", "node", "comp", "mated", "text"), work), ["a", "b"])
+
+    return run
+
+
+def _near_blocks(percent: int):
+    """Nodes with a point near enough to one of another component: (node, comp, head), head
+    being a component that such pairs lead to."""
+
+    def run(batches):
+        def work(rows):
+            left, right = _sides(rows)
+            mated = rows[0][3]
+            if not left or mated and not right:
+                return []
+            comps = np.array([r[2] for r in rows], np.int64)
+            if (comps == comps[0]).all():
+                return []
+            known, near = _Union(), np.zeros(len(rows), bool)
+            points = [unpack_point(r[4]) for r in rows]
+            for i, j in point_survivors(points, left, right if mated else left, percent):
+                apart = comps[i] != comps[j]
+                if apart.any():
+                    i, j = i[apart], j[apart]
+                    near[i] = near[j] = True
+                    for p, q in set(zip(comps[i].tolist(), comps[j].tolist())):
+                        p, q = known.root(p), known.root(q)
+                        if p != q:
+                            known.join(p, q)
+            return [(rows[k][1], rows[k][2], known.root(rows[k][2])) for k in np.flatnonzero(near).tolist()]
+
+        yield from _in_lots(_by_block(batches, ("side", "node", "comp", "mated", "point"), work), ["node", "comp", "head"])
 
     return run
 
 
-def _joined(blocks: DataFrame, percent: int) -> DataFrame:
-    """``blocks``: (family, block, mates, side, node, comp, text)."""
-    key = ["family", "block", "mates"]
-    return blocks.repartition(*key).sortWithinPartitions(*key, "side", "node").select(*key, "side", "node", "comp", "text").mapInArrow(_block_join(percent), "a long, b long")
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Deals groups of (grp, node, comp, ...) into blocks, with columns block, mates, side and
+    mated more.  Groups up to ``most`` are a block.  Of a larger one the members outside its
+    largest component, in blocks of ``most``, meet all its members, block by block."""
+    rest = [c for c in rows.columns if c not in ("grp", "node", "comp")]
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("open")).filter("open")
+    sizes = save(sizes.select("grp", "m"))
+
+    def placed(df, block, mates, side, mated):
+        return df.select("grp", block.cast("int").alias("block"), mates.cast("int").alias("mates"), F.lit(side).alias("side"), F.lit(mated).alias("mated"), "node", "comp", *rest)
+
+    out = placed(rows.join(sizes.filter(F.col("m") <= most), "grp"), F.lit(0), F.lit(-1), 0, False)
+    large = sizes.filter(F.col("m") > most)
+    if large.isEmpty():
+        return out
+    by = rows.join(large, "grp").groupBy("grp", "comp", "m").agg(F.count("*").alias("n"))
+    main = by.groupBy("grp", "m").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("n"))
+    main = save(main.select("grp", "main", F.ceil((F.col("m") - F.col("n")) / most).cast("int").alias("outer"), F.ceil(F.col("m") / most).cast("int").alias("blocks")))
+    wide = rows.join(main, "grp")
+    apart = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer"))
+    asking = wide.filter("comp <> main").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
+    return out.unionByName(placed(asking, apart, F.col("k"), 0, True)).unionByName(placed(every, F.col("k"), F.pmod(F.xxhash64("node"), F.col("blocks")), 1, True))
+
+
+def _compared(blocks: DataFrame, payload: str, work, schema: str) -> DataFrame:
+    key = ["grp", "block", "mates"]
+    return save(blocks.repartition(*key).sortWithinPartitions(*key).select(*key, "side", "node", "comp", "mated", payload).mapInArrow(work, schema))
+
+
+def _with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with the component that ``links`` give each node: comp."""
+    found = components(links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
+    return rows.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 class Classes:
@@ -218,60 +374,72 @@ class Classes:
         for r in docs.select("text").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
             counts[r.slot] = r.n
         kind = docs.schema["doc_id"].dataType.simpleString()
-        signed = save(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(counts), percent), f"doc_id {kind}, n_shingles long, digest binary, prefix array<bigint>"))
+        signed = save(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(counts), percent), f"doc_id {kind}, n_shingles long, digest binary, prefix array<bigint>, point binary"))
         self.rows = signed.select("doc_id", "n_shingles", "digest")
-        # a class's node: its smallest id (nulls last) and the rarest shingles, which equal sets share
-        least = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"))
+        # a class's node: its smallest id (nulls last); equal sets share the rest
+        least = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"), F.any_value("point").alias("point"))
         nodes = save(least.withColumn("node", F.monotonically_increasing_id()))
         self.nodes = nodes.select("node", "digest", "doc_id", "n_shingles")
         free_shuffles(spark)
 
-        shared = nodes.select(F.explode("prefix").alias("shingle"), "node")
-        first = shared.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("shingle", "leader")
-        stars = shared.join(first, "shingle").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        families = components(stars)
-        families = save(families.select(F.col("id").alias("node"), F.col("component").alias("family")))
-        del shared, first, stars
+        rare = nodes.select(F.explode("prefix").alias("shingle"), "node")
+        shared = save(rare.join(rare.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1"), "shingle"))
         free_shuffles(spark)
-        if families.isEmpty():
+        if shared.isEmpty():
             self.linked = spark.createDataFrame([], "node long, component long")
             return
-        sizes = families.groupBy("family").agg(F.count("*").alias("members"))
-        members = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        members = save(members.join(nodes.select("node", "doc_id", "digest"), "node"))
-        texts = save(self._texts(docs, members))
-        hashed = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        first_pass = texts.select("family", hashed.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), "node", F.col("node").alias("comp"), "text")
-        links = save(_joined(first_pass, percent))
-        del first_pass
+        # 1. each node among those with the most common of its rare shingles
+        home = shared.groupBy("node").agg(F.max(F.struct("m", "shingle")).alias("s")).select("node", F.col("s.shingle").alias("grp"))
+        home = save(home.join(nodes.select("node", "doc_id", "digest"), "node"))
+        texts = save(self._texts(docs, home))
+        links = self._near_home(texts, percent)
         free_shuffles(spark)
-        if not members.filter("blocks > 1").isEmpty():
-            found = components(links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
-            wide = texts.filter("blocks > 1").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            wide = save(wide)
-            drop_saved(texts)
-            free_shuffles(spark)
-            by = wide.groupBy("family", "comp").agg(F.count("*").alias("n"))
-            main = by.groupBy("family").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-            main = main.filter("all > most").withColumn("outer", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
-            open_ = wide.join(main, "family")
-            apart = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("int")
-            queries = open_.filter("comp <> main").select("family", apart.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mates"), F.lit(0).alias("side"), "node", "comp", "text")
-            every = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("block"), hashed.alias("mates"), F.lit(1).alias("side"), "node", "comp", "text")
-            more = save(_joined(queries.unionByName(every), percent))
-            links = links.unionByName(more)
-            del queries, every, open_, main, by
-            drop_saved(wide)
-            free_shuffles(spark)
-        self.linked = save(components(links).select(F.col("id").alias("node"), "component"))
+        # 2. rare shingles that components share; those of the same nodes are one group
+        placed = save(_with_component(shared, links))
+        drop_saved(shared)
+        groups = placed.groupBy("shingle").agg((F.min("comp") < F.max("comp")).alias("open"), F.xxhash64(F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("grp")).filter("open")
+        open_ = placed.join(groups.select("shingle", "grp"), "shingle").select("grp", "node", "comp").distinct()
+        open_ = save(open_.join(nodes.select("node", "point"), "node"))
+        near = _compared(_dealt(open_, POINT_BLOCK), "point", _near_blocks(percent), "node long, comp long, head long")
+        drop_saved(placed, open_)
+        free_shuffles(spark)
+        # 3. families of components with near points are compared set by set
+        families = components(near.select(F.col("comp").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("comp"), F.col("component").alias("grp"))
+        members = save(near.select("node", "comp").distinct().join(families, "comp"))
+        wide = save(texts.select("node", "text").join(members, "node"))
+        drop_saved(texts)
+        free_shuffles(spark)
+        more = _compared(_dealt(wide, BLOCK), "text", _link_blocks(percent), "a long, b long")
+        drop_saved(wide)
+        free_shuffles(spark)
+        self.linked = save(components(links.unionByName(more)).select(F.col("id").alias("node"), "component"))
+
+    @staticmethod
+    def _near_home(texts: DataFrame, percent: int) -> DataFrame:
+        """Links within blocks of the nodes' own groups.  Then a node of each component of a
+        group of several blocks meets the others of its group, as long as that finds links."""
+        sizes = texts.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1")
+        rows, links = texts.join(sizes, "grp").withColumn("comp", F.col("node")), None
+        while True:
+            block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("int")
+            blocks = rows.select("grp", block.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated"), "node", "comp", "text")
+            found = _compared(blocks, "text", _link_blocks(percent), "a long, b long")
+            links = links.unionByName(found) if links else found
+            large = sizes.filter(F.col("m") > BLOCK).select("grp")
+            if large.isEmpty() or found.isEmpty():
+                return links
+            heads = _with_component(texts.select("grp", "node").join(large, "grp"), links).groupBy("grp", "comp").agg(F.min("node").alias("node"))
+            heads = save(heads)
+            sizes = save(heads.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1"))
+            rows = texts.select("node", "text").join(heads.join(sizes, "grp"), "node")
 
     @staticmethod
     def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
         """Members with a text of their class."""
-        wanted = members.select("doc_id", "node", "family", "blocks", "digest")
+        wanted = members.select("doc_id", "node", "grp", "digest")
         few = members.count() <= BROADCAST_IDS
         ids = F.broadcast(wanted) if few else wanted
-        got = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "family", "blocks", "digest", "text")
+        got = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "grp", "digest", "text")
 
         def same(batches):
             hasher = WordHasher()
