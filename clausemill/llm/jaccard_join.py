@@ -40,7 +40,7 @@ from .words import LOWER, NON_SPACE, WordHasher, ngram_hashes, text_blocks, word
 SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 16
 BLOCK, POINT_BLOCK = 256, 2048
-LEAF = 8
+LEAF, POINT_LEAF = 8, 32
 #: Ids up to this number may be broadcast to pick rows; beyond it a shuffled join does.
 BROADCAST_IDS = 500_000
 
@@ -137,23 +137,24 @@ class CountRTree:
         self._pack(np.stack([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) for s in sets]).astype(np.int32))
 
     @classmethod
-    def of(cls, points: np.ndarray) -> CountRTree:
+    def of(cls, points: np.ndarray, leaf: int = LEAF) -> CountRTree:
         tree = cls.__new__(cls)
-        tree._pack(points)
+        tree._pack(points, leaf)
         return tree
 
-    def _pack(self, points: np.ndarray) -> None:
+    def _pack(self, points: np.ndarray, leaf: int = LEAF) -> None:
         self.points, self.sizes = points, points.sum(1)
         # neighbours in size, then in the first coordinates, share a leaf
         order = np.lexsort((*points.T[:2][::-1], self.sizes))
-        self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+        self.leaves = [order[i : i + leaf] for i in range(0, len(order), leaf)]
         self.upper = np.stack([points[leaf].max(0) for leaf in self.leaves])
         self.least = np.array([self.sizes[leaf].min() for leaf in self.leaves])
         self.most = np.array([self.sizes[leaf].max() for leaf in self.leaves])
 
-    def survivors(self, other: CountRTree, percent: int = PERCENT):
+    def survivors(self, other: CountRTree, percent: int = PERCENT, settled=None):
         """Arrays (i, j) of points that may link, for each pair of leaves that may hold such,
-        best bound first; of a tree and itself each pair of leaves once."""
+        best bound first; of a tree and itself each pair of leaves once.  Pairs of leaves for
+        which ``settled`` (of the leaves' points) is true are passed over."""
         for x, leaf in enumerate(self.leaves):
             # i overlap >= percent / (100 + percent) * (sizes' sum)
             near = (100 * other.most >= percent * self.least[x]) & (100 * self.most[x] >= percent * other.least)
@@ -163,6 +164,8 @@ class CountRTree:
             at = at[(100 + percent) * np.minimum(self.upper[x], other.upper[at]).sum(1) >= percent * (self.least[x] + other.least[at])]
             for y in at:
                 mates = other.leaves[y]
+                if settled and settled(leaf, mates):
+                    continue
                 bound = np.minimum(self.points[leaf][:, None], other.points[mates][None]).sum(2)
                 i, j = np.nonzero((100 + percent) * bound >= percent * (self.sizes[leaf][:, None] + other.sizes[mates][None]))
                 best = np.argsort(-bound[i, j], kind="stable")
@@ -176,7 +179,7 @@ class CountRTree:
                 yield from zip(j.tolist(), i.tolist())
 
 
-def point_survivors(points: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT):
+def point_survivors(points: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT, leaf: int = LEAF, settled=None):
     """Arrays (i, j) of positions in ``points``, of ``left`` and ``right``, that may link.
 
     There is a tree for each number of groups.  Sizes of sets that link differ by less than
@@ -188,24 +191,21 @@ def point_survivors(points: list[np.ndarray], left: list[int], right: list[int],
         by: dict[int, list[int]] = {}
         for i in positions:
             by.setdefault(len(points[i]), []).append(i)
-        return {g: (np.array(at), np.stack([points[i] for i in at])) for g, at in by.items()}
+        out = {g: (np.array(at), np.stack([points[i] for i in at])) for g, at in by.items()}
+        return {g: (at, CountRTree.of(stacked, leaf)) for g, (at, stacked) in out.items()}
 
-    def fold(stacked):
-        return stacked.reshape(len(stacked), -1, 2).sum(2)
+    def folded(at, tree):
+        return at, CountRTree.of(tree.points.reshape(len(at), -1, 2).sum(2), leaf)
 
     a = forest(left)
     b = a if left is right else forest(right)
-    for g, (at, stacked) in a.items():
-        tree = CountRTree.of(stacked)
-        if g in b:
-            for i, j in tree.survivors(tree if b is a else CountRTree.of(b[g][1]), percent):
-                yield at[i], b[g][0][j]
-        if 2 * g in b:
-            for i, j in tree.survivors(CountRTree.of(fold(b[2 * g][1])), percent):
-                yield at[i], b[2 * g][0][j]
-        if b is not a and g // 2 in b:
-            for i, j in CountRTree.of(fold(stacked)).survivors(CountRTree.of(b[g // 2][1]), percent):
-                yield at[i], b[g // 2][0][j]
+    pairs = [(a[g], b[g]) for g in a if g in b] + [(a[g], folded(*b[2 * g])) for g in a if 2 * g in b]
+    if b is not a:
+        pairs += [(folded(*a[g]), b[g // 2]) for g in a if g // 2 in b]
+    for (at, tree), (to, other) in pairs:
+        known = settled and (lambda i, j, at=at, to=to: settled(at[i], to[j]))
+        for i, j in tree.survivors(other, percent, known):
+            yield at[i], to[j]
 
 
 class _Union:
@@ -305,18 +305,25 @@ def _near_blocks(percent: int):
             comps = np.array([r[2] for r in rows], np.int64)
             if (comps == comps[0]).all():
                 return []
-            known, near = _Union(), np.zeros(len(rows), bool)
+            near, heads = np.zeros(len(rows), bool), comps.copy()
+
+            def settled(i, j):
+                """All are of one component, or known to be near and to lead to one head."""
+                one = heads[i[0]]
+                if (heads[i] != one).any() or (heads[j] != one).any():
+                    return False
+                return near[i].all() and near[j].all() or (comps[i] == comps[i[0]]).all() and (comps[j] == comps[i[0]]).all()
+
             points = [unpack_point(r[4]) for r in rows]
-            for i, j in point_survivors(points, left, right if mated else left, percent):
+            for i, j in point_survivors(points, left, right if mated else left, percent, POINT_LEAF, settled):
                 apart = comps[i] != comps[j]
-                if apart.any():
-                    i, j = i[apart], j[apart]
-                    near[i] = near[j] = True
-                    for p, q in set(zip(comps[i].tolist(), comps[j].tolist())):
-                        p, q = known.root(p), known.root(q)
-                        if p != q:
-                            known.join(p, q)
-            return [(rows[k][1], rows[k][2], known.root(rows[k][2])) for k in np.flatnonzero(near).tolist()]
+                i, j = i[apart], j[apart]
+                near[i] = near[j] = True
+                while (open_ := heads[i] != heads[j]).any():
+                    k = int(open_.argmax())
+                    p, q = heads[i[k]], heads[j[k]]
+                    heads[heads == max(p, q)] = min(p, q)
+            return [(rows[k][1], rows[k][2], int(heads[k])) for k in np.flatnonzero(near).tolist()]
 
         yield from _in_lots(_by_block(batches, ("side", "node", "comp", "mated", "point"), work), ["node", "comp", "head"])
 

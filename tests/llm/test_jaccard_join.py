@@ -89,6 +89,7 @@ def test_edge_cases(spark):
 
 def test_families_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "POINT_BLOCK", 16)
     rng = np.random.default_rng(9)
     rows = list(enumerate(variants(rng, 90, 60, 5) + variants(rng, 40, 40, 6) + variants(rng, 3, 50, 1)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -123,3 +124,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (200, 201), (201, 202), (5, 5), (7, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90} | {200: 200, 201: 200, 202: 200}
+
+
+def test_points_of_unlike_widths():
+    rng = np.random.default_rng(3)
+    names = np.sort(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
+    sets = [names[np.sort(rng.permutation(n)[: n - 9])] for n in (90, 100, 110, 120, 380, 395, 410, 3000, 3100, 3400)]
+    points = [J.count_point(s) for s in sets]
+    assert all((J.unpack_point(J.pack_point(p)) == p).all() for p in points)
+    left, right = list(range(0, 10, 2)), list(range(1, 10, 2))
+    every = list(range(10))
+    for a, b in ((left, right), (right, left), (every, every)):
+        found = {(int(i), int(j)) for x, y in J.point_survivors(points, a, b) for i, j in zip(x, y)}
+        for i in a:
+            for j in b:
+                assert not J.linked(sets[i], sets[j]) or (i, j) in found or a is b and (j, i) in found
