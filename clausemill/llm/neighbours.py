@@ -4,8 +4,12 @@ Equal vectors form one node that keeps its ``TOP + 1`` smallest ids, more than a
 hold.  A first graph comes from leaves of random hyperplane trees, each leaf of bounded size
 compared within itself.  NN-descent then joins neighbours of neighbours: for each node its
 neighbours and a bounded number of reverse neighbours meet, and each learns of the others
-that are nearer than its worst.  A query starts from its node's neighbours and goes on
-greedily to neighbours of the best found.  Results are scored anew in double precision.
+that are nearer than its worst, until hardly a neighbour changes.  A query starts from its
+node's neighbours and goes on greedily to neighbours of the best found, until it has gone on
+from all of its best.  Descent can settle short of the nearest, and the more the larger the
+table.  So a bounded sample of queries is compared with all nodes, and queries meet the leaves
+of further trees until the sample's recall is TARGET: effort follows the table, and nothing
+has a fixed number of rounds.  Results are scored anew in double precision.
 """
 
 from __future__ import annotations
@@ -20,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import drop_saved, free_shuffles, save
 
 TOP, QUERY_MODULO = 20, 20
-#: Neighbours in the graph, trees, rows of a leaf, rounds of descent, and nodes that a query
-#: goes on from in each of its steps.
-NEIGHBOURS, TREES, LEAF, ROUNDS = 30, 12, 1500, 2
-BEAM, STEPS = 40, 2
+#: Neighbours in the graph, trees and rows of a leaf.
+NEIGHBOURS, TREES, LEAF = 30, 12, 1500
+#: Descent ends once a round changes at most this share of neighbours; a query ends once it
+#: has gone on from each of its BEAM best.
+CHANGED, BEAM = 0.01, 40
+#: Share of the nearest that must be found for SAMPLE queries compared with all nodes.
+TARGET, SAMPLE = 0.95, 200
 SEED = 11
 
 
@@ -93,36 +100,44 @@ _LISTS = "node long, ids array<bigint>, scores array<float>"
 
 
 def _leaf_join(k: int):
+    """The k best in its leaf for each node that is asked for."""
+
     def run(batches):
-        for nodes, xs in _groups(batches, ["tree", "leaf", "part"], ["node", "x"]):
-            m, ids = _matrix(xs), np.array(nodes)
-            s = m @ m.T
-            np.fill_diagonal(s, -np.inf)
+        for nodes, xs, asked in _groups(batches, ["tree", "leaf", "part"], ["node", "x", "asked"]):
+            m, ids, of = _matrix(xs), np.array(nodes), np.flatnonzero(asked)
             take = min(k, len(ids) - 1)
-            if take:
+            if take and len(of):
+                s = m[of] @ m.T
+                s[np.arange(len(of)), of] = -np.inf
                 near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                yield _lists([(int(i), ids[n].tolist(), s[r, n].tolist()) for r, (i, n) in enumerate(zip(ids, near))])
+                yield _lists([(int(i), ids[n].tolist(), s[r, n].tolist()) for r, (i, n) in enumerate(zip(ids[of], near))])
 
     return run
 
 
 def _merge(k: int):
-    """The best k of all lists of a node, best first."""
+    """The best k of all lists of a node, best first, and how many of them it didn't know."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for node, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "scores"))):
+            out, fresh = [], []
+            for node, ids, scores, known in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "scores", "known"))):
                 i, s = _best(np.array(ids, np.int64), np.array(scores, np.float32), k)
-                out.append((node, i.tolist(), s.tolist()))
-            yield _lists(out)
+                i = i.tolist()
+                out.append((node, i, s.tolist()))
+                fresh.append(len(set(i).difference(known)))
+            yield _lists(out).append_column("fresh", pa.array(fresh, pa.int32()))
 
     return run
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    grouped = lists.groupBy("node").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"))
-    return grouped.mapInArrow(_merge(k), _LISTS)
+def _merged(lists: DataFrame, k: int, graph: DataFrame | None = None) -> DataFrame:
+    """(node, ids, scores, fresh) of new lists and those of a graph."""
+    lists = lists.withColumn("known", F.array().cast("array<bigint>"))
+    if graph is not None:
+        lists = graph.select("node", "ids", "scores", F.col("ids").alias("known")).unionByName(lists)
+    grouped = lists.groupBy("node").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "scores", "known")))
+    return grouped.mapInArrow(_merge(k), _LISTS + ", fresh int")
 
 
 def _local_join(k: int):
@@ -152,10 +167,11 @@ def _worst(k: int):
     return F.when(F.size("scores") >= k, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float")
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """(node, ids, scores) of (node, x): k near nodes each, best first."""
+def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: int = 0) -> DataFrame:
+    """(node, ids, scores), saved: near nodes in the leaves of a batch of random trees, of the
+    nodes of (node, x, asked) that are asked for."""
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    rng = np.random.default_rng(SEED)
+    rng = np.random.default_rng([SEED, batch])
     # a bounded sample places the hyperplanes; it affects balance alone
     drawn = nodes.select("x").orderBy(F.xxhash64("x"), "x").limit(2000).toArrow()["x"].to_pylist()
     m = _matrix(drawn)
@@ -163,15 +179,23 @@ def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREE
     for _ in range(trees if bits else 1):
         normal = rng.standard_normal((m.shape[1], bits)).astype(np.float32)
         planes.append((normal, np.median(m @ normal, axis=0)))
-    dealt = nodes.select("node", "x").mapInArrow(_leaves(planes, leaf), "node long, x binary, tree int, leaf long")
+    dealt = nodes.select("node", "x", "asked").mapInArrow(_leaves(planes, leaf), "node long, x binary, asked boolean, tree int, leaf long")
     dealt = save(dealt)
     sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))  # trees * 2^bits rows
     dealt2 = dealt.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
     key = ["tree", "leaf", "part"]
-    lists = dealt2.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "x").mapInArrow(_leaf_join(k), _LISTS)
-    graph = save(_merged(lists, k))
+    lists = save(dealt2.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "x", "asked").mapInArrow(_leaf_join(k), _LISTS))
     drop_saved(dealt)
-    for _ in range(rounds if bits else 0):
+    return lists
+
+
+def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, changed: float = CHANGED) -> DataFrame:
+    """(node, ids, scores, fresh) of (node, x): k near nodes each, best first."""
+    lists = tree_lists(nodes.withColumn("asked", F.lit(True)), n, k, trees, leaf)
+    graph = save(_merged(lists, k))
+    drop_saved(lists)
+    share = 1.0 if n > leaf else 0.0
+    while share > changed:
         free_shuffles(nodes.sparkSession)
         edges = graph.select(F.col("node").alias("centre"), F.posexplode("ids").alias("place", "member"))
         back = Window.partitionBy("centre").orderBy("place", "member")
@@ -180,9 +204,10 @@ def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREE
         known = graph.select("node", _worst(k).alias("worst")).join(nodes.select("node", "x"), "node")
         meet = meet.join(known, meet["member"] == known["node"]).select("centre", "node", "worst", "x")
         learnt = meet.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(k), _LISTS)
-        new = save(_merged(graph.unionByName(learnt), k))
+        new = save(_merged(learnt, k, graph))
         drop_saved(graph)
         graph = new
+        share = graph.agg(F.sum("fresh") / F.sum(F.size("ids"))).first()[0] or 0.0
     return graph
 
 
@@ -193,27 +218,81 @@ def _score_pairs(batches):
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(s, pa.float32())], ["q", "node", "score"])
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS, keep: int = 64) -> DataFrame:
-    """(q, node): nodes found near to each query node, by greedy search from its neighbours."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, keep: int = 64) -> DataFrame:
+    """(q, node, score): nodes found near to each query node, by greedy search from its neighbours
+    until each of its ``beam`` best has been gone on from."""
     found = graph.join(queries, graph["node"] == queries["q"], "left_semi").select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
     found = save(found.withColumn("gone_on", F.lit(False)))
     vectors = nodes.select("node", "x")
-    for _ in range(steps):
-        order = Window.partitionBy("q").orderBy(F.col("gone_on"), F.col("score").desc(), "node")
-        go = found.filter("NOT gone_on").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= beam).select("q", "node")
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
+    while True:
+        go = save(found.withColumn("rn", F.row_number().over(best)).filter((F.col("rn") <= beam) & ~F.col("gone_on")).select("q", "node"))
+        if go.isEmpty():
+            break
         reached = go.join(graph.select("node", "ids"), "node").select("q", F.explode("ids").alias("node")).distinct()
         fresh = reached.join(found.select("q", "node"), ["q", "node"], "left_anti").filter("q <> node")
         pairs = fresh.join(vectors, "node").join(queries.select("q", F.col("x").alias("qx")), "q")
         scored = pairs.select("q", "node", "qx", "x").mapInArrow(_score_pairs, "q long, node long, score float")
         been = found.join(go.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "score", (F.col("gone_on") | F.coalesce("now", F.lit(False))).alias("gone_on"))
-        best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
         every = been.unionByName(scored.withColumn("gone_on", F.lit(False)))
         new = save(every.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= max(keep, 2 * beam)).drop("rn"))
-        drop_saved(found)
+        drop_saved(found, go)
         found = new
         free_shuffles(nodes.sparkSession)
+    return found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).select("q", "node", "score")
+
+
+def _nearest_of(qs: list[int], queries: np.ndarray, k: int):
+    """The k nearest of a few queries among all rows of a partition."""
+
+    def run(batches):
+        held = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(qs)
+        for batch in batches:
+            if batch.num_rows:
+                ids, s = np.asarray(batch.column("node")), queries @ _matrix(batch.column("x")).T
+                for r, q in enumerate(qs):
+                    other = ids != q
+                    near = np.argpartition(-s[r], k)[: k + 1] if len(ids) > k + 1 else np.arange(len(ids))
+                    near = near[other[near]]
+                    held[r] = _best(np.append(held[r][0], ids[near]), np.append(held[r][1], s[r, near]), k)
+        yield _lists([(q, i.tolist(), s.tolist()) for q, (i, s) in zip(qs, held)])
+
+    return run
+
+
+def true_nearest(nodes: DataFrame, queries: DataFrame, k: int, most: int = SAMPLE) -> DataFrame:
+    """(q, node), saved: the k nearest nodes of at most ``most`` query nodes, by comparison with all."""
+    drawn = queries.orderBy(F.xxhash64("x"), "q").limit(most).select("q", "x").toArrow()
+    if not drawn.num_rows:
+        return save(queries.select("q", F.col("q").alias("node")))
+    lists = nodes.select("node", "x").mapInArrow(_nearest_of(drawn["q"].to_pylist(), _matrix(drawn["x"]), k), _LISTS)
+    rows = lists.select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
+    return save(rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select("q", "node"))
+
+
+def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf: int, keep: int, target: float = TARGET) -> DataFrame:
+    """``found`` and what queries find in the leaves of further trees, until ``target`` of the
+    sample's nearest are found.  Each batch of trees is drawn anew, so that each finds a share
+    of what is missing."""
+    if n <= leaf:
+        return found
+    truth = true_nearest(nodes, queries, k)
+    wanted = truth.count()
+    found, batch = save(found), 0
+    asked = nodes.join(queries.select(F.col("q").alias("node"), F.lit(True).alias("asked")), "node", "left").select("node", "x", F.coalesce("asked", F.lit(False)).alias("asked"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
-    return found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).select("q", "node")
+    while found.join(F.broadcast(truth), ["q", "node"], "left_semi").count() < target * wanted:  # SAMPLE * k rows
+        batch += 1
+        lists = tree_lists(asked, n, k + 4, trees, leaf, batch)
+        more = lists.select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
+        every = found.unionByName(more).groupBy("q", "node").agg(F.max("score").alias("score"))
+        new = save(every.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).drop("rn"))
+        drop_saved(found, lists)
+        found = new
+        free_shuffles(nodes.sparkSession)
+    drop_saved(truth)
+    return found
 
 
 def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
@@ -236,8 +315,8 @@ def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf
     asked = rows.filter(F.col("vec_id") % modulo == 0).select(F.col("vec_id").alias("query_id"), "digest", "v")
     asked = save(asked.join(nodes.select("node", "digest", "v", "x"), ["digest", "v"]).select("query_id", F.col("node").alias("q"), "x"))
     queries = asked.select("q", "x").dropDuplicates(["q"])
-    bits = n > leaf
-    found = search(graph, nodes, queries, steps=STEPS if bits else 0, keep=max(64, top + 1))
+    found = search(graph, nodes, queries, max(BEAM, top), max(64, top + 1))
+    found = complete(found, nodes, n, queries, top, trees, leaf, max(64, top + 1)).select("q", "node")
     found = found.unionByName(queries.select("q", F.col("q").alias("node"))).distinct()
     vec = nodes.select("node", "v")
     near = found.join(vec, "node").join(vec.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")

@@ -41,3 +41,18 @@ def test_recall_through_leaves_and_descent(spark):
     hits = {(q, i): s for q, _, i, s in want}
     assert np.mean([(q, i) in hits for q, _, i, _ in got]) >= 0.9
     assert all(hits.get((q, i), s) == s for q, _, i, s in got)
+
+
+def test_recall_well_above_the_leaf_size(spark):
+    n = 8_000
+    x = np.random.default_rng(7).standard_normal((n, 128)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in N.nearest(df, leaf=200, trees=3).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, n, 20)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-s, 20, axis=1)[:, :20]
+    assert np.mean([len(got[int(q)] & set(row.tolist())) / 20 for q, row in zip(asked, near)]) >= 0.9
