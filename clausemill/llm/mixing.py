@@ -12,7 +12,8 @@
    each domain.
 
 The total of the targets is the least by which no domain has to lose tokens, unless a
-budget is given.  Only sums for each domain reach the driver.
+budget is given.  With soft memberships single documents can get rates below 1 even then;
+``least=1`` projects onto rates of at least 1, so that each row stays.  Only sums for each domain reach the driver.
 """
 
 from __future__ import annotations
@@ -89,12 +90,12 @@ def with_posteriors(features: DataFrame, weights: np.ndarray) -> DataFrame:
     return computed(out, features.columns, **{f"p{d}": F.col(f"e{d}") / total for d in range(len(weights))})
 
 
-def rate(slope: list[float]) -> Column:
+def rate(slope: list[float], least: float = 0.0) -> Column:
     """The projection of ``1 - sum_d p_d * slope_d`` onto the rates that are allowed."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, (F.col(f"p{d}") * x for d, x in enumerate(slope)))) if slope else F.lit(1.0)
+    return F.greatest(F.lit(float(least)), F.lit(1.0) - reduce(lambda a, b: a + b, (F.col(f"p{d}") * x for d, x in enumerate(slope)))) if slope else F.lit(1.0)
 
 
-def fit_rates(posteriors: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS):
+def fit_rates(posteriors: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS, least: float = 0.0):
     """(slope for ``rate``, totals before, targets in tokens, totals after)."""
     n = len(targets)
     pairs = [(a, b) for a in range(n) for b in range(a, n)]
@@ -117,7 +118,7 @@ def fit_rates(posteriors: DataFrame, targets: list[float], budget: float | None
     slope, s = np.zeros(n), start
     for _ in range(steps):
         slope = slope + eta * (s - t) / root**2
-        got = posteriors.select("tokens", *(f"p{d}" for d in range(n)), rate(slope.tolist()).alias("r")).agg(*(F.sum(F.col("tokens") * F.col("r") * F.col(f"p{d}")).alias(f"s{d}") for d in range(n))).first()
+        got = posteriors.select("tokens", *(f"p{d}" for d in range(n)), rate(slope.tolist(), least).alias("r")).agg(*(F.sum(F.col("tokens") * F.col("r") * F.col(f"p{d}")).alias(f"s{d}") for d in range(n))).first()
         s = np.array([got[f"s{d}"] for d in range(n)])
         if np.max(np.abs(s - t)) <= TOLERANCE * budget:
             break
@@ -127,13 +128,13 @@ def fit_rates(posteriors: DataFrame, targets: list[float], budget: float | None
 class Mixture:
     """What is fitted: class weights and the slope of the rates."""
 
-    def __init__(self, documents: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None):
+    def __init__(self, documents: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0):
         self.domains = sorted(weights)
         features = save(with_features(documents))
         self.classes = class_weights(features, labelled, self.domains)
         self.posteriors = save(with_posteriors(features, self.classes).drop("chars", *(f"f{k}" for k in range(len(LETTERS)))))
         drop_saved(features)
-        self.slope, self.before, self.targets, self.after = fit_rates(self.posteriors, [weights[d] for d in self.domains], budget)
+        self.slope, self.before, self.targets, self.after = fit_rates(self.posteriors, [weights[d] for d in self.domains], budget, least=least)
 
 
 def document_rates(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None) -> DataFrame:
@@ -149,16 +150,16 @@ def document_rates(documents: DataFrame, labelled: DataFrame, weights: dict[str,
     return m.posteriors.select("doc_id", "tokens", *names, rate(m.slope).alias("rate"))
 
 
-def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None) -> DataFrame:
+def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float | None = None, least: float = 0.0) -> DataFrame:
     """``documents`` with each row as often as its rate says: the whole part always, the rest
-    by a hash of id and text.  Columns stay as they are.  Rates are computed beside the row
-    from its text, without a join."""
-    m = Mixture(documents, labelled, weights, budget)
+    by a hash of id and text.  No rate is below ``least``; with 1 each row stays.  Columns stay
+    as they are.  Rates are computed beside the row from its text, without a join."""
+    m = Mixture(documents, labelled, weights, budget, least)
     drop_saved(m.posteriors)
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     rows = documents.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), text.alias("_t"))
     counts = {f"f{k}": c for k, c in enumerate(letter_counts(F.col("_t")))}
     place = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(1 << 20)) / (1 << 20)
     rows = computed(rows, ["row"], chars=F.length("_t"), u=place, **counts)
-    rows = computed(with_posteriors(rows, m.classes), ["row"], copies=F.floor(rate(m.slope) + F.col("u")).cast("int"))
+    rows = computed(with_posteriors(rows, m.classes), ["row"], copies=F.floor(rate(m.slope, least) + F.col("u")).cast("int"))
     return rows.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -25,9 +25,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that languages meet their target weights; the budget is the
-    least that thins no language, so clean documents stay."""
-    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+    """Documents are repeated so that languages come as near to their target weights as rates of
+    at least 1 allow, so each clean document stays."""
+    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,9 @@ def test_each_stage_on_what_its_predecessor_kept(spark):
         assert (s, n, crc) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
     assert [r[0] for r in got] == sorted(r["doc_id"] for r in mixed)
+
+
+def test_mixing_keeps_every_row(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    lost = docs.select("doc_id").exceptAll(P.mixing_stage(spark, docs, "/root/testdata/sf0.1").select("doc_id").distinct())
+    assert docs.count() == docs.select("doc_id").distinct().count() and lost.count() == 0
