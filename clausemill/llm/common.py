@@ -68,34 +68,29 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (a, b) links as (id, component), component being the
     smallest id.  Alternates large-star and small-star steps, each a grouped minimum, so
-    that no group's rows meet in one task; every round is written to the shared folder.
+    that no group's rows meet in one task, until links are stars: no centre has a smaller
+    neighbour and no other node two.  Every round is written to the shared folder.
 
     Only ids that occur in ``links`` with a != b are returned.  Null ends are ignored.
     """
-    made = edges = save(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    while True:
+    edges = save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours of u point to the smallest of u's neighbourhood
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours point to their smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .filter("u <> v")
-            .distinct()
-        )
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         new = save(small)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        drop_saved(made)
-        made = edges = new
+        drop_saved(edges)
+        edges = new
         free_shuffles(edges.sparkSession)
-        if not changed:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    each = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return each.filter("below > 1 OR below = 1 AND above = 1").isEmpty()

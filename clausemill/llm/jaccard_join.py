@@ -4,45 +4,50 @@ A document's set holds its distinct five-word shingles.  Two documents link when
 sets' Jaccard similarity is 0.8 or more; the join returns the connected components.
 
 * Documents with equal sets form a class; from here on a class is one node.
-* Nodes that can link share a shingle among the rarest fifth of their sets (any order that
-  is the same for all serves; here: by how often the shingle's slot of a fixed table of
-  counters occurs, then by hash).
-* A node's point is its counts of shingles by hash group.  An R-tree is packed over the points
-  of a block of nodes.  The sum of the coordinates' minima bounds the overlap of two sets, and
-  that of two boxes' upper corners the overlap of any of their members; pairs of boxes, then
-  of points, that cannot reach the threshold are passed over.
-* First each node meets, in blocks of bounded size, those that hold the most common of its
-  rare shingles; sets of surviving pairs are compared.  That joins most large groups.
-* Then rare shingles that several components hold make groups, shingles of the same nodes one
-  group; their points alone are sent, and trees over them find the nodes that may link with
-  one of another component.  Only these nodes' texts are sent again, by families of the
-  components that such pairs connect, and compared set by set.
-* Groups of more than a block: members outside the largest component meet all, block by block.
+* A node's point is its counts of shingles by hash group, with about two shingles a group.  An
+  R-tree packs points of like top coordinates into leaves.  The sum of two points' coordinate
+  minima bounds the overlap of their sets, that of two boxes' upper corners the overlap of any
+  of their members; pairs of boxes, then of points, that cannot reach the threshold are passed
+  over, and sets of the pairs that are left are compared.
+* The tree is partitioned by rare shingles.  Nodes that can link share a shingle among the
+  rarest fifth of their sets, in any order that is the same for all; here by how often the
+  shingle's slot of SLOT_BITS-bit counters occurs, then by hash.  A group is the nodes that
+  hold such a shingle; shingles of the same nodes are one group.  A node that shares none of
+  its rare shingles takes no further part.
+* First each node meets, in blocks of bounded size, its largest group.  Blocks of groups that
+  need several are dealt anew until a deal links nothing more, so that a large group of near
+  copies becomes one component without a comparison of all with all.
+* Then groups that several components share send their points alone; trees over them find the
+  nodes that may link with one of another component.  Sets of only these are sent, by families
+  of the components that such pairs connect.
+* Of groups of more than a block the members outside the largest component meet all, block by
+  block.
 
 No step gathers a group of unbounded size or emits its pairs, and pairs that are connected
-already aren't compared.  One R-tree over the whole corpus would have to visit about all pairs
-of boxes, since counts of unrelated texts of one length differ little.
+already aren't compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import components, drop_saved, free_shuffles, save
 from .words import LOWER, NON_SPACE, WordHasher, ngram_hashes, text_blocks, word_borders
 
 SHINGLE, PERCENT = 5, 80
-SLOT_BITS = 16
-BLOCK, POINT_BLOCK = 256, 2048
-LEAF, POINT_LEAF = 8, 32
-#: Ids up to this number may be broadcast to pick rows; beyond it a shuffled join does.
-BROADCAST_IDS = 500_000
+#: Counters of shingles: 2^24, dealt in pieces of 2^16; their levels take a byte each.
+SLOT_BITS, PIECE_BITS = 24, 16
+#: Most nodes and most shingles of a block (a block holds one node at least).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 18
+LEAF = 16
+#: A shingle whose slot occurs more often than this is dealt over several tasks.
+SPLIT = 4096
 
 
 def shingle_sets(column, hasher: WordHasher):
@@ -63,124 +68,180 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _slots(batches):
-    total, hasher = np.zeros(1 << SLOT_BITS, np.int64), WordHasher()
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(batches):
+    """This task's counters, as pieces that hold anything: (piece, width of a count, counts)."""
+    total, hasher, size = np.zeros(1 << SLOT_BITS, np.int32), WordHasher(), 1 << PIECE_BITS
     for batch in batches:
         for s in shingle_sets(batch.column(0), hasher):
-            total += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total)) if len(s) > 4096 else 0
-            if 0 < len(s) <= 4096:
-                np.add.at(total, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+            np.add.at(total, _slots(s), np.int32(1))
+    for piece in range(len(total) // size):
+        part = total[piece * size : (piece + 1) * size]
+        if most := int(part.max()):
+            width = 1 if most < 256 else 2 if most < 65536 else 4
+            data = zlib.compress(part.astype(f"<u{width}").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([width], pa.int32()), pa.array([data], pa.binary())], ["piece", "width", "counts"])
+
+
+def _summed(batches):
+    """Sums of the pieces of all tasks: (piece, shingles, counts)."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, width, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "width", "counts"))):
+            part = np.frombuffer(zlib.decompress(data), f"<u{width}")
+            held[piece] = held[piece] + part if piece in held else part.astype(np.int64)
+    for piece, part in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([int(part.sum())], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "shingles", "counts"])
+
+
+def level_of(counts, mean: float):
+    """Logarithmic levels, a byte each: a twelfth of an octave from the mean of all slots on."""
+    return np.minimum(255, np.round(12 * np.log2(1 + 16 * np.asarray(counts) / mean))).astype(np.uint8)
+
+
+def count_of(levels, mean: float):
+    """The most counts that a level stands for (below level 255)."""
+    return mean / 16 * (2.0 ** ((np.asarray(levels, np.float64) + 0.5) / 12) - 1)
 
 
-def _signatures(slots, percent: int):
-    """Of each document: size and digest of its set, the rarest part of the set, counts by group."""
+def slot_levels(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """Levels of 2^SLOT_BITS counters of all shingles of all texts, and the mean count.  On the
+    driver they take 2^SLOT_BITS bytes, however large the corpus."""
+    pieces = texts.mapInArrow(_counted, "piece int, width int, counts binary")
+    summed = save(pieces.repartition("piece").mapInArrow(_summed, "piece int, shingles long, counts binary"))
+    mean = max(1.0, (summed.agg(F.sum("shingles")).first()[0] or 0) / (1 << SLOT_BITS))
+
+    def leveled(batches):
+        for batch in batches:
+            got = [level_of(np.frombuffer(zlib.decompress(c), np.int64), mean).tobytes() for c in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(got, pa.binary())], ["piece", "levels"])
+
+    levels = np.zeros((1 << SLOT_BITS - PIECE_BITS, 1 << PIECE_BITS), np.uint8)
+    for r in summed.mapInArrow(leveled, "piece int, levels binary").toLocalIterator():
+        levels[r.piece] = np.frombuffer(r.levels, np.uint8)
+    drop_saved(summed)
+    return levels.reshape(-1), mean
+
+
+def _signatures(levels, mean: float, percent: int):
+    """Of each document: size and digest of its set, the rarest part of the set, and over how
+    many tasks each shingle of that part is dealt."""
 
     def run(batches):
-        counts, hasher = slots.value, WordHasher()
+        level, hasher = levels.value, WordHasher()
+        deals = np.minimum(1 << 20, np.ceil(count_of(np.arange(256), mean) / SPLIT)).astype(np.int32)
         for batch in batches:
-            sizes, digests, prefixes, points = [], [], [], []
+            sizes, digests, prefixes, parts = [], [], [], []
             for s in shingle_sets(batch.column("text"), hasher):
-                k = prefix_length(len(s), percent)
-                c = counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                k, of = prefix_length(len(s), percent), level[_slots(s)]
                 if k < len(s):
-                    rare = np.lexsort((s, c))[:k]
+                    rare = np.lexsort((s, of))[:k]
                     prefixes.append(s[rare].view(np.int64))
+                    parts.append(deals[of[rare]])
                 else:
                     prefixes.append(s.view(np.int64))
+                    parts.append(deals[of])
                 sizes.append(len(s))
-                points.append(pack_point(count_point(s)))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            ends = np.cumsum([0, *map(len, prefixes)])
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, pa.array(points, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix", "point"])
+            ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
+            prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
+            deal = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, deal], ["doc_id", "th", "n_shingles", "digest", "prefix", "deal"]
+            )
 
     return run
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+def _shared_rows(batches):
+    """Of rows sorted by (shingle, salt) those whose shingle occurs again, or may in another
+    task (salt above 0).  Holds back one row at most."""
+    before, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shingle, salt, node = (np.asarray(batch.column(c)) for c in ("shingle", "salt", "node"))
+        if held:
+            shingle, salt, node = (np.append(np.array([h], a.dtype), a) for h, a in zip(held, (shingle, salt, node)))
+        same = np.append(held is None and before == (shingle[0], salt[0]), (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1]))
+        keep = same | np.append(same[1:], False) | (salt > 0)
+        before = (shingle[-1], salt[-1])
+        held = None if keep[-1] else (shingle[-1], salt[-1], node[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep])], ["shingle", "node"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    i = _overlap(a, b)
+    i = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * i >= percent * (len(a) + len(b) - i)
 
 
 def count_point(s: np.ndarray) -> np.ndarray:
     """Counts of a set's hashes by their top bits; larger sets have more groups, always a power of two."""
     groups = 16
-    while groups < 1024 and groups * 6 < len(s):
+    while groups < 4096 and groups * 2 < len(s):
         groups *= 2
     return np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def pack_point(point: np.ndarray) -> bytes:
-    """The group number's exponent, the width of a count, the counts."""
+    """The width of a count, the counts."""
     kind = np.uint8 if point.max() < 256 else np.int32
-    return bytes([len(point).bit_length() - 1, np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
 
 
 def unpack_point(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8 if packed[1] == 1 else np.int32, offset=2).astype(np.int32)
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.int32, offset=1).astype(np.int32)
 
 
 class CountRTree:
-    """Points (counts of shingles by hash group) packed into leaves of like size."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self._pack(np.stack([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) for s in sets]).astype(np.int32))
-
-    @classmethod
-    def of(cls, points: np.ndarray, leaf: int = LEAF) -> CountRTree:
-        tree = cls.__new__(cls)
-        tree._pack(points, leaf)
-        return tree
-
-    def _pack(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.sizes = points, points.sum(1)
-        # neighbours in size, then in the first coordinates, share a leaf
-        order = np.lexsort((*points.T[:2][::-1], self.sizes))
+    """Points (counts of shingles by hash group) packed into leaves of like points."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.sizes = points.sum(1)
+        self.points = points.astype(np.uint8) if points.max(initial=0) < 256 else points
+        # points whose largest coordinates are the same, then of like size, share a leaf
+        coarse = points.reshape(len(points), 16, -1).sum(2)
+        top = np.argsort(-coarse, axis=1, kind="stable")
+        order = np.lexsort((self.sizes, top[:, 2], top[:, 1], top[:, 0]))
         self.leaves = [order[i : i + leaf] for i in range(0, len(order), leaf)]
-        self.upper = np.stack([points[leaf].max(0) for leaf in self.leaves])
+        self.upper = np.stack([self.points[leaf].max(0) for leaf in self.leaves])
         self.least = np.array([self.sizes[leaf].min() for leaf in self.leaves])
         self.most = np.array([self.sizes[leaf].max() for leaf in self.leaves])
 
-    def survivors(self, other: CountRTree, percent: int = PERCENT, settled=None):
-        """Arrays (i, j) of points that may link, for each pair of leaves that may hold such,
-        best bound first; of a tree and itself each pair of leaves once.  Pairs of leaves for
-        which ``settled`` (of the leaves' points) is true are passed over."""
+    def survivors(self, other: CountRTree, percent: int = PERCENT, left=None, right=None):
+        """Arrays (i, j) of points that may link, for each leaf that has such; of a tree and
+        itself each pair of leaves once.  Pairs of equal ``left`` and ``right`` (components of
+        the points of both trees) are left out."""
         for x, leaf in enumerate(self.leaves):
             # i overlap >= percent / (100 + percent) * (sizes' sum)
             near = (100 * other.most >= percent * self.least[x]) & (100 * self.most[x] >= percent * other.least)
             if other is self:
                 near[:x] = False
             at = np.flatnonzero(near)
-            at = at[(100 + percent) * np.minimum(self.upper[x], other.upper[at]).sum(1) >= percent * (self.least[x] + other.least[at])]
-            for y in at:
-                mates = other.leaves[y]
-                if settled and settled(leaf, mates):
-                    continue
-                bound = np.minimum(self.points[leaf][:, None], other.points[mates][None]).sum(2)
-                i, j = np.nonzero((100 + percent) * bound >= percent * (self.sizes[leaf][:, None] + other.sizes[mates][None]))
-                best = np.argsort(-bound[i, j], kind="stable")
-                yield leaf[i[best]], mates[j[best]]
-
-    def candidates(self, other: CountRTree, percent: int = PERCENT):
-        """(i, j) of points that may link, in both orders."""
-        for i, j in self.survivors(other, percent):
-            yield from zip(i.tolist(), j.tolist())
-            if other is self:
-                yield from zip(j.tolist(), i.tolist())
-
-
-def point_survivors(points: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT, leaf: int = LEAF, settled=None):
-    """Arrays (i, j) of positions in ``points``, of ``left`` and ``right``, that may link.
+            at = at[(100 + percent) * np.minimum(self.upper[x], other.upper[at]).sum(1, dtype=np.int64) >= percent * (self.least[x] + other.least[at])]
+            if not len(at):
+                continue
+            mates = np.concatenate([other.leaves[y] for y in at])
+            if left is not None:
+                own = left[leaf]
+                mates = mates[right[mates] != own[0]] if (own == own[0]).all() else mates
+            for lo in range(0, len(mates), step := max(1, (1 << 22) // (len(leaf) * self.points.shape[1]))):
+                some = mates[lo : lo + step]
+                bound = np.minimum(self.points[leaf][:, None], other.points[some][None]).sum(2, dtype=np.int64)
+                fit = (100 + percent) * bound >= percent * (self.sizes[leaf][:, None] + other.sizes[some][None])
+                if left is not None:
+                    fit &= left[leaf][:, None] != right[some][None]
+                i, j = np.nonzero(fit)
+                if len(i):
+                    yield leaf[i], some[j]
+
+
+def point_survivors(points: list[np.ndarray], left, right, percent: int = PERCENT, comps: np.ndarray | None = None):
+    """Arrays (i, j) of positions in ``points``, of ``left`` and ``right``, that may link and are
+    of two components.
 
     There is a tree for each number of groups.  Sizes of sets that link differ by less than
     half, so only points of as many groups, or of twice as many, can meet; the latter are
@@ -192,10 +253,10 @@ def point_survivors(points: list[np.ndarray], left: list[int], right: list[int],
         for i in positions:
             by.setdefault(len(points[i]), []).append(i)
         out = {g: (np.array(at), np.stack([points[i] for i in at])) for g, at in by.items()}
-        return {g: (at, CountRTree.of(stacked, leaf)) for g, (at, stacked) in out.items()}
+        return {g: (at, CountRTree(stacked)) for g, (at, stacked) in out.items()}
 
     def folded(at, tree):
-        return at, CountRTree.of(tree.points.reshape(len(at), -1, 2).sum(2), leaf)
+        return at, CountRTree(tree.points.astype(np.int32).reshape(len(at), -1, 2).sum(2))
 
     a = forest(left)
     b = a if left is right else forest(right)
@@ -203,38 +264,39 @@ def point_survivors(points: list[np.ndarray], left: list[int], right: list[int],
     if b is not a:
         pairs += [(folded(*a[g]), b[g // 2]) for g in a if g // 2 in b]
     for (at, tree), (to, other) in pairs:
-        known = settled and (lambda i, j, at=at, to=to: settled(at[i], to[j]))
-        for i, j in tree.survivors(other, percent, known):
+        for i, j in tree.survivors(other, percent, *(() if comps is None else (comps[at], comps[to]))):
             yield at[i], to[j]
 
 
-class _Union:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(up, up)
-        return x
-
-    def join(self, p: int, q: int) -> None:
-        """Of two roots."""
-        self.parent[max(p, q)] = min(p, q)
-
-
 def block_links(nodes, comps, sets, left, right, percent: int = PERCENT):
     """Links between members of ``left`` and of ``right`` (positions), as far as they connect
-    what isn't connected yet."""
+    what isn't connected yet: of each component one node, linked to one node of those it
+    comes to belong to."""
     if not left or not right:
         return []
-    known, out = _Union(), []
-    for some, mates in point_survivors([count_point(s) for s in sets], left, right, percent):
-        for x, y in zip(some.tolist(), mates.tolist()):
-            p, q = known.root(comps[x]), known.root(comps[y])
-            if p != q and linked(sets[x], sets[y], percent):
-                known.join(p, q)
-                out.append((nodes[x], nodes[y]))
-    return out
+    # positions of a component have one label; labels change as components meet
+    names, first, label = np.unique(np.array(comps), return_index=True, return_inverse=True)
+    if len(names) == 1:
+        return []
+    started = label.copy()
+    sizes = np.array([len(s) for s in sets])
+    local = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(max(int(x.max()) for x in local) + 1, np.uint8)
+    for some, mates in point_survivors([count_point(s) for s in sets], left, right, percent, label):
+        for x in np.unique(some).tolist():
+            ys = mates[some == x]
+            ys = ys[label[ys] != label[x]]
+            if not len(ys):
+                continue
+            mark[local[x]] = 1
+            hits = mark[np.concatenate([local[y] for y in ys])]
+            mark[local[x]] = 0
+            common = np.add.reduceat(hits, np.cumsum(np.append(0, sizes[ys][:-1])), dtype=np.int64)
+            for y in ys[100 * common >= percent * (sizes[x] + sizes[ys] - common)].tolist():
+                if label[x] != label[y]:
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
+    heads = label[first]
+    return [(nodes[first[k]], nodes[first[heads[k]]]) for k in np.flatnonzero(heads != started[first]).tolist()]
 
 
 def _by_block(batches, names, work):
@@ -254,8 +316,9 @@ def _by_block(batches, names, work):
 
 def _sides(rows):
     left = [i for i, r in enumerate(rows) if r[0] == 0]
-    right = [i for i, r in enumerate(rows) if r[0] == 1]
-    return left, right
+    if not rows[0][3]:
+        return left, left
+    return left, [i for i, r in enumerate(rows) if r[0] == 1]
 
 
 def _longs(rows, names):
@@ -277,17 +340,11 @@ def _link_blocks(percent: int):
     """Links of each block: side 0 is compared with side 1, or with itself where not ``mated``."""
 
     def run(batches):
-        hasher = WordHasher()
-
         def work(rows):
             left, right = _sides(rows)
-            mated = rows[0][3]
-            if not left or mated and not right:
-                return []
-            sets = list(shingle_sets(pa.array([r[4] for r in rows], pa.string()), hasher))
-            return block_links([r[1] for r in rows], [r[2] for r in rows], sets, left, right if mated else left, percent)
+            return block_links([r[1] for r in rows], [r[2] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows], left, right, percent)
 
-        yield from _in_lots(_by_block(batches, ("side", "node", "comp", "mated", "text"), work), ["a", "b"])
+        yield from _in_lots(_by_block(batches, ("side", "node", "comp", "mated", "set"), work), ["a", "b"])
 
     return run
 
@@ -299,25 +356,11 @@ def _near_blocks(percent: int):
     def run(batches):
         def work(rows):
             left, right = _sides(rows)
-            mated = rows[0][3]
-            if not left or mated and not right:
-                return []
             comps = np.array([r[2] for r in rows], np.int64)
-            if (comps == comps[0]).all():
+            if not left or not right or (comps == comps[0]).all():
                 return []
             near, heads = np.zeros(len(rows), bool), comps.copy()
-
-            def settled(i, j):
-                """All are of one component, or known to be near and to lead to one head."""
-                one = heads[i[0]]
-                if (heads[i] != one).any() or (heads[j] != one).any():
-                    return False
-                return near[i].all() and near[j].all() or (comps[i] == comps[i[0]]).all() and (comps[j] == comps[i[0]]).all()
-
-            points = [unpack_point(r[4]) for r in rows]
-            for i, j in point_survivors(points, left, right if mated else left, percent, POINT_LEAF, settled):
-                apart = comps[i] != comps[j]
-                i, j = i[apart], j[apart]
+            for i, j in point_survivors([unpack_point(r[4]) for r in rows], left, right, percent, comps):
                 near[i] = near[j] = True
                 while (open_ := heads[i] != heads[j]).any():
                     k = int(open_.argmax())
@@ -330,29 +373,27 @@ def _near_blocks(percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, most: int) -> DataFrame:
-    """Deals groups of (grp, node, comp, ...) into blocks, with columns block, mates, side and
-    mated more.  Groups up to ``most`` are a block.  Of a larger one the members outside its
-    largest component, in blocks of ``most``, meet all its members, block by block."""
+def _blocks(nodes, shingles):
+    """How many blocks so many nodes and shingles make."""
+    return F.greatest(F.ceil(nodes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Deals groups of (grp, node, comp, n, ...) into blocks, with columns block, mates, side and
+    mated more; n is the node's number of shingles.  Groups of one component are left out.  Of
+    a group of several blocks the members outside its largest component meet all its members,
+    block by block."""
     rest = [c for c in rows.columns if c not in ("grp", "node", "comp")]
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("open")).filter("open")
-    sizes = save(sizes.select("grp", "m"))
-
-    def placed(df, block, mates, side, mated):
-        return df.select("grp", block.cast("int").alias("block"), mates.cast("int").alias("mates"), F.lit(side).alias("side"), F.lit(mated).alias("mated"), "node", "comp", *rest)
-
-    out = placed(rows.join(sizes.filter(F.col("m") <= most), "grp"), F.lit(0), F.lit(-1), 0, False)
-    large = sizes.filter(F.col("m") > most)
-    if large.isEmpty():
-        return out
-    by = rows.join(large, "grp").groupBy("grp", "comp", "m").agg(F.count("*").alias("n"))
-    main = by.groupBy("grp", "m").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("n"))
-    main = save(main.select("grp", "main", F.ceil((F.col("m") - F.col("n")) / most).cast("int").alias("outer"), F.ceil(F.col("m") / most).cast("int").alias("blocks")))
-    wide = rows.join(main, "grp")
-    apart = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer"))
-    asking = wide.filter("comp <> main").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    every = wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
-    return out.unionByName(placed(asking, apart, F.col("k"), 0, True)).unionByName(placed(every, F.col("k"), F.pmod(F.xxhash64("node"), F.col("blocks")), 1, True))
+    by = rows.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    sizes = by.groupBy("grp").agg(F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "w", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    sizes = sizes.select("grp", _blocks(F.col("m"), F.col("w")).alias("blocks"), (-F.col("main.col3")).alias("main"), _blocks(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("outer"))
+    wide = rows.join(save(sizes), "grp")
+    single = F.array(F.struct(F.lit(0).alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated")))
+    apart, own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("int"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(apart.alias("block"), k.alias("mates"), F.lit(0).alias("side"), F.lit(True).alias("mated")))
+    every = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda k: F.struct(k.alias("block"), own.alias("mates"), F.lit(1).alias("side"), F.lit(True).alias("mated")))
+    places = F.when(F.col("blocks") == 1, single).when(F.col("comp") == F.col("main"), every).otherwise(F.concat(asking, every))
+    return wide.select("grp", "node", "comp", *rest, F.inline(places))
 
 
 def _compared(blocks: DataFrame, payload: str, work, schema: str) -> DataFrame:
@@ -369,107 +410,115 @@ def _with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
 class Classes:
     """Saved tables of a join.
 
-    rows: (doc_id, n_shingles, digest) of each row; nodes: (node, digest, doc_id, n_shingles), a
-    class of equal sets each; linked: (node, component), nodes of components of several nodes.
+    rows: (doc_id, th, n_shingles, digest) of each row, th being a hash of the text; nodes:
+    (node, digest, doc_id, th, n_shingles), a class of equal sets each; linked: (node,
+    component), nodes of components of several nodes.
     """
 
     def __init__(self, documents: DataFrame, percent: int = PERCENT):
         spark = documents.sparkSession
         docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        # 2^16 counters, however large the corpus
-        for r in docs.select("text").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-            counts[r.slot] = r.n
+        docs = docs.withColumn("th", F.xxhash64("text"))
+        levels, mean = slot_levels(docs.select("text"))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        signed = save(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(counts), percent), f"doc_id {kind}, n_shingles long, digest binary, prefix array<bigint>, point binary"))
-        self.rows = signed.select("doc_id", "n_shingles", "digest")
+        levels = spark.sparkContext.broadcast(levels)
+        signed = save(docs.mapInArrow(_signatures(levels, mean, percent), f"doc_id {kind}, th long, n_shingles long, digest binary, prefix array<bigint>, deal array<int>"))
+        levels.destroy()
+        self.rows = signed.select("doc_id", "th", "n_shingles", "digest")
         # a class's node: its smallest id (nulls last); equal sets share the rest
-        least = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"), F.any_value("point").alias("point"))
-        nodes = save(least.withColumn("node", F.monotonically_increasing_id()))
-        self.nodes = nodes.select("node", "digest", "doc_id", "n_shingles")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+        least = signed.filter("n_shingles > 0").groupBy("digest").agg(first, F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"), F.any_value("deal").alias("deal"))
+        nodes = save(least.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.th", "n_shingles", "prefix", "deal"))
+        self.nodes = nodes.select("node", "digest", "doc_id", "th", "n_shingles")
         free_shuffles(spark)
 
-        rare = nodes.select(F.explode("prefix").alias("shingle"), "node")
-        shared = save(rare.join(rare.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1"), "shingle"))
-        free_shuffles(spark)
-        if shared.isEmpty():
-            self.linked = spark.createDataFrame([], "node long, component long")
+        members = self._groups(nodes)
+        self.linked = spark.createDataFrame([], "node long, component long")
+        if members.isEmpty():
             return
-        # 1. each node among those with the most common of its rare shingles
-        home = shared.groupBy("node").agg(F.max(F.struct("m", "shingle")).alias("s")).select("node", F.col("s.shingle").alias("grp"))
-        home = save(home.join(nodes.select("node", "doc_id", "digest"), "node"))
-        texts = save(self._texts(docs, home))
-        links = self._near_home(texts, percent)
+        sets = self._sets(docs, members)
         free_shuffles(spark)
-        # 2. rare shingles that components share; those of the same nodes are one group
-        placed = save(_with_component(shared, links))
-        drop_saved(shared)
-        groups = placed.groupBy("shingle").agg((F.min("comp") < F.max("comp")).alias("open"), F.xxhash64(F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("grp")).filter("open")
-        open_ = placed.join(groups.select("shingle", "grp"), "shingle").select("grp", "node", "comp").distinct()
-        open_ = save(open_.join(nodes.select("node", "point"), "node"))
-        near = _compared(_dealt(open_, POINT_BLOCK), "point", _near_blocks(percent), "node long, comp long, head long")
-        drop_saved(placed, open_)
+        # 1. each node in its largest group
+        links = self._near_home(members, sets, percent)
+        free_shuffles(spark)
+        # 2. groups that components share: points
+        placed = save(_with_component(members, links))
+        open_ = placed.groupBy("grp").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("grp")
+        points = placed.join(open_, "grp").join(sets.select("node", "n", "point"), "node")
+        near = _compared(_dealt(save(points)), "point", _near_blocks(percent), "node long, comp long, head long")
         free_shuffles(spark)
         # 3. families of components with near points are compared set by set
         families = components(near.select(F.col("comp").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("comp"), F.col("component").alias("grp"))
-        members = save(near.select("node", "comp").distinct().join(families, "comp"))
-        wide = save(texts.select("node", "text").join(members, "node"))
-        drop_saved(texts)
+        family = near.select("node", "comp").distinct().join(families, "comp")
+        wide = save(sets.select("node", "n", "set").join(family, "node"))
         free_shuffles(spark)
-        more = _compared(_dealt(wide, BLOCK), "text", _link_blocks(percent), "a long, b long")
-        drop_saved(wide)
+        more = _compared(_dealt(wide), "set", _link_blocks(percent), "a long, b long")
+        drop_saved(wide, sets)
         free_shuffles(spark)
         self.linked = save(components(links.unionByName(more)).select(F.col("id").alias("node"), "component"))
 
     @staticmethod
-    def _near_home(texts: DataFrame, percent: int) -> DataFrame:
-        """Links within blocks of the nodes' own groups.  Then a node of each component of a
-        group of several blocks meets the others of its group, as long as that finds links."""
-        sizes = texts.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1")
-        rows, links = texts.join(sizes, "grp").withColumn("comp", F.col("node")), None
-        while True:
-            block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("int")
-            blocks = rows.select("grp", block.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated"), "node", "comp", "text")
-            found = _compared(blocks, "text", _link_blocks(percent), "a long, b long")
-            links = links.unionByName(found) if links else found
-            large = sizes.filter(F.col("m") > BLOCK).select("grp")
-            if large.isEmpty() or found.isEmpty():
-                return links
-            heads = _with_component(texts.select("grp", "node").join(large, "grp"), links).groupBy("grp", "comp").agg(F.min("node").alias("node"))
-            heads = save(heads)
-            sizes = save(heads.groupBy("grp").agg(F.count("*").alias("m")).filter("m > 1"))
-            rows = texts.select("node", "text").join(heads.join(sizes, "grp"), "node")
+    def _groups(nodes: DataFrame) -> DataFrame:
+        """(grp, node), saved: nodes that share a rare shingle; shingles of the same nodes are one group."""
+        rare = nodes.select(F.inline(F.arrays_zip("prefix", "deal")), "node").toDF("shingle", "deal", "node")
+        salt = F.when(F.col("deal") > 1, 1 + F.pmod(F.xxhash64("node"), F.col("deal"))).otherwise(0).cast("int")
+        rare = rare.select("shingle", salt.alias("salt"), "node").repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
+        shared = save(rare.mapInArrow(_shared_rows, "shingle long, node long"))
+        free_shuffles(nodes.sparkSession)
+        of = shared.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
+        groups = of.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+        members = save(shared.join(groups, "shingle").select(F.col("shingle").alias("grp"), "node"))
+        drop_saved(shared)
+        return members
 
-    @staticmethod
-    def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-        """Members with a text of their class."""
-        wanted = members.select("doc_id", "node", "grp", "digest")
-        few = members.count() <= BROADCAST_IDS
-        ids = F.broadcast(wanted) if few else wanted
-        got = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "grp", "digest", "text")
-
-        def same(batches):
+    def _sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """(node, n, set, point), saved, of the nodes of groups."""
+        wanted = save(self.nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th"))
+        # Spark broadcasts the ids where their table is small enough
+        got = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["th"].eqNullSafe(wanted["th"])).select("node", "text")
+
+        def packed(batches):
             hasher = WordHasher()
             for batch in batches:
-                got = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(batch.column("text"), hasher)]
-                want = batch.column("digest").to_pylist()
-                yield batch.filter(pa.array([g == w for g, w in zip(got, want)], pa.bool_()))
+                sets = list(shingle_sets(batch.column("text"), hasher))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([pack_point(count_point(s)) for s in sets], pa.binary())],
+                    ["node", "n", "set", "point"],
+                )
 
-        # an id that occurs in several rows may have texts of other classes, and several of this one
-        several = docs.groupBy("doc_id").count().filter("count > 1")
-        if several.isEmpty():
-            return got.drop("digest")
-        return got.mapInArrow(same, got.schema).dropDuplicates(["node"]).drop("digest")
+        out = got.mapInArrow(packed, "node long, n long, set binary, point binary")
+        repeated = self.rows.groupBy("doc_id", "th").count().filter("count > 1")
+        return save(out if repeated.isEmpty() else out.dropDuplicates(["node"]))
+
+    @staticmethod
+    def _near_home(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        """Links within blocks of each node's largest group.  Groups of several blocks are dealt
+        anew as long as that finds links."""
+        sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
+        home = members.join(sizes, "grp").groupBy("node").agg(F.max(F.struct("size", "grp")).alias("s")).select("node", "s.grp")
+        home = save(home.join(sets.select("node", "n"), "node"))
+        sizes = home.groupBy("grp").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).filter("m > 1").select("grp", "blocks")
+        rows, links, deal = home.join(save(sizes), "grp").withColumn("comp", F.col("node")), None, 0
+        while True:
+            block = F.pmod(F.xxhash64("node", F.lit(deal)), F.col("blocks")).cast("int")
+            placed = rows.select("grp", block.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated"), "node", "comp")
+            found = _compared(placed.join(sets.select("node", "set"), "node"), "set", _link_blocks(percent), "a long, b long")
+            links = links.unionByName(found) if links else found
+            large = rows.filter("blocks > 1").select("grp", "blocks", "node")
+            if large.isEmpty() or found.isEmpty():
+                return links
+            rows, deal = save(_with_component(large, links)), deal + 1
+            free_shuffles(sets.sparkSession)
 
     def by_row(self) -> DataFrame:
-        """(doc_id, n_shingles, digest, component_id, node) of each row."""
+        """(doc_id, th, n_shingles, digest, component_id, component) of each row."""
         with_node = self.rows.join(self.nodes.select("digest", "node", F.col("doc_id").alias("own")), "digest", "left")
         heads = self.linked.join(self.nodes.select("node", "doc_id"), "node")
         least = heads.groupBy("component").agg(F.min("doc_id").alias("head"))
         named = self.linked.join(least, "component").select("node", "head", "component")
         out = with_node.join(named, "node", "left")
         own = F.when(F.col("n_shingles") > 0, F.col("own")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", "n_shingles", "digest", F.coalesce("head", own).alias("component_id"), "node", F.coalesce("component", "node").alias("component"))
+        return out.select("doc_id", "th", "n_shingles", "digest", F.coalesce("head", own).alias("component_id"), F.coalesce("component", "node").alias("component"))
 
 
 def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -487,36 +536,23 @@ def join_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``documents``, with all their columns, reduced to one row of each component: that of
     the smallest id (of repeated rows, one).  Rows with an empty set stay."""
-    named = save(Classes(documents, percent).by_row())
-    key = ["doc_id", "digest"]
-    full = named.filter("n_shingles > 0")
-    keep = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")).select("k.doc_id", "k.digest")
-    many = full.groupBy(*key).count().filter("count > 1").select(*key)
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("digest binary, filled boolean").fields])
-
-    def signed(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), hasher))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) > 0 for s in sets], pa.bool_())],
-                ["row", "digest", "filled"],
-            )
-
-    rows = rows.mapInArrow(signed, schema)
+    named = save(Classes(documents, percent).by_row().filter("n_shingles > 0").select("doc_id", "th", "component"))
+    keep = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th", F.lit(True).alias("kept"))
+    same = named.groupBy("doc_id", "th").count()
+    keep = keep.withColumnsRenamed({"doc_id": "i", "th": "t"})
+    state = same.join(keep, same["doc_id"].eqNullSafe(keep["i"]) & (same["th"] == keep["t"]), "left").select("doc_id", "th", "count", F.coalesce("kept", F.lit(False)).alias("kept"))
+    # rows to drop, and repeated rows of which one is kept
+    state = save(state.filter("NOT kept OR count > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "kept"))
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("th"))
 
     def match(other):
-        return rows["row.doc_id"].eqNullSafe(other["doc_id"]) & (rows["digest"] == other["digest"])
-
-    drop = save(full.select(*key).distinct().join(keep.withColumnsRenamed({"doc_id": "i", "digest": "d"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_anti"))
-    out = rows.join(drop, match(drop), "left_anti")
-    if not many.isEmpty():
-        several = save(many)
-        again = out.filter("filled").join(several, out["row.doc_id"].eqNullSafe(several["doc_id"]) & (out["digest"] == several["digest"]), "left_semi")
-        once = again.groupBy(F.col("row.doc_id").alias("i"), "digest").agg(F.any_value("row").alias("row")).select("row")
-        rest = out.join(several, out["row.doc_id"].eqNullSafe(several["doc_id"]) & (out["digest"] == several["digest"]) & out["filled"], "left_anti").select("row")
-        return rest.unionByName(once).select("row.*")
+        return rows["row.doc_id"].eqNullSafe(other["i"]) & (rows["th"] == other["t"])
+
+    out = rows.join(state, match(state), "left_anti").select("row")
+    again = state.filter("kept")
+    if not again.isEmpty():
+        several = rows.join(again, match(again)).groupBy("i", "t").agg(F.any_value("row").alias("row"))
+        out = out.unionByName(several.select("row"))
     return out.select("row.*")
 
 

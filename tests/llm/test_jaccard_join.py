@@ -89,7 +89,7 @@ def test_edge_cases(spark):
 
 def test_families_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
-    monkeypatch.setattr(J, "POINT_BLOCK", 16)
+    monkeypatch.setattr(J, "SPLIT", 1)
     rng = np.random.default_rng(9)
     rows = list(enumerate(variants(rng, 90, 60, 5) + variants(rng, 40, 40, 6) + variants(rng, 3, 50, 1)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -110,8 +110,9 @@ def test_tree_misses_no_pair(lists):
     rng = np.random.default_rng(1)
     names = np.sort(rng.integers(0, 2**63, 41).astype(np.uint64))
     sets = [np.unique(names[x]) for x in lists]
-    tree = J.CountRTree(sets)
-    found = set(tree.candidates(tree))
+    points = [J.count_point(s) for s in sets]
+    every = list(range(len(sets)))
+    found = {p for x, y in J.point_survivors(points, every, every) for i, j in zip(x.tolist(), y.tolist()) for p in ((i, j), (j, i))}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             if J.linked(a, b):
