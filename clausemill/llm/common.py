@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "file:///tmp/checkpoints/clausemill"
 
 
+#: About so many links are joined by a task before links are joined across tasks.
+EDGES_DEALT = 1 << 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,16 +70,40 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     )
 
 
+def _share_stars(batches):
+    """(u, v) of each node u that this share of links connects to a smaller one: v, the smallest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            p, q = root(u), root(v)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    ends = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([root(x) for x in ends], pa.int64())], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (a, b) links as (id, component), component being the
     smallest id.  Alternates large-star and small-star steps, each a grouped minimum, so
     that no group's rows meet in one task, until links are stars: no centre has a smaller
     neighbour and no other node two.  Every round is written to the shared folder.
 
+    Links are first dealt at random, EDGES_DEALT a task or so, and each task's share is replaced
+    by stars; where that is one share they are the result.
+
     Only ids that occur in ``links`` with a != b are returned.  Null ends are ignored.
     """
-    edges = save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while not _stars(edges):
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    shares = links.count() // EDGES_DEALT + 1
+    edges = edges.repartition(shares).mapInArrow(_share_stars, "u long, v long")
+    edges = save(edges if shares == 1 else edges.distinct())
+    while shares > 1 and not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours of u point to the smallest of u's neighbourhood

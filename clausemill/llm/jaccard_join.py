@@ -73,26 +73,33 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches):
-    """This task's counters, as pieces that hold anything: (piece, width of a count, counts)."""
+    """This task's counters, as pieces that hold anything: (piece, width of a count, places of
+    counts or null where there is one for each slot, counts)."""
     total, hasher, size = np.zeros(1 << SLOT_BITS, np.int32), WordHasher(), 1 << PIECE_BITS
     for batch in batches:
         for s in shingle_sets(batch.column(0), hasher):
             np.add.at(total, _slots(s), np.int32(1))
+    rows = []
     for piece in range(len(total) // size):
         part = total[piece * size : (piece + 1) * size]
         if most := int(part.max()):
             width = 1 if most < 256 else 2 if most < 65536 else 4
-            data = zlib.compress(part.astype(f"<u{width}").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([width], pa.int32()), pa.array([data], pa.binary())], ["piece", "width", "counts"])
+            at = np.flatnonzero(part)
+            few = 8 * len(at) < size
+            data = (part[at] if few else part).astype(f"<u{width}").tobytes()
+            rows.append((piece, width, zlib.compress(at.astype("<u2").tobytes(), 1) if few else None, zlib.compress(data, 1)))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["piece", "width", "places", "counts"])
 
 
 def _summed(batches):
     """Sums of the pieces of all tasks: (piece, shingles, counts)."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for piece, width, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "width", "counts"))):
-            part = np.frombuffer(zlib.decompress(data), f"<u{width}")
-            held[piece] = held[piece] + part if piece in held else part.astype(np.int64)
+        for piece, width, places, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "width", "places", "counts"))):
+            total = held.setdefault(piece, np.zeros(1 << PIECE_BITS, np.int64))
+            at = slice(None) if places is None else np.frombuffer(zlib.decompress(places), "<u2")
+            total[at] += np.frombuffer(zlib.decompress(data), f"<u{width}").astype(np.int64)
     for piece, part in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([int(part.sum())], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "shingles", "counts"])
 
@@ -110,8 +117,9 @@ def count_of(levels, mean: float):
 def slot_levels(texts: DataFrame) -> tuple[np.ndarray, float]:
     """Levels of 2^SLOT_BITS counters of all shingles of all texts, and the mean count.  On the
     driver they take 2^SLOT_BITS bytes, however large the corpus."""
-    pieces = texts.mapInArrow(_counted, "piece int, width int, counts binary")
-    summed = save(pieces.repartition("piece").mapInArrow(_summed, "piece int, shingles long, counts binary"))
+    pieces = texts.mapInArrow(_counted, "piece int, width int, places binary, counts binary")
+    # 2^8 pieces: few tasks do
+    summed = save(pieces.repartition("piece").coalesce(16).mapInArrow(_summed, "piece int, shingles long, counts binary"))
     mean = max(1.0, (summed.agg(F.sum("shingles")).first()[0] or 0) / (1 << SLOT_BITS))
 
     def leveled(batches):
@@ -120,7 +128,7 @@ def slot_levels(texts: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(got, pa.binary())], ["piece", "levels"])
 
     levels = np.zeros((1 << SLOT_BITS - PIECE_BITS, 1 << PIECE_BITS), np.uint8)
-    for r in summed.mapInArrow(leveled, "piece int, levels binary").toLocalIterator():
+    for r in summed.mapInArrow(leveled, "piece int, levels binary").collect():
         levels[r.piece] = np.frombuffer(r.levels, np.uint8)
     drop_saved(summed)
     return levels.reshape(-1), mean
@@ -163,14 +171,14 @@ def _shared_rows(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        shingle, salt, node = (np.asarray(batch.column(c)) for c in ("shingle", "salt", "node"))
+        shingle, salt, node, n = (np.asarray(batch.column(c)) for c in ("shingle", "salt", "node", "n"))
         if held:
-            shingle, salt, node = (np.append(np.array([h], a.dtype), a) for h, a in zip(held, (shingle, salt, node)))
+            shingle, salt, node, n = (np.append(np.array([h], a.dtype), a) for h, a in zip(held, (shingle, salt, node, n)))
         same = np.append(held is None and before == (shingle[0], salt[0]), (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1]))
         keep = same | np.append(same[1:], False) | (salt > 0)
         before = (shingle[-1], salt[-1])
-        held = None if keep[-1] else (shingle[-1], salt[-1], node[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep])], ["shingle", "node"])
+        held = None if keep[-1] else (shingle[-1], salt[-1], node[-1], n[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(n[keep])], ["shingle", "node", "n"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -387,7 +395,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     by = rows.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     sizes = by.groupBy("grp").agg(F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "w", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     sizes = sizes.select("grp", _blocks(F.col("m"), F.col("w")).alias("blocks"), (-F.col("main.col3")).alias("main"), _blocks(F.col("m") - F.col("main.m"), F.col("w") - F.col("main.w")).alias("outer"))
-    wide = rows.join(save(sizes), "grp")
+    wide = rows.join(sizes, "grp")
     single = F.array(F.struct(F.lit(0).alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated")))
     apart, own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outer")).cast("int"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(apart.alias("block"), k.alias("mates"), F.lit(0).alias("side"), F.lit(True).alias("mated")))
@@ -442,32 +450,29 @@ class Classes:
         links = self._near_home(members, sets, percent)
         free_shuffles(spark)
         # 2. groups that components share: points
-        placed = save(_with_component(members, links))
-        open_ = placed.groupBy("grp").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("grp")
-        points = placed.join(open_, "grp").join(sets.select("node", "n", "point"), "node")
-        near = _compared(_dealt(save(points)), "point", _near_blocks(percent), "node long, comp long, head long")
+        placed = save(_with_component(members.select("grp", "node", "n"), links))
+        near = _compared(_dealt(placed).join(sets.select("node", "point"), "node"), "point", _near_blocks(percent), "node long, comp long, head long")
         free_shuffles(spark)
         # 3. families of components with near points are compared set by set
         families = components(near.select(F.col("comp").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("comp"), F.col("component").alias("grp"))
-        family = near.select("node", "comp").distinct().join(families, "comp")
-        wide = save(sets.select("node", "n", "set").join(family, "node"))
-        free_shuffles(spark)
-        more = _compared(_dealt(wide), "set", _link_blocks(percent), "a long, b long")
-        drop_saved(wide, sets)
+        family = save(near.select("node", "comp").distinct().join(families, "comp").join(sets.select("node", "n"), "node"))
+        more = _compared(_dealt(family).join(sets.select("node", "set"), "node"), "set", _link_blocks(percent), "a long, b long")
+        drop_saved(sets)
         free_shuffles(spark)
         self.linked = save(components(links.unionByName(more)).select(F.col("id").alias("node"), "component"))
 
     @staticmethod
     def _groups(nodes: DataFrame) -> DataFrame:
-        """(grp, node), saved: nodes that share a rare shingle; shingles of the same nodes are one group."""
-        rare = nodes.select(F.inline(F.arrays_zip("prefix", "deal")), "node").toDF("shingle", "deal", "node")
+        """(grp, size, weight, node, n), saved: nodes that share a rare shingle, and how many nodes
+        and shingles of nodes there are in the group; shingles of the same nodes are one group."""
+        rare = nodes.select(F.inline(F.arrays_zip("prefix", "deal")), "node", "n_shingles").toDF("shingle", "deal", "node", "n")
         salt = F.when(F.col("deal") > 1, 1 + F.pmod(F.xxhash64("node"), F.col("deal"))).otherwise(0).cast("int")
-        rare = rare.select("shingle", salt.alias("salt"), "node").repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
-        shared = save(rare.mapInArrow(_shared_rows, "shingle long, node long"))
+        rare = rare.select("shingle", salt.alias("salt"), "node", "n").repartition("shingle", "salt").sortWithinPartitions("shingle", "salt")
+        shared = save(rare.mapInArrow(_shared_rows, "shingle long, node long, n long"))
         free_shuffles(nodes.sparkSession)
-        of = shared.groupBy("shingle").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
-        groups = of.groupBy("m", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
-        members = save(shared.join(groups, "shingle").select(F.col("shingle").alias("grp"), "node"))
+        of = shared.groupBy("shingle").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
+        groups = of.groupBy("m", "w", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", F.col("m").alias("size"), F.col("w").alias("weight"))
+        members = save(shared.join(groups, "shingle").select(F.col("shingle").alias("grp"), "size", "weight", "node", "n"))
         drop_saved(shared)
         return members
 
@@ -494,11 +499,9 @@ class Classes:
     def _near_home(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         """Links within blocks of each node's largest group.  Groups of several blocks are dealt
         anew as long as that finds links."""
-        sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-        home = members.join(sizes, "grp").groupBy("node").agg(F.max(F.struct("size", "grp")).alias("s")).select("node", "s.grp")
-        home = save(home.join(sets.select("node", "n"), "node"))
-        sizes = home.groupBy("grp").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).filter("m > 1").select("grp", "blocks")
-        rows, links, deal = home.join(save(sizes), "grp").withColumn("comp", F.col("node")), None, 0
+        home = members.groupBy("node").agg(F.max(F.struct("size", "grp", "weight")).alias("s"))
+        # of the group's nodes some have another home, so these are blocks enough
+        rows, links, deal = home.select("node", "s.grp", _blocks(F.col("s.size"), F.col("s.weight")).alias("blocks"), F.col("node").alias("comp")), None, 0
         while True:
             block = F.pmod(F.xxhash64("node", F.lit(deal)), F.col("blocks")).cast("int")
             placed = rows.select("grp", block.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated"), "node", "comp")

@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from clausemill.llm import common
 from clausemill.llm import jaccard_join as J
 from clausemill.llm.common import components, table
 
@@ -121,7 +123,9 @@ def test_tree_misses_no_pair(lists):
                 assert set(a[: k[0]].tolist()) & set(b[: k[1]].tolist())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("dealt", [4, 1 << 16])
+def test_components(spark, monkeypatch, dealt):
+    monkeypatch.setattr(common, "EDGES_DEALT", dealt)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (200, 201), (201, 202), (5, 5), (7, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90} | {200: 200, 201: 200, 202: 200}
