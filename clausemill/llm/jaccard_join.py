@@ -14,12 +14,12 @@ sets' Jaccard similarity is 0.8 or more; the join returns the connected componen
   shingle's slot of SLOT_BITS-bit counters occurs, then by hash.  A group is the nodes that
   hold such a shingle; shingles of the same nodes are one group.  A node that shares none of
   its rare shingles takes no further part.
-* First each node meets, in blocks of bounded size, its largest group.  Blocks of groups that
-  need several are dealt anew until a deal links nothing more, so that a large group of near
-  copies becomes one component without a comparison of all with all.
+* Groups of more than a block, if there are any, are linked first: their nodes' sets are
+  compared in blocks that are dealt anew until a deal links nothing more, so that a large group
+  of near copies becomes one component without a comparison of all with all.
 * Then groups that several components share send their points alone; trees over them find the
-  nodes that may link with one of another component.  Sets of only these are sent, by families
-  of the components that such pairs connect.
+  nodes that may link with one of another component.  Sets of only these are sent, once each, by
+  families of the components that such pairs connect.
 * Of groups of more than a block the members outside the largest component meet all, block by
   block.
 
@@ -135,14 +135,14 @@ def slot_levels(texts: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _signatures(levels, mean: float, percent: int):
-    """Of each document: size and digest of its set, the rarest part of the set, and over how
-    many tasks each shingle of that part is dealt."""
+    """Of each document: size and digest of its set, the rarest part of the set, over how many
+    tasks each shingle of that part is dealt, and the set's point."""
 
     def run(batches):
         level, hasher = levels.value, WordHasher()
         deals = np.minimum(1 << 20, np.ceil(count_of(np.arange(256), mean) / SPLIT)).astype(np.int32)
         for batch in batches:
-            sizes, digests, prefixes, parts = [], [], [], []
+            sizes, digests, prefixes, parts, points = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), hasher):
                 k, of = prefix_length(len(s), percent), level[_slots(s)]
                 if k < len(s):
@@ -153,12 +153,14 @@ def _signatures(levels, mean: float, percent: int):
                     prefixes.append(s.view(np.int64))
                     parts.append(deals[of])
                 sizes.append(len(s))
+                points.append(pack_point(count_point(s)))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
             deal = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, deal], ["doc_id", "th", "n_shingles", "digest", "prefix", "deal"]
+                [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, deal, pa.array(points, pa.binary())],
+                ["doc_id", "th", "n_shingles", "digest", "prefix", "deal", "point"],
             )
 
     return run
@@ -195,13 +197,18 @@ def count_point(s: np.ndarray) -> np.ndarray:
 
 
 def pack_point(point: np.ndarray) -> bytes:
-    """The width of a count, the counts."""
+    """The bits of a count (4 if all are below 16), the counts."""
+    if point.max() < 16:
+        return b"\x04" + (point[::2] << 4 | point[1::2]).astype(np.uint8).tobytes()
     kind = np.uint8 if point.max() < 256 else np.int32
-    return bytes([np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
+    return bytes([8 * np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
 
 
 def unpack_point(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.int32, offset=1).astype(np.int32)
+    if packed[0] == 4:
+        two = np.frombuffer(packed, np.uint8, offset=1)
+        return np.column_stack([two >> 4, two & 15]).ravel().astype(np.int32)
+    return np.frombuffer(packed, np.uint8 if packed[0] == 8 else np.int32, offset=1).astype(np.int32)
 
 
 class CountRTree:
@@ -430,36 +437,37 @@ class Classes:
         levels, mean = slot_levels(docs.select("text"))
         kind = docs.schema["doc_id"].dataType.simpleString()
         levels = spark.sparkContext.broadcast(levels)
-        signed = save(docs.mapInArrow(_signatures(levels, mean, percent), f"doc_id {kind}, th long, n_shingles long, digest binary, prefix array<bigint>, deal array<int>"))
+        signed = save(docs.mapInArrow(_signatures(levels, mean, percent), f"doc_id {kind}, th long, n_shingles long, digest binary, prefix array<bigint>, deal array<int>, point binary"))
         levels.destroy()
-        self.rows = signed.select("doc_id", "th", "n_shingles", "digest")
+        self.rows = save(signed.select("doc_id", "th", "n_shingles", "digest"))
         # a class's node: its smallest id (nulls last); equal sets share the rest
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
-        least = signed.filter("n_shingles > 0").groupBy("digest").agg(first, F.max("n_shingles").alias("n_shingles"), F.any_value("prefix").alias("prefix"), F.any_value("deal").alias("deal"))
-        nodes = save(least.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.th", "n_shingles", "prefix", "deal"))
+        least = signed.filter("n_shingles > 0").groupBy("digest").agg(first, F.any_value(F.struct("n_shingles", "prefix", "deal", "point")).alias("s"))
+        nodes = save(least.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.th", "s.*"))
         self.nodes = nodes.select("node", "digest", "doc_id", "th", "n_shingles")
+        drop_saved(signed)
         free_shuffles(spark)
 
         members = self._groups(nodes)
         self.linked = spark.createDataFrame([], "node long, component long")
         if members.isEmpty():
             return
-        sets = self._sets(docs, members)
-        free_shuffles(spark)
-        # 1. each node in its largest group
-        links = self._near_home(members, sets, percent)
-        free_shuffles(spark)
+        # 1. large groups, if any
+        blocks = _blocks(F.col("size"), F.col("weight"))
+        links = self._large_links(docs, members.withColumn("blocks", blocks).filter("blocks > 1"), percent)
+        placed = members.select("grp", "node", "n")
+        placed = placed.withColumn("comp", F.col("node")) if links is None else save(_with_component(placed, links))
         # 2. groups that components share: points
-        placed = save(_with_component(members.select("grp", "node", "n"), links))
-        near = _compared(_dealt(placed).join(sets.select("node", "point"), "node"), "point", _near_blocks(percent), "node long, comp long, head long")
+        near = _compared(_dealt(placed).join(nodes.select("node", "point"), "node"), "point", _near_blocks(percent), "node long, comp long, head long")
         free_shuffles(spark)
         # 3. families of components with near points are compared set by set
         families = components(near.select(F.col("comp").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("comp"), F.col("component").alias("grp"))
+        sets = self._sets(docs, near)
         family = save(near.select("node", "comp").distinct().join(families, "comp").join(sets.select("node", "n"), "node"))
         more = _compared(_dealt(family).join(sets.select("node", "set"), "node"), "set", _link_blocks(percent), "a long, b long")
         drop_saved(sets)
         free_shuffles(spark)
-        self.linked = save(components(links.unionByName(more)).select(F.col("id").alias("node"), "component"))
+        self.linked = save(components(more if links is None else links.unionByName(more)).select(F.col("id").alias("node"), "component"))
 
     @staticmethod
     def _groups(nodes: DataFrame) -> DataFrame:
@@ -477,7 +485,7 @@ class Classes:
         return members
 
     def _sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
-        """(node, n, set, point), saved, of the nodes of groups."""
+        """(node, n, set), saved, of the nodes of ``members``."""
         wanted = save(self.nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th"))
         # Spark broadcasts the ids where their table is small enough
         got = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["th"].eqNullSafe(wanted["th"])).select("node", "text")
@@ -486,32 +494,31 @@ class Classes:
             hasher = WordHasher()
             for batch in batches:
                 sets = list(shingle_sets(batch.column("text"), hasher))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([pack_point(count_point(s)) for s in sets], pa.binary())],
-                    ["node", "n", "set", "point"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
 
-        out = got.mapInArrow(packed, "node long, n long, set binary, point binary")
+        out = got.mapInArrow(packed, "node long, n long, set binary")
         repeated = self.rows.groupBy("doc_id", "th").count().filter("count > 1")
         return save(out if repeated.isEmpty() else out.dropDuplicates(["node"]))
 
-    @staticmethod
-    def _near_home(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-        """Links within blocks of each node's largest group.  Groups of several blocks are dealt
+    def _large_links(self, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
+        """Links within blocks of groups of several, each node in its largest.  Blocks are dealt
         anew as long as that finds links."""
-        home = members.groupBy("node").agg(F.max(F.struct("size", "grp", "weight")).alias("s"))
-        # of the group's nodes some have another home, so these are blocks enough
-        rows, links, deal = home.select("node", "s.grp", _blocks(F.col("s.size"), F.col("s.weight")).alias("blocks"), F.col("node").alias("comp")), None, 0
+        if members.isEmpty():
+            return None
+        sets = self._sets(docs, members)
+        home = members.groupBy("node").agg(F.max(F.struct("size", "grp", "blocks")).alias("s"))
+        # some of the group's nodes have another home, so these are blocks enough
+        rows, links, deal = home.select("node", "s.grp", "s.blocks", F.col("node").alias("comp")), None, 0
         while True:
             block = F.pmod(F.xxhash64("node", F.lit(deal)), F.col("blocks")).cast("int")
             placed = rows.select("grp", block.alias("block"), F.lit(-1).alias("mates"), F.lit(0).alias("side"), F.lit(False).alias("mated"), "node", "comp")
             found = _compared(placed.join(sets.select("node", "set"), "node"), "set", _link_blocks(percent), "a long, b long")
             links = links.unionByName(found) if links else found
-            large = rows.filter("blocks > 1").select("grp", "blocks", "node")
-            if large.isEmpty() or found.isEmpty():
+            free_shuffles(docs.sparkSession)
+            if found.isEmpty():
+                drop_saved(sets)
                 return links
-            rows, deal = save(_with_component(large, links)), deal + 1
-            free_shuffles(sets.sparkSession)
+            rows, deal = save(_with_component(rows.select("grp", "blocks", "node"), links)), deal + 1
 
     def by_row(self) -> DataFrame:
         """(doc_id, th, n_shingles, digest, component_id, component) of each row."""
