@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ from .common import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words remembered with their ids in a task, and the longest of them in bytes; the memory
-#: is emptied when full, which changes no result.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
+#: Words remembered with their ids by a Python worker (some 25 MB), and the longest of them in
+#: bytes; the memory is emptied when full, which changes no result.
+REMEMBERED, REMEMBERED_BYTES = 120_000, 64
+#: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
+PIECE_BYTES = 1 << 20
 _MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
 _LETTERS_THEN_MARKS = re.compile(rb"([a-z]+)([!#-&*-/:-@^_|~]+)")
 WRITE_OPTIONS = {
@@ -97,7 +100,8 @@ class WordEncoder:
         plain = [not (b"\x0b" in t or b"\x0c" in t or b"<|" in t) for t in texts]
         words = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
         new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED:
+        # a word may bring its two parts along
+        if len(self.known) + 3 * len(new) > REMEMBERED:
             self.known.clear()
             new = set(chain.from_iterable(words))
         if new:
@@ -123,22 +127,24 @@ def _encoder(path: str, end_id: int):
         encode, shard, total = worker_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             column = batch.column("text").fill_null("").cast(pa.binary())
-            # rows go out in pieces, so that a batch of long texts stays small
-            for lo in range(0, len(column), 512):
-                ids = [np.append(x, np.int32(end_id)) for x in encode(column[lo : lo + 512].to_pylist())]
+            lo, before = 0, np.append(0, np.cumsum(np.asarray(pc.binary_length(column), np.int64)))
+            while lo < len(column):
+                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + PIECE_BYTES, "right")) - 1)
+                ids = [np.append(x, np.int32(end_id)) for x in encode(column[lo:hi].to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo : lo + 512], pa.array(np.full(len(ids), shard), pa.int32()), pa.array(total + ends - sizes), pa.array(sizes), tokens],
+                    [batch.column("doc_id")[lo:hi], pa.array(np.full(len(ids), shard), pa.int32()), pa.array(total + ends - sizes), pa.array(sizes), tokens],
                     ["doc_id", "shard", "shard_start", "n_tokens", "tokens"],
                 )
                 total += int(ends[-1])
+                lo = hi
 
     return run
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, options: dict[str, str] = WRITE_OPTIONS) -> None:
     """Encodes every whole text of ``documents`` (doc_id, text) and writes ``path/ids`` and
     ``path/manifest``.  Null texts are empty (the end id alone); null ids come first;
     repeated ids stay, ordered by a hash of their text.  Other columns are ignored."""
@@ -151,7 +157,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, en
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
         .mapInArrow(_encoder(public_tokenizers.path(tokenizer), end_id), f"doc_id {kind}, shard int, shard_start long, n_tokens long, tokens array<int>")
-        .write.options(**WRITE_OPTIONS)
+        .write.options(**options)
         .parquet(f"{path}/ids")
     )
     ids = spark.read.parquet(f"{path}/ids")

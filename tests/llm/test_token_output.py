@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from clausemill.llm import token_output as O
@@ -46,3 +47,46 @@ def test_whole_table_and_selective_reads(spark):
     files = sorted(spark.read.parquet(f"{path}/ids").inputFiles())
     ids = [r.doc_id for f in files for r in spark.read.parquet(f).collect()]
     assert ids == [w[0] for w in want]
+
+
+def test_files_are_encoded_as_stated(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
+    path = f"file://{tmp_path}/out"
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    small = O.WRITE_OPTIONS | {"parquet.block.size": str(256 << 10), "parquet.page.row.count.limit": "50", "parquet.block.row.count.limit": "200"}
+    try:
+        O.write_tokens(docs, path, options=small)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    (file,) = [f for f in (tmp_path / "out/ids").iterdir() if f.name.endswith(".parquet")]
+    meta = pq.ParquetFile(file).metadata
+    columns = {meta.schema.column(k).path.split(".")[0]: k for k in range(meta.num_columns)}
+    assert meta.num_rows == 1000 and meta.num_row_groups > 1
+    before = None
+    for g in range(meta.num_row_groups):
+        group = meta.row_group(g)
+        assert group.num_rows <= 200
+        ids, tokens = (group.column(columns[c]) for c in ("doc_id", "tokens"))
+        for name in ("doc_id", "shard_start", "n_tokens"):
+            c = group.column(columns[name])
+            assert "DELTA_BINARY_PACKED" in c.encodings and not c.has_dictionary_page
+            assert c.has_offset_index and c.has_column_index
+        assert tokens.has_dictionary_page and "RLE_DICTIONARY" in tokens.encodings and tokens.has_offset_index
+        # row groups follow each other by doc_id, so that a predicate on it can pass over them
+        assert before is None or ids.statistics.min > before
+        before = ids.statistics.max
+    asked = O.read_tokens(spark, path).filter("doc_id BETWEEN 40 AND 42")
+    assert "GreaterThanOrEqual(doc_id,40)" in asked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in asked.collect()) == [40, 41, 42]
+
+
+def test_words_are_forgotten_when_many(monkeypatch):
+    monkeypatch.setattr(O, "REMEMBERED", 50)
+    tok, encode = Tokenizer.from_file(public_tokenizers.path(O.TOKENIZER)), O.WordEncoder(public_tokenizers.path(O.TOKENIZER))
+    rng = np.random.default_rng(4)
+    for _ in range(6):
+        texts = [" ".join(f"w{i}x, {i % 7}." for i in rng.integers(0, 60, 9)) for _ in range(5)]
+        for ids, t in zip(encode([t.encode() for t in texts]), texts):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(encode.known) <= 50 or len(texts) * 27 > 50
