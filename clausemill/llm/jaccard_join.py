@@ -46,6 +46,8 @@ SLOT_BITS, PIECE_BITS = 24, 16
 #: Most nodes and most shingles of a block (a block holds one node at least).
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 18
 LEAF = 16
+#: Bits of the table by which texts are picked.
+TABLE_BITS = 25
 #: A shingle whose slot occurs more often than this is dealt over several tasks.
 SPLIT = 4096
 
@@ -183,6 +185,25 @@ def _shared_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(node[keep]), pa.array(n[keep])], ["shingle", "node", "n"])
 
 
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """2^TABLE_BITS bits, two set for each key: 4 MB, however many keys there are (with some ten
+    million it passes a fifth of all rows, with more than a hundred nearly all)."""
+    places = keys.select(F.explode(F.array(*(F.shiftrightunsigned("key", k).bitwiseAND((1 << TABLE_BITS) - 1) for k in (0, 32)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(1 << TABLE_BITS - 6, np.int64)
+    table[np.asarray(got["word"])] = np.asarray(got["bits"])
+    return table.view(np.uint64)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    keys, found = keys.view(np.uint64), True
+    for shift in (0, 32):
+        p = keys >> np.uint64(shift) & np.uint64((1 << TABLE_BITS) - 1)
+        found = found & (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     i = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * i >= percent * (len(a) + len(b) - i)
@@ -485,20 +506,27 @@ class Classes:
         return members
 
     def _sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
-        """(node, n, set), saved, of the nodes of ``members``."""
+        """(node, n, set), saved, of the nodes of ``members``.  Only texts whose id and hash pass
+        a bit table of those wanted are scanned, and sets, not texts, are shuffled."""
+        spark = docs.sparkSession
         wanted = save(self.nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "th"))
-        # Spark broadcasts the ids where their table is small enough
-        got = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["th"].eqNullSafe(wanted["th"])).select("node", "text")
+        key = F.xxhash64("doc_id", "th")
+        bits = spark.sparkContext.broadcast(bit_table(wanted.select(key.alias("key"))))
 
         def packed(batches):
             hasher = WordHasher()
             for batch in batches:
+                batch = batch.filter(pa.array(in_table(bits.value, np.asarray(batch.column("key")))))
                 sets = list(shingle_sets(batch.column("text"), hasher))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["i", "t", "n", "set"]
+                )
 
-        out = got.mapInArrow(packed, "node long, n long, set binary")
-        repeated = self.rows.groupBy("doc_id", "th").count().filter("count > 1")
-        return save(out if repeated.isEmpty() else out.dropDuplicates(["node"]))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        got = docs.select("doc_id", "th", "text", key.alias("key")).mapInArrow(packed, f"i {kind}, t long, n long, set binary")
+        if not self.rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+            got = got.groupBy("i", "t").agg(F.any_value(F.struct("n", "set")).alias("s")).select("i", "t", "s.*")
+        return save(wanted.join(got, wanted["doc_id"].eqNullSafe(got["i"]) & wanted["th"].eqNullSafe(got["t"])).select("node", "n", "set"))
 
     def _large_links(self, docs: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
         """Links within blocks of groups of several, each node in its largest.  Blocks are dealt
