@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dims import EMBEDDING_WORDS, TIER_ORDER
 
@@ -26,11 +29,16 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, wide))
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Every match as struct(start, end, value), offsets from 0.  Gaps and matches are zipped
-    and their lengths summed up.  ``pattern`` must not match the empty string."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, as the output of a generator: each is evaluated there once,
+    however often later steps refer to it."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def match_spans(text: Column, pattern: str, found: Column) -> Column:
+    """Of the matches ``found`` of a pattern, struct(start, end, value) each, offsets from 0.
+    Gaps and matches are zipped and their lengths summed up.  ``pattern`` must not match the
+    empty string."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc, x):
@@ -38,10 +46,17 @@ def find_all(text: Column, pattern: str) -> Column:
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    # one gap more than matches; the last pair has no match
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(start["out"])
 
 
+def find_all(text: Column, pattern: str) -> Column:
+    """Every match of a pattern as struct(start, end, value)."""
+    return match_spans(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
 def any_match(text: Column, patterns) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns), F.lit(False))
 
@@ -61,7 +76,7 @@ def language_tag(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[;,|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[;,|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lenient_bool(text: Column) -> Column:
@@ -103,17 +118,32 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(a) == 0, (F.length(b) > 0).cast("double")).otherwise(F.levenshtein(a, b) / F.length(a))
 
 
-def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of words over the number of reference words.  Words become private-use
-    characters (up to 6,399 different words in a pair), then strings are compared."""
-    a, b = (F.filter(F.split(squeeze(t), " "), lambda w: w != "") for t in (reference, hypothesis))
-    words = F.array_distinct(F.concat(a, b))
-
-    def letters(x):
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(57344) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(x, code), "")
-
-    return F.when(F.size(a) == 0, (F.size(b) > 0).cast("double")).otherwise(F.levenshtein(letters(a), letters(b)) / F.size(a))
+def _edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance of two arrays of ids, a row of the table at a time."""
+    if len(a) > len(b):
+        a, b = b, a
+    ramp = np.arange(len(b) + 1)
+    row = ramp
+    for i, x in enumerate(a, 1):
+        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (b != x)))
+        # insertions: the least of all cells to the left, and the way from there
+        row = ramp + np.minimum.accumulate(best - ramp)
+    return int(row[-1])
+
+
+@F.pandas_udf(T.DoubleType())
+def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distance of words over the number of reference words; of an empty reference 0 or 1.
+    Null if one is null."""
+    out = []
+    for a, b in zip(reference, hypothesis):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        a, b, ids = a.split(), b.split(), {}
+        x, y = (np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in (a, b))
+        out.append(_edit_distance(x, y) / len(a) if a else float(len(b) > 0))
+    return pd.Series(out, dtype="float64")
 
 
 def jaccard(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -141,7 +171,7 @@ def tier_order(tier: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def distinct_sentences(rows: DataFrame, key: str, limit: int | None = None) -> DataFrame:

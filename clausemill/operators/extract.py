@@ -1,8 +1,9 @@
 """Financial terms with offsets, by scanning patterns in the JVM; no UDF.
 
-Each family of patterns gives an array of matches; ranges mask single values, dates mask
-durations; a window of 72 characters around a value names its feature, one of 40 tells
-whether it is open-ended.
+A text is scanned once for each family of patterns.  Ranges mask single values, dates mask
+durations.  The words near a value name its feature (the first rule that fits) and tell
+whether it is open-ended.  Steps are separated by generators (``once``), so that the optimizer
+evaluates each scan once and doesn't write it into every place that uses its result.
 """
 
 from __future__ import annotations
@@ -12,43 +13,102 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import find_all
-
-# fixed values: what counts as a number, unit, separator and open end
-NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
-UNIT = r"(?:억\s*원|만\s*원|천\s*원|원|(?i:krw|won))"
-PERCENT = r"(?i:%|percent|per\s+cent|퍼센트|프로)"
-TIME = r"(?i:business\s+days?|days?|months?|years?|영업일|일|개월|년)"
-BETWEEN = r"\s*(?:-|~|–|to|에서)\s*"
-DATE_PATTERNS = (r"(?:19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일", r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}")
-INCOMPLETE_DATE = r"(?:19|20)[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[중말초경]"
-OPEN_ENDED = r"(?i)내외|대략|추정|별도|기타|그\s*밖|actual\s+costs?|as\s+determined|to\s+be\s+determined|approximately|about|around|at\s+least|or\s+more|or\s+less|more\s+than|less\s+than|이상|초과|미만"
-OPEN_PHRASE = r"(?i)(?:other|additional)[^.;\n]{0,40}(?:fees|costs|deductions|expenses)|(?:기타|그\s*밖)[^.;\n]{0,40}(?:비용|공제|수수료)"
-#: The first rule whose pattern occurs near a value names its feature.
-FEATURES = {
+from ..functions.text import match_spans, once
+
+# --- fixed values: patterns, rules, units and confidences that results depend on ------------
+NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?)"
+BETWEEN = r"\s*(?:~|–|-|\bto\b|\bthrough\b|부터|에서)\s*"
+KRW = r"(?:억\s*원|만\s*원|천\s*원|원|KRW|won)"
+PERCENT = r"(?:%|percent|per\s+cent|퍼센트|프로)"
+DAYS, MONTHS, YEARS = r"(?:business\s+days?|days?|영업일|일)", r"(?:months?|개월)", r"(?:years?|년)"
+AFTER_TIME = r"(?=\s|$|[.,;:)\\\]]|[가-힣])"
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTH = "(?:" + "|".join([*MONTH_NAMES, "sept", *(m[:3] for m in MONTH_NAMES if len(m) > 3)]) + ")"
+YEAR = "(?:19|20)[0-9]{2}"
+DATES = (
+    YEAR + r"\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일",
+    YEAR + r"[./-][0-9]{1,2}[./-][0-9]{1,2}",
+    rf"\b{MONTH}\.?\s+[0-9]{{1,2}}(?:,\s*|\s+){YEAR}\b",
+    rf"\b[0-9]{{1,2}}\s+{MONTH}\.?\s+{YEAR}\b",
+)
+MONTH_ALONE = (YEAR + r"\s*년\s*[0-9]{1,2}\s*월\s*(?:중|말|초|경)", rf"\b{MONTH}\.?\s+{YEAR}\b")
+OPEN_ENDED = (
+    r"(?<![가-힣])약\s*[0-9]|내외|대략|추정|별도\s*(?:정|합의|협의)|회사.{0,12}(?:정하는|정한|재량)|기타|그\s*밖|등|actual\s+costs?|as\s+determined|to\s+be\s+determined|"
+    r"including\s+but\s+not\s+limited|etc\.?|approximately|about|around|at\s+least|or\s+more|or\s+less|more\s+than|less\s+than|이상|초과|미만"
+)
+OPEN_PHRASE = (
+    r"(?:기타|그\s*밖|등)[^.。;\n]{0,40}(?:비용|공제|수수료)|(?:비용|수수료|공제\s*항목)[^.。;\n]{0,40}(?:별도|협의|회사.{0,12}정)|"
+    r"(?:other|additional)[^.。;\n]{0,40}(?:fees|costs|deductions|expenses)|(?:fees|costs|deductions|expenses)[^.。;\n]{0,40}(?:as\s+determined|to\s+be\s+determined)"
+)
+RULES = {
     "money": (
-        ((r"(?i)minimum\s+guarantee|미니멈|개런티", "MINIMUM_GUARANTEE"), (r"(?i)advance|선급금|선불", "ADVANCE_AMOUNT"), (r"(?i)liability\s+cap|책임\s*상한", "LIABILITY_CAP"),
-         (r"(?i)penalt|위약금|손해배상", "PENALTY_AMOUNT"), (r"(?i)net\s+sales|순매출", "NET_SALES"), (r"(?i)refund|환불", "REFUNDS"), (r"(?i)fixed\s+fee|원고료", "FIXED_FEE"),
-         (r"(?i)gross\s+sales|총매출|매출", "GROSS_SALES")), "GROSS_SALES"),
+        (r"minimum\s+guarantee|미니멈|개런티|\bMG\b", "MINIMUM_GUARANTEE"),
+        (r"advance|선급금|선불", "ADVANCE_AMOUNT"),
+        (r"liability\s+cap|책임\s*상한|손해배상\s*한도", "LIABILITY_CAP"),
+        (r"penalt|위약금|손해배상", "PENALTY_AMOUNT"),
+        (r"net\s+sales|순매출", "NET_SALES"),
+        (r"refund|환불", "REFUNDS"),
+        (r"marketing|마케팅", "MARKETING_COST"),
+        (r"fixed\s+fee|원고료|고정\s*금|정산금", "FIXED_FEE"),
+        (r"gross\s+sales|총매출|매출", "GROSS_SALES"),
+    ),
     "percent": (
-        ((r"(?i)translation|번역", "TRANSLATION_RIGHTS_SHARE"), (r"(?i)secondary\s+rights?|2차", "SECONDARY_RIGHTS_SHARE"), (r"(?i)tax|withholding|원천징수", "TAX_WITHHOLDING"),
-         (r"(?i)platform|플랫폼", "PLATFORM_FEE"), (r"(?i)deduct|공제", "DEDUCTION_RATE"), (r"(?i)recoup|회수", "RECOUPMENT_RATE")), "REVENUE_SHARE_RATE"),
-    "days": (((r"(?i)delay|late|지연|연체", "PAYMENT_DELAY_DAYS"), (r"(?i)termination|notice|해지|통지", "TERMINATION_NOTICE_DAYS"), (r"(?i)payment|due|지급|기일", "PAYMENT_DUE_DAYS")), "PAYMENT_DUE_DAYS"),
-    "months": (((r"(?i)renew|갱신|연장", "RENEWAL_DURATION_MONTHS"), (r"(?i)exclusive|독점", "EXCLUSIVITY_DURATION_MONTHS"), (r"(?i)contract|term|기간|계약", "CONTRACT_DURATION_MONTHS")), "CONTRACT_DURATION_MONTHS"),
-    "date": (((r"(?i)payment|due|지급|기일", "PAYMENT_DUE_DATE"), (r"(?i)termination|해지", "TERMINATION_DATE"), (r"(?i)effective|시행|효력", "EFFECTIVE_DATE")), "CONTRACT_DATE"),
+        (r"translation|번역", "TRANSLATION_RIGHTS_SHARE"),
+        (r"secondary\s+rights?|2차|이차|부가\s*권리", "SECONDARY_RIGHTS_SHARE"),
+        (r"tax|withholding|원천징수", "TAX_WITHHOLDING"),
+        (r"payment\s+processing|결제\s*수수료", "PAYMENT_PROCESSING_FEE"),
+        (r"platform|플랫폼", "PLATFORM_FEE"),
+        (r"deduct|공제", "DEDUCTION_RATE"),
+        (r"recoup|회수", "RECOUPMENT_RATE"),
+        (r"revenue\s+share|creator\s+receives|수익\s*배분|배분율|작가\s*몫", "REVENUE_SHARE_RATE"),
+    ),
+    "days": (
+        (r"delay|late|지연|연체", "PAYMENT_DELAY_DAYS"),
+        (r"termination|notice|해지|통지", "TERMINATION_NOTICE_DAYS"),
+        (r"payment|due|지급|기일", "PAYMENT_DUE_DAYS"),
+    ),
+    "months": (
+        (r"renew|갱신|연장", "RENEWAL_DURATION_MONTHS"),
+        (r"exclusive|독점", "EXCLUSIVITY_DURATION_MONTHS"),
+        (r"contract|term|기간|계약", "CONTRACT_DURATION_MONTHS"),
+    ),
+    "date": (
+        (r"payment|due|지급|기일", "PAYMENT_DUE_DATE"),
+        (r"termination|해지", "TERMINATION_DATE"),
+        (r"effective|시행|효력|발효", "EFFECTIVE_DATE"),
+    ),
+}
+DEFAULTS = {"money": "GROSS_SALES", "percent": "REVENUE_SHARE_RATE", "days": "PAYMENT_DUE_DAYS", "months": "CONTRACT_DURATION_MONTHS", "date": "CONTRACT_DATE"}
+UNITS = {"money": "krw", "percent": "frac", "days": "days", "months": "months", "date": "none"}
+SCALES = {"억원": 100_000_000, "만원": 10_000, "천원": 1_000, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+NEAR_FEATURE, NEAR_OPEN = 72, 40
+SURE, UNSURE, BAD_DATE, PHRASE = 1.0, 0.85, 0.95, 0.75
+# ---------------------------------------------------------------------------------------------
+
+#: Case is ignored; white space and word borders are those of Unicode.
+ANY_CASE = "(?iuU)"
+#: What is scanned for: family, shape and patterns.
+SCANS = {
+    "date": DATES, "month_alone": MONTH_ALONE, "open_phrase": (OPEN_PHRASE,),
+    "money_range": (NUMBER + BETWEEN + NUMBER + r"\s*" + KRW,), "percent_range": (NUMBER + BETWEEN + NUMBER + r"\s*" + PERCENT,),
+    "time_range": (NUMBER + BETWEEN + NUMBER + rf"\s*(?:{DAYS}|{MONTHS}|{YEARS})",),
+    "money": (NUMBER + r"\s*(?:thousand|million|billion)\s*(?:KRW|won)", r"(?:KRW|₩)\s*" + NUMBER, NUMBER + r"\s*" + KRW),
+    "percent": (NUMBER + r"\s*" + PERCENT,), "time": tuple(NUMBER + r"\s*" + unit + AFTER_TIME for unit in (DAYS, MONTHS, YEARS)),
 }
+_SPAN = "array<struct<start:int,end:int,value:string>>"
 _TERM = "array<struct<start:int,end:int,feature_id:string,value_raw:string,unit:string,value_norm:decimal(38,6),is_open_ended:boolean,scale:double>>"
 
 
-def window(text: Column, m: Column, width: int) -> Column:
+def near(text: Column, m: Column, width: int) -> Column:
+    """The text from ``width`` characters before a match to as many after it."""
     begin = F.greatest(F.lit(0), m["start"] - width)
     return F.substring(text, begin + 1, m["end"] + width - begin)
 
 
 def feature(text: Column, m: Column, family: str) -> Column:
-    rules, default = FEATURES[family]
-    near = window(text, m, 72)
-    return reduce(lambda acc, r: acc.when(near.rlike(r[0]), r[1]), rules[1:], F.when(near.rlike(rules[0][0]), rules[0][1])).otherwise(default)
+    words = near(text, m, NEAR_FEATURE)
+    (pattern, name), *more = RULES[family]
+    return reduce(lambda acc, r: acc.when(words.rlike(ANY_CASE + r[0]), r[1]), more, F.when(words.rlike(ANY_CASE + pattern), name)).otherwise(DEFAULTS[family])
 
 
 def overlaps(m: Column, spans: Column) -> Column:
@@ -60,78 +120,102 @@ def number(raw: Column) -> Column:
 
 
 def money_value(raw: Column) -> Column:
-    unit = F.regexp_replace(raw, r"\s", "")
-    factor = F.when(unit.rlike("억원"), 100000000).when(unit.rlike("만원"), 10000).when(unit.rlike("천원"), 1000).when(unit.rlike("(?i)thousand"), 1000).when(unit.rlike("(?i)million"), 1000000).when(unit.rlike("(?i)billion"), 1000000000).otherwise(1)
-    return (number(raw) * factor).cast("decimal(38,6)")
+    unit = F.lower(F.regexp_replace(raw, r"(?U)\s", ""))
+    factor = reduce(lambda acc, kv: acc.when(unit.contains(kv[0]), kv[1]), list(SCALES.items())[1:], F.when(unit.contains("억원"), SCALES["억원"])).otherwise(1)
+    return number(raw) * factor
+
+
+def percent_value(raw: Column) -> Column:
+    return number(raw) / 100
+
+
+def months_value(raw: Column) -> Column:
+    return number(raw) * F.when(raw.rlike(ANY_CASE + YEARS), 12).otherwise(1)
 
 
 def date_value(raw: Column) -> Column:
     """yyyymmdd, or null where there is no such day."""
-    parts = F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0))
+    n = F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0))
+    named = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTH_NAMES)), F.lower(F.regexp_extract(raw, "[A-Za-z]{3}", 0))).cast("string")
+    parts = F.when(F.size(n) == 2, F.array(n[1], named, n[0])).otherwise(n)
     padded = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
     return F.date_format(F.try_to_date(padded, "yyyy-MM-dd"), "yyyyMMdd").cast("decimal(38,6)")
 
 
-def _term(m, feature_id, unit, value, is_open, scale):
+def is_months(m: Column) -> Column:
+    return m["value"].rlike(ANY_CASE + f"{MONTHS}|{YEARS}")
+
+
+def term(m: Column, feature_id: Column, unit: str, value: Column, is_open: Column, scale: Column) -> Column:
     return F.struct(
-        m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), feature_id.alias("feature_id"), F.trim(m["value"]).alias("value_raw"), unit.alias("unit"),
+        m["start"].alias("start"), m["end"].alias("end"), feature_id.alias("feature_id"), F.trim(m["value"]).alias("value_raw"), F.lit(unit).alias("unit"),
         F.when(~is_open, value.cast("decimal(38,6)")).alias("value_norm"), is_open.alias("is_open_ended"), scale.cast("double").alias("scale"),
     )
 
 
-def _single(text, family, unit, value):
-    def term(m):
-        v = value(m["value"])
-        is_open = F.coalesce(window(text, m, 40).rlike(OPEN_ENDED), F.lit(False)) | v.isNull()
-        if family == "percent":
-            is_open = is_open | ~v.between(0, 1)
-        return _term(m, feature(text, m, family), F.lit(unit), v, is_open, F.when(is_open, 0.85).otherwise(1.0))
+def open_terms(text: Column, spans, family: str) -> Column:
+    """Terms without a value."""
+    none = F.lit(None).cast("decimal(38,6)")
+    return F.transform(spans, lambda m: term(m, feature(text, m, family), UNITS[family], none, F.lit(True), F.lit(UNSURE))).cast(_TERM)
 
-    return term
 
+def valued_terms(text: Column, spans, family: str, value) -> Column:
+    def one(m):
+        v = value(m["value"]).cast("decimal(38,6)")
+        vague = F.coalesce(near(text, m, NEAR_OPEN).rlike(ANY_CASE + OPEN_ENDED), F.lit(False)) | v.isNull()
+        vague = vague | ~v.between(0, 1) if family == "percent" else vague
+        return term(m, feature(text, m, family), UNITS[family], v, vague, F.when(vague, UNSURE).otherwise(SURE))
 
-def _range(text, family, unit):
-    return lambda m: _term(m, feature(text, m, family), F.lit(unit), F.lit(None), F.lit(True), F.lit(0.85))
+    return F.transform(spans, one).cast(_TERM)
 
 
 def extract_terms(clauses: DataFrame, keys: list[str], confidence: Column | None = None) -> DataFrame:
     """A row for each term of each clause (keys, text), in the order of start, end and feature:
     position, feature_id, value_raw, unit, value_norm (null if open-ended), is_open_ended and
-    extraction_confidence."""
-    t = F.col("text")
-    step = clauses.select(*keys, "text", (confidence if confidence is not None else F.lit(1.0)).alias("_conf"))
-    cat = lambda *arrays: F.concat(*arrays)
-    step = step.withColumns({
-        "_date": F.array_sort(cat(*(find_all(t, p) for p in DATE_PATTERNS))), "_month_date": find_all(t, INCOMPLETE_DATE),
-        "_money_r": find_all(t, NUMBER + BETWEEN + NUMBER + r"\s*" + UNIT), "_pct_r": find_all(t, NUMBER + BETWEEN + NUMBER + r"\s*" + PERCENT), "_time_r": find_all(t, NUMBER + BETWEEN + NUMBER + r"\s*" + TIME),
-        "_mult": find_all(t, NUMBER + r"\s*(?i:thousand|million|billion)\s*(?i:krw|won)"), "_pre": find_all(t, r"(?i:krw|₩)\s*" + NUMBER), "_suf": find_all(t, NUMBER + r"\s*" + UNIT),
-        "_pct": find_all(t, NUMBER + r"\s*" + PERCENT), "_time": find_all(t, NUMBER + r"\s*" + TIME + r"(?=\s|$|[.,;:)\]]|[가-힣])"), "_open": find_all(t, OPEN_PHRASE),
-    })
-    step = step.withColumn("_dates", cat(F.col("_date"), F.filter("_month_date", lambda m: ~overlaps(m, F.col("_date")))))
-    free = lambda c, mask: F.filter(c, lambda m: ~overlaps(m, F.col(mask)))
-    step = step.withColumn("_time_r", free("_time_r", "_dates"))
-    step = step.withColumn("_block", cat(F.col("_money_r"), F.col("_pct_r"), F.col("_time_r")))
-    is_months = lambda m: m["value"].rlike(r"(?i)months?|years?|개월|년")
-    duration = lambda raw: F.when(raw.rlike("(?i)years?|년"), number(raw) * 12).otherwise(number(raw)).cast("decimal(38,6)")
-    exact = lambda m: (lambda v: _term(m, feature(t, m, "date"), F.lit("none"), v, v.isNull(), F.when(v.isNull(), 0.95).otherwise(1.0)))(date_value(m["value"]))
-
-    def spans(m, months, days):
-        return F.when(is_months(m), months(m)).otherwise(days(m))
-
-    found = [
-        F.transform("_date", exact),
-        F.transform(F.filter("_month_date", lambda m: ~overlaps(m, F.col("_date"))), lambda m: _term(m, feature(t, m, "date"), F.lit("none"), F.lit(None), F.lit(True), F.lit(0.85))),
-        F.transform("_money_r", _range(t, "money", "krw")),
-        F.transform("_pct_r", _range(t, "percent", "frac")),
-        F.transform("_time_r", lambda m: spans(m, _range(t, "months", "months"), _range(t, "days", "days"))),
-        *(F.transform(free(c, "_block"), _single(t, "money", "krw", money_value)) for c in ("_mult", "_pre", "_suf")),
-        F.transform(free("_pct", "_block"), _single(t, "percent", "frac", lambda raw: (number(raw) / 100).cast("decimal(38,6)"))),
-        F.transform(F.filter("_time", lambda m: ~overlaps(m, F.col("_block")) & ~overlaps(m, F.col("_dates"))), lambda m: spans(m, _single(t, "months", "months", duration), _single(t, "days", "days", duration))),
+    extraction_confidence.  Null texts have no terms."""
+    t, keep = F.col("text"), [*keys, "_conf"]
+    rows = clauses.filter("text IS NOT NULL").select(*keys, "text", (confidence if confidence is not None else F.lit(1.0)).alias("_conf"))
+    # scans, then places of what was found
+    scans = [(f"{family}_{k}", ANY_CASE + p, family) for family, patterns in SCANS.items() for k, p in enumerate(patterns)]
+    digits = t.rlike("[0-9]")
+    found = {name: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for name, p, _ in scans}
+    rows = once(rows, [*keep, "text"], **{n: c if n == "open_phrase_0" else F.when(digits, c).otherwise(F.array().cast("array<string>")) for n, c in found.items()})
+    rows = once(rows, [*keep, "text"], **{family: F.concat(*(match_spans(t, p, F.col(n)) for n, p, f in scans if f == family)).cast(_SPAN) for family in SCANS})
+
+    def free(spans: str, *masks: str) -> Column:
+        return F.filter(spans, lambda m: ~reduce(lambda a, b: a | b, (overlaps(m, F.col(mask)) for mask in masks)))
+
+    spans = [*keep, "text", *SCANS]
+    rows = once(rows, spans, lone=free("month_alone", "date"))
+    rows = once(rows, [*spans, "lone"], dates=F.concat("date", "lone"))
+    rows = once(rows, [*spans, "lone", "dates"], times=free("time_range", "dates"))
+    rows = once(rows, [*spans, "lone", "dates", "times"], ranges=F.concat("money_range", "percent_range", "times"))
+
+    def by_unit(spans: Column, make, family: str) -> Column:
+        return make(F.filter(spans, lambda m: is_months(m) if family == "months" else ~is_months(m)))
+
+    def dated(m):
+        v = date_value(m["value"])
+        return term(m, feature(t, m, "date"), UNITS["date"], v, v.isNull(), F.when(v.isNull(), BAD_DATE).otherwise(SURE))
+
+    single = free("time", "ranges", "dates")
+    terms = [
+        F.transform("date", dated).cast(_TERM),
+        open_terms(t, F.col("lone"), "date"),
+        open_terms(t, F.col("money_range"), "money"),
+        open_terms(t, F.col("percent_range"), "percent"),
+        *(by_unit(F.col("times"), lambda s, f=f: open_terms(t, s, f), f) for f in ("days", "months")),
+        valued_terms(t, free("money", "ranges"), "money", money_value),
+        valued_terms(t, free("percent", "ranges"), "percent", percent_value),
+        by_unit(single, lambda s: valued_terms(t, s, "days", number), "days"),
+        by_unit(single, lambda s: valued_terms(t, s, "months", months_value), "months"),
     ]
-    step = step.select(*keys, "_conf", "_open", cat(*(f.cast(_TERM) for f in found)).alias("_t"))
-    phrases = F.transform(F.filter("_open", lambda m: ~overlaps(m, F.col("_t"))), lambda m: _term(m, F.lit("OPEN_ENDED_NUMERIC_TERMS"), F.lit("none"), F.lit(None), F.lit(True), F.lit(0.75)))
-    step = step.select(*keys, "_conf", F.posexplode(F.array_sort(cat(F.col("_t"), phrases.cast(_TERM)))).alias("position", "x"))
-    return step.select(*keys, "position", "x.start", "x.end", "x.feature_id", "x.value_raw", "x.unit", "x.value_norm", "x.is_open_ended", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") * F.col("x.scale"))), 6).alias("extraction_confidence"))
+    rows = once(rows, [*keep, "open_phrase"], terms=F.concat(*terms))
+    none = F.lit(None).cast("decimal(38,6)")
+    phrases = F.transform(free("open_phrase", "terms"), lambda m: term(m, F.lit("OPEN_ENDED_NUMERIC_TERMS"), UNITS["date"], none, F.lit(True), F.lit(PHRASE))).cast(_TERM)
+    rows = rows.select(*keep, F.posexplode(F.array_sort(F.concat("terms", phrases))).alias("position", "x"))
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") * F.col("x.scale")))
+    return rows.select(*keys, "position", "x.start", "x.end", "x.feature_id", "x.value_raw", "x.unit", "x.value_norm", "x.is_open_ended", F.round(sure, 6).alias("extraction_confidence"))
 
 
 def exact_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -58,22 +58,24 @@ def stability(runs: DataFrame, by: list[str], case: str, k: int) -> DataFrame:
 
 def threshold_costs(cases: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Missed, effort and total cost, false-trigger rate and recall for each threshold of
-    (score, exposed, miss_cost, effort_cost): cases are folded by score first, then each
-    threshold takes running sums, so cases never meet all thresholds."""
-    by = cases.groupBy("score").agg(
+    (score, exposed, miss_cost, effort_cost).  A case counts as triggered from a threshold on.
+    Cases are folded by the number of thresholds they reach, so they never meet all of them;
+    what follows has a row for each threshold."""
+    marks = sorted({r.threshold for r in thresholds.select("threshold").collect()})  # the caller's list
+    reached = F.size(F.filter(F.array(*map(F.lit, marks)), lambda t: t <= F.col("score")))
+    by = cases.groupBy(reached.alias("reached")).agg(
         F.sum(F.when(F.col("exposed"), F.col("miss_cost")).otherwise(0.0)).alias("miss"), F.sum("effort_cost").alias("effort"), F.count_if("exposed").alias("pos"), F.count_if(~F.col("exposed")).alias("neg")
     )
-    marks = thresholds.select(F.col("threshold").alias("score"), F.lit(1).alias("is_mark"))
-    rows = by.withColumn("is_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    # distinct scores are bounded by the score scale; a threshold itself counts as triggered
-    up = Window.orderBy("score", F.col("is_mark").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy()
-    below = {c: F.coalesce(F.sum(c).over(up), F.lit(0)) for c in ("miss", "effort", "pos", "neg")}
-    total = {c: F.sum(c).over(all_) for c in ("effort", "pos", "neg")}
-    out = rows.select("score", "is_mark", below["miss"].alias("missed_cost"), (total["effort"] - below["effort"]).alias("effort_cost"), (total["neg"] - below["neg"]).alias("fp"), total["neg"].alias("neg"), (total["pos"] - below["pos"]).alias("tp"), total["pos"].alias("pos"))
-    out = out.filter("is_mark = 1").select(F.col("score").alias("threshold"), "missed_cost", "effort_cost", (F.col("missed_cost") + F.col("effort_cost")).alias("total_cost"),
-        F.round(F.when(F.col("neg") > 0, F.col("fp") / F.col("neg")).otherwise(0.0), 6).alias("false_trigger_rate"), F.round(F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(0.0), 6).alias("recall"))
-    return out
+    place = F.inline(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.lit(k + 1).alias("k")) for k, t in enumerate(marks))))
+    rows = by.select("*", place)
+    hit = F.col("reached") >= F.col("k")
+    total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    out = rows.groupBy("threshold").agg(
+        total("miss", ~hit).cast("double").alias("missed_cost"), total("effort", hit).cast("double").alias("effort_cost"),
+        total("neg", hit).alias("fp"), F.sum("neg").alias("neg"), total("pos", hit).alias("tp"), F.sum("pos").alias("pos"),
+    )
+    rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
+    return out.select("threshold", "missed_cost", "effort_cost", (F.col("missed_cost") + F.col("effort_cost")).alias("total_cost"), rate("fp", "neg").alias("false_trigger_rate"), rate("tp", "pos").alias("recall"))
 
 
 def best_threshold(costs: DataFrame) -> DataFrame:
@@ -103,3 +105,46 @@ def bootstrap_interval(docs: DataFrame, value: str, key: str, samples: int = 200
     ranked = means.withColumn("n", place)
     at = lambda q: F.max(F.when(F.col("n") == int(q * (samples - 1)) + 1, F.col("mean")))
     return ranked.agg(F.count("*").alias("samples"), F.round(at(lo), 6).alias("low"), F.round(at(hi), 6).alias("high"))
+
+
+def gate_status(cases: DataFrame) -> DataFrame:
+    """Of (metrics, passed) cases: how many pass for each metric, and whether all do."""
+    rows = cases.select(F.explode("metrics").alias("metric"), "passed")
+    out = rows.groupBy("metric").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))
+    return out.withColumn("status", F.when(F.col("passed") == F.col("cases"), "pass").otherwise("fail"))
+
+
+def sensitivity_losses(fixtures: DataFrame) -> DataFrame:
+    """Of (missed, effort, sensitivity map<scenario, factor>): normalised loss, factor * missed +
+    effort, summed for each scenario."""
+    rows = fixtures.select("missed", "effort", F.explode("sensitivity").alias("scenario", "factor"))
+    return rows.groupBy("scenario").agg(F.count("*").alias("fixtures"), F.round(F.sum(F.col("factor") * F.col("missed") + F.col("effort")), 6).alias("loss"))
+
+
+def arm_scores(cases: DataFrame, arm: str, score: str) -> DataFrame:
+    """Mean, mean of the positive and largest score of each arm."""
+    positive = F.when(F.col(score) > 0, F.col(score))
+    return cases.groupBy(arm).agg(F.count("*").alias("cases"), F.round(F.avg(score), 6).alias("mean"), F.round(F.avg(positive), 6).alias("mean_positive"), F.max(score).alias("most"))
+
+
+def arm_extrema(values: DataFrame, arm: str = "arm", metric: str = "metric", value: str = "value") -> DataFrame:
+    """Of each metric the arms with the largest and with the least value, ties together."""
+    ends = values.groupBy(metric).agg(F.max(value).alias("most"), F.min(value).alias("least"))
+    arms = lambda end: F.array_join(F.array_sort(F.collect_set(F.when(F.col(value) == F.col(end), F.col(arm)))), ",")
+    return values.join(ends, metric).groupBy(metric).agg(F.first("most").alias("most"), arms("most").alias("best_arms"), F.first("least").alias("least"), arms("least").alias("worst_arms"))
+
+
+def metric_bundle(findings: DataFrame, by: list[str], doc: str, top: tuple[int, int] = (1, 3)) -> DataFrame:
+    """Of ranked findings (by, doc, rank, weight, exposed, supported): captured weight among the
+    best one and three, share of exposed findings among them, share of findings without support."""
+    first, few = (F.col("rank") <= k for k in top)
+    share = lambda when, value: F.sum(F.when(when, F.col(value)).otherwise(0.0))
+    docs = findings.groupBy(*by, doc).agg(
+        share(first, "weight").alias("w1"), share(few, "weight").alias("w3"), F.sum("weight").alias("w"), F.count_if(few & F.col("exposed")).alias("e3"), F.count_if("exposed").alias("e"),
+        F.count_if(~F.col("supported")).alias("u"), F.count("*").alias("n"),
+    )
+    part = lambda a, b: F.avg(F.when(F.col(b) > 0, F.col(a) / F.col(b)))
+    return docs.groupBy(*by).agg(
+        F.count("*").alias("docs"), F.round(part("w1", "w"), 6).alias("capture_1"), F.round(part("w3", "w"), 6).alias("capture_3"), F.round(part("e3", "e"), 6).alias("exposed_recall_3"),
+        F.round(F.sum("u") / F.sum("n"), 6).alias("unsupported_rate"),
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import BM25_B, BM25_K1
-from ..functions.text import tier_order, tokens
+from ..functions.text import once, tier_order, tokens
 
 
 @dataclass
@@ -51,15 +51,38 @@ def build_index(chunks: DataFrame) -> Index:
     return Index(postings, terms, averages)
 
 
+def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; beyond, Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _weighted(hits: DataFrame, k1: float, b: float, digits: int) -> DataFrame:
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), digits).alias("score"), F.count("*").alias("matched"))
+
+
 def bm25(index: Index, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, score, matched): all chunks that share a term with the query of
     (query_id, text).  A repeated query term weighs by its count."""
     asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.averages), how="cross")
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    return hits.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(F.col("qtf") * F.col("idf") * weight), digits).alias("score"), F.count("*").alias("matched")
-    )
+    hits = asked.join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.averages), how="cross")  # one row of averages
+    return _weighted(hits, k1, b, digits)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, digits: int = 9) -> DataFrame:
+    """What ``bm25`` gives, without an index: terms that no query asks for are dropped as chunks
+    (chunk_id, text) are tokenized, and the rest is dealt by chunk, which serves both the counts
+    and the sums."""
+    asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
+    words = once(chunks, ["chunk_id"], words=tokens(F.col("text")))
+    averages = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_length"))
+    rows = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    rows = rows.join(small(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    counts = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(averages), how="cross")  # one row of averages
+    weights = asked.join(terms.select("term", idf.alias("idf"), "avg_length"), "term")
+    return _weighted(counts.join(small(weights), "term"), k1, b, digits)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", ties: list[Column] | None = None) -> DataFrame:
@@ -121,3 +144,15 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks=(3, 5)) -> DataFrame:
     """Share of queries of (query_id, chunk_id) ``relevant`` with a relevant chunk among the best k."""
     best = relevant.join(ranked.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.min("rank").alias("best"))
     return best.agg(F.count("*").alias("queries"), *(F.round(F.avg(F.coalesce((F.col("best") <= k).cast("int"), F.lit(0))), 6).alias(f"recall_at_{k}") for k in ks))
+
+
+def holding(chunks: DataFrame, items: DataFrame, words: int = 3) -> DataFrame:
+    """(query_id, chunk_id) of chunks (chunk_id, text) whose text holds the whole text of an item
+    (query_id, item).  Candidates share the item's second to fourth word, which are whole words
+    there too.  Items of fewer than ``words`` + 2 words are left out."""
+    parts = items.select("query_id", "item", F.filter(F.split("item", r"\s+"), lambda w: w != "").alias("w")).filter(F.size("w") >= words + 2)
+    asked = parts.select("query_id", "item", F.array_join(F.slice("w", 2, words), " ").alias("anchor"))
+    split = once(chunks, ["chunk_id", "text"], w=F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1)))
+    grams = split.select("chunk_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("anchor"))
+    return grams.join(small(asked), "anchor").filter(F.contains("text", F.col("item"))).select("query_id", "chunk_id").distinct()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Line starts that open a clause; articles first, then numbered and lettered items.
-ARTICLE = r"^\s*(?:제\s*[0-9]+\s*조|(?i:article|section|clause)\s+[0-9IVX]+)"
-SUBCLAUSE = r"^\s*(?:[①-⑳]|\(\s*[0-9]+\s*\)|\(\s*[A-Za-z가-힣]\s*\)|[0-9]+(?:\.[0-9]+)*[.)]|[A-Za-z가-힣][.)])\s+"
+# fixed values: line starts that open a clause (articles first, then numbered and lettered items), and what a marker counts
+ARTICLE = r"(?iuU)^\s*(?:제\s*[0-9]+\s*조(?:\s*[({（][^)}）]+[)}）])?|(?:Article|Section|Clause)\s+[0-9]+[A-Za-z0-9_.-]*)\b"
+SUBCLAUSE = r"(?U)^\s*(?:[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]|\(\s*[0-9]+\s*\)|\(\s*[A-Za-z가-힣]\s*\)|[0-9]+(?:\.[0-9]+)*[.)]|[A-Za-z가-힣][.)])\s+"
 MARKED, UNMARKED = 1.0, 0.55
 
 

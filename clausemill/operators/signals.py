@@ -3,13 +3,12 @@ hybrid merge and verification signals."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import CONF_FLOOR, HEAD_BASE, HEAD_PROTECTION, HEAD_RISK, HEAD_THRESHOLD, HEADS, RULES, SEVERITY_WEIGHT, TIER_FACTOR
-from ..functions.text import any_match, hit_count
+from ..functions.text import hit_count, tier_order
+from . import retrieval as rt
 
 
 def _fires(kind: str, topic: str, protection: str | None, text: Column) -> Column:
@@ -28,15 +27,12 @@ def rule_signals(clauses: DataFrame, keys: list[str], rules=RULES) -> DataFrame:
     return clauses.select(*keys, F.inline(F.array_compact(F.array(*found))))
 
 
-def rule_table_signals(clauses: DataFrame, keys: list[str], rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
+def rule_table_signals(clauses: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
     """The same with rules of a user's table (rule, category, kind, topic, protection, severity,
-    confidence): a theta join against a rule table of checked size."""
-    n = rules.count()
-    if n > most_rules:
-        raise ValueError(f"{n} rules; a rule table may hold {most_rules}")
-    text = F.col("text")
+    confidence): a theta join.  Spark sends the smaller side of it to all tasks where it may be
+    broadcast, and compares partition by partition otherwise."""
     hit = F.expr("text rlike topic") & (F.expr("kind = 'presence'") | ~F.coalesce(F.expr("text rlike protection"), F.lit(False)))
-    return clauses.select(*keys, text).join(F.broadcast(rules), hit).select(*keys, "rule", "category", "kind", "severity", "confidence")
+    return clauses.select(*keys, "text").join(rt.small(rules, 10_000), hit).select(*keys, "rule", "category", "kind", "severity", "confidence")
 
 
 def head_signals(clauses: DataFrame, keys: list[str], heads=HEADS) -> DataFrame:
@@ -51,17 +47,17 @@ def head_signals(clauses: DataFrame, keys: list[str], heads=HEADS) -> DataFrame:
     return clauses.select(*keys, F.inline(F.array_compact(F.array(*found))))
 
 
-def same_category(record: Column, short: Column) -> Column:
-    """Exact, or the short code followed by an underscore."""
-    return (record == short) | record.startswith(F.concat(short, F.lit("_")))
+def short_category(category: Column) -> Column:
+    """The short code of a category: all of it, or what stands before the first underscore."""
+    return F.substring_index(category, "_", 1)
 
 
 def ground(signals: DataFrame, records: DataFrame, keys: list[str], clause: str) -> DataFrame:
     """Adds what a clause's records (clause, record_id, category, record_type, tier) of the
     signal's category give: the official evidence ids in order, its best tier, score_eligible
-    and practice_reference.  Records are folded to one row for each clause and category first."""
+    and practice_reference.  A record's category matches by its short code.  Records are folded to one row for each clause and category first."""
     official = (F.col("record_type") == "evidence") & F.col("tier").isin(*TIER_FACTOR)
-    folded = records.groupBy(clause, "category").agg(
+    folded = records.withColumn("category", short_category(F.col("category"))).groupBy(clause, "category").agg(
         F.array_sort(F.collect_set(F.when(official, F.col("record_id")))).alias("evidence_ids"),
         F.min(F.when(official, F.col("tier"))).alias("best_tier"),
         F.max(F.col("tier").isin("B", "C")).alias("has_practice"),
@@ -98,21 +94,22 @@ def hybrid_merge(rule: DataFrame, model: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def verification_signals(clauses: DataFrame, keys: list[str], rules, support: DataFrame, ranked: int = 12, shown: int = 3) -> DataFrame:
-    """Signals that need the corpus' support and never score.  ``rules``: (rule, pattern,
-    marker); ``support``: (rule, chunk_id, text, rank).  Of a rule's best ``ranked`` chunks those
-    that hold the marker count, the first ``shown`` are listed."""
-    marks = F.create_map(*(F.lit(x) for rule, _, mark in rules for x in (rule, mark.lower())))
-    held = support.filter((F.col("rank") <= ranked) & F.contains(F.lower("text"), marks[F.col("rule")]))
-    place = F.row_number().over(Window.partitionBy("rule").orderBy("rank", "chunk_id"))
-    held = held.withColumn("n", place).filter(F.col("n") <= shown).groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))), lambda x: x["chunk_id"]).alias("support_ids"))
-    fired = clauses.select(*keys, F.explode(F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(r)) for r, p, _ in rules)))).alias("rule"))
-    return fired.join(F.broadcast(held), "rule").withColumn("contribution", F.lit(0.0))  # a row for each rule
-
-
-def noisy_or(values) -> float:
-    return 1 - math.prod(1 - v for v in values)
-
-
-def topic_clauses(clauses: DataFrame, topics) -> DataFrame:
-    return clauses.filter(any_match(F.col("text"), topics))
+def rule_support(rules, chunks: DataFrame, tiers=("B", "C"), types=(), ranked: int = 12, shown: int = 3) -> DataFrame:
+    """(rule, support_ids) of ``rules`` (rule, pattern, query, markers): of the ``ranked`` best
+    practice chunks (chunk_id, text, authority_tier, chunk_type, risk_categories) for a rule's
+    query those that hold one of its markers in their texts or ids; the first ``shown`` are listed."""
+    spark = chunks.sparkSession
+    queries = spark.createDataFrame([(r, q) for r, _, q, _ in rules], "query_id string, text string")
+    best = rt.filtered(rt.search(chunks, queries), chunks, types=types, tiers=tiers)
+    best = rt.top_k(best, ranked, ties=[tier_order(F.col("authority_tier"))]).join(chunks.select("chunk_id", "text"), "chunk_id")
+    marks = spark.createDataFrame([(r, m.lower()) for r, _, _, marks in rules for m in marks], "query_id string, marker string")
+    held = best.join(F.broadcast(marks), "query_id").filter(F.contains(F.lower(F.concat_ws(" ", "chunk_id", "text")), F.col("marker"))).dropDuplicates(["query_id", "chunk_id"])  # a row for each marker
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    first = held.withColumn("n", place).filter(F.col("n") <= shown).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))).alias("c"))
+    return first.select(F.col("query_id").alias("rule"), F.transform("c", lambda x: x["chunk_id"]).alias("support_ids"))
+
+
+def verification_signals(clauses: DataFrame, keys: list[str], rules, chunks: DataFrame) -> DataFrame:
+    """Signals of rules that fire on a clause and have support in the corpus; they never score."""
+    fired = clauses.select(*keys, F.explode(F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(r)) for r, p, _, _ in rules)))).alias("rule"))
+    return fired.join(F.broadcast(rule_support(rules, chunks)), "rule").withColumn("contribution", F.lit(0.0))  # a row for each rule

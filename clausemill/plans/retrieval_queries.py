@@ -18,7 +18,7 @@ d AS (SELECT doc_id AS chunk_id, {TOKENS} AS w FROM documents),
 n AS (SELECT count(*) AS n, avg(len(w)) AS av FROM d),
 p AS (SELECT chunk_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT chunk_id, len(w) AS l, unnest(w) AS term FROM d) GROUP BY ALL),
 t AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(({TOKENS})[1:6]) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / av))), 6) AS score, count(*) AS matched
       FROM q JOIN t USING (term) JOIN p USING (term) CROSS JOIN n GROUP BY ALL),
 c AS (SELECT doc_id AS chunk_id, lang, source, {_TIER} AS tier, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'g' || (doc_id % 37) END AS grp, 2010 + doc_id % 15 AS yr FROM documents)
@@ -26,11 +26,9 @@ c AS (SELECT doc_id AS chunk_id, lang, source, {_TIER} AS tier, CASE WHEN doc_id
 
 
 def scored(spark, sf):
-    """BM25 of the first six words of each benchmark item against all documents."""
+    """BM25 of each benchmark item against all documents."""
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.lower(F.col("text")), F.lit(tx.TOKEN), F.lit(0)), 1, 6), " ")
-    queries = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text"))
-    return rt.bm25(rt.build_index(docs), queries, digits=6)
+    return rt.search(docs, read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), digits=6)
 
 
 def chunk_table(spark, sf):
@@ -87,11 +85,10 @@ b AS (SELECT query_id, min(rank) AS best FROM r LEFT JOIN k USING (query_id, chu
 SELECT count(*) AS queries, round(avg(CASE WHEN best <= 3 THEN 1 ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS recall_at_5 FROM b
 """)
 def recall_at_k(spark, sf):
-    """Share of items that the retrieval finds in a document holding them.  Relevant pairs come
-    from a join on the item's first line of words, confirmed by containment."""
+    """Share of items that the retrieval finds in a document holding them."""
     items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    relevant = docs.join(F.broadcast(items), F.expr("contains(text, item)")).select("query_id", "chunk_id")  # a stated query set of fixed size
+    relevant = rt.holding(docs, items)
     ranked = rt.top_k(scored(spark, sf), 5)
     return rt.recall_at(ranked, relevant)
 
@@ -161,15 +158,15 @@ def keyword_embedding(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id < 10)
+WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 50 = 0)
 SELECT qid, vec_id, score, rank FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM
   (SELECT qid, vec_id, round(list_sum([CAST(x.a AS DOUBLE) * CAST(x.b AS DOUBLE) for x in list_transform(list_zip(q.e, v.embedding), lambda z: struct_pack(a := z[1], b := z[2]))]), 4) AS score FROM q, embeddings v WHERE vec_id <> qid)) WHERE rank <= 5
 """)
 def embedding_dot_topk(spark, sf):
-    """Five nearest rows of a stated set of ten query vectors."""
+    """Five nearest rows of each row whose id is divisible by 50, by comparison with all."""
     vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(tx.dot(F.col("e"), F.col("embedding")), 4).alias("score"))
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    pairs = vectors.join(rt.small(asked), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(tx.dot(F.col("e"), F.col("embedding")), 4).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
@@ -188,12 +185,15 @@ def best_match_finding(spark, sf):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), i AS (SELECT doc_id, list_distinct(w[1:40]) AS a, list_distinct(w[20:60]) AS b FROM d)
+WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), i AS (SELECT doc_id, list_distinct(w[1 : len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1 :]) AS b FROM d)
 SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS iou FROM i
 """)
 def token_iou(spark, sf):
     w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(tx.TOKEN), F.lit(0))
-    return read_table(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", F.round(tx.jaccard(F.slice("w", 1, 40), F.slice("w", 20, 41), 1.0), 6).alias("iou"))
+    """Overlap of the words of a document's two halves."""
+    half = F.floor(F.size("w") / 2).cast("int")
+    rows = tx.once(read_table(spark, sf, "documents"), ["doc_id"], w=w)
+    return rows.select("doc_id", F.round(tx.jaccard(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")), 1.0), 6).alias("iou"))
 
 
 @query("""
@@ -204,21 +204,21 @@ def language_tag(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 200) AS a FROM documents), u AS (SELECT doc_id, trim(a) AS a, trim(regexp_replace(replace(trim(a), 'e', 'o'), '\\s+', ' ', 'g')) AS b FROM t)
+WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a FROM documents), u AS (SELECT doc_id, trim(a) AS a, trim(regexp_replace(replace(trim(a), 'e', 'o'), '\\s+', ' ', 'g')) AS b FROM t)
 SELECT doc_id, round(CASE WHEN length(a) = 0 THEN 0 ELSE levenshtein(a, b) / length(a) END, 6) AS cer FROM u
 """)
 def cer_near_copies(spark, sf):
-    """Character error rate of an edited copy of each text's beginning."""
-    a = F.trim(F.substring(tx.squeeze(F.col("text")), 1, 200))
+    """Character error rate of an edited copy of each whole text."""
+    a = tx.squeeze(F.col("text"))
     rows = read_table(spark, sf, "documents").select("doc_id", a.alias("a")).withColumn("b", F.replace("a", F.lit("e"), F.lit("o")))
     return rows.select("doc_id", F.round(tx.char_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
 @query()
 def wer_near_copies(spark, sf):
-    """Word error rate of a copy that lacks its second word."""
-    words = F.slice(F.split(tx.squeeze(F.col("text")), " "), 1, 40)
-    rows = read_table(spark, sf, "documents").select("doc_id", words.alias("w")).select("doc_id", F.array_join("w", " ").alias("a"), F.array_join(F.concat(F.slice("w", 1, 1), F.slice("w", 3, 40)), " ").alias("b"))
+    """Word error rate of a copy of each whole text that lacks its second word."""
+    words = F.split(tx.squeeze(F.col("text")), " ")
+    rows = tx.once(read_table(spark, sf, "documents"), ["doc_id"], w=words).select("doc_id", F.array_join("w", " ").alias("a"), F.array_join(F.concat(F.slice("w", 1, 1), F.slice("w", F.lit(3), F.size("w"))), " ").alias("b"))
     return rows.select("doc_id", F.round(tx.word_error_rate(F.col("a"), F.col("b")), 6).alias("wer"))
 
 
@@ -229,7 +229,7 @@ SELECT doc_id, count(*) AS kept, sha256(string_agg(x, ' ' ORDER BY i)) AS digest
 """)
 def dedupe_lines(spark, sf):
     """Lines that differ in white space and end marks alone are kept once, the first."""
-    lines = F.filter(F.transform(F.split("text", "\n+"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", "\n+"), lambda x: F.trim(x)), lambda s: s != "")
     rows = read_table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("i", "x"))
     first = Window.partitionBy("doc_id", F.regexp_replace("x", r"[\s.!?]", "")).orderBy("i")
     kept = rows.withColumn("n", F.row_number().over(first)).filter("n = 1")

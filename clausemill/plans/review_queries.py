@@ -251,17 +251,22 @@ def pathway_label(spark, sf):
 
 
 @query(f"""
-WITH {CLAUSES_SQL}, rk AS (SELECT p_partkey AS id, lower(p_name) AS t, row_number() OVER (ORDER BY p_partkey) AS r FROM part), su AS (SELECT 'V1' AS rule, id, r FROM rk WHERE r <= 12 AND contains(t, 'part') UNION ALL SELECT 'V2', id, r FROM rk WHERE r <= 12 AND contains(t, 'no such marker')),
-li AS (SELECT rule, string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) AS support_ids FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY r) AS n FROM su) WHERE n <= 3 GROUP BY rule)
-SELECT doc, clause, rule, support_ids, 0.0::DOUBLE AS contribution FROM (SELECT doc, clause, 'V1' AS rule FROM cl WHERE regexp_matches(text, '(?i)advance|선급금') UNION ALL SELECT doc, clause, 'V2' FROM cl WHERE regexp_matches(text, '(?i)payment')) JOIN li USING (rule)
+WITH {CLAUSES_SQL}, d AS (SELECT p_partkey AS id, ['A0', 'A1', 'A2', 'B', 'C'][1 + p_size % 5] AS tier, lower(p_name || ' ' || p_type || ' ' || p_brand) AS t FROM part),
+k AS (SELECT id, tier, t, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM d), p AS (SELECT id, tier, t, term, count(*) AS tf FROM k GROUP BY ALL), l AS (SELECT id, count(*) AS l FROM k GROUP BY id),
+n AS (SELECT count(*) AS n, (SELECT count(*) FROM k) / count(*) AS av FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q(rule, term) AS (VALUES ('V1', 'red'), ('V1', 'widget'), ('V2', 'blue'), ('V2', 'economy'), ('V3', 'gear')),
+s AS (SELECT rule, id, t, tier, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / av))), 9) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (id) CROSS JOIN n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY score DESC, tier, id) AS r FROM s WHERE tier IN ('B', 'C')),
+h AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY r) AS n FROM r WHERE r <= 12 AND (rule = 'V1' AND (contains(t, 'widget') OR contains(t, 'small')) OR rule = 'V2' AND contains(t, 'brand#1') OR rule = 'V3' AND contains(t, 'no such marker'))),
+li AS (SELECT rule, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n) AS support_ids FROM h WHERE n <= 3 GROUP BY rule)
+SELECT doc, clause, rule, support_ids, 0.0::DOUBLE AS contribution FROM (SELECT doc, clause, 'V1' AS rule FROM cl WHERE regexp_matches(text, '(?i)advance|선급금') UNION ALL SELECT doc, clause, 'V2' FROM cl WHERE regexp_matches(text, '(?i)payment') UNION ALL SELECT doc, clause, 'V3' FROM cl WHERE regexp_matches(text, '(?i)payment')) JOIN li USING (rule)
 """)
 def verification_signals(spark, sf):
-    rules = (("V1", r"(?i)advance|선급금", "Part"), ("V2", r"(?i)payment", "no such marker"))
-    best = read_table(spark, sf, "part").orderBy("p_partkey").limit(12).select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"))
-    from pyspark.sql import Window
-
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("chunk_id"))).withColumn("rule", F.explode(F.array(F.lit("V1"), F.lit("V2"))))
-    out = sn.verification_signals(clauses(spark, sf), ["doc", "clause"], rules, ranked)
+    """Rules fire on clauses; each needs support among the 12 best practice chunks (here: parts) that hold one of its markers."""
+    rules = (("V1", r"(?i)advance|선급금", "red widget", ("Widget", "small")), ("V2", r"(?i)payment", "blue economy", ("Brand#1",)), ("V3", r"(?i)payment", "gear", ("no such marker",)))
+    tier = F.element_at(F.array(*map(F.lit, ("A0", "A1", "A2", "B", "C"))), F.col("p_size") % 5 + 1)
+    chunks = read_table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), tier.alias("authority_tier"), F.lit("practice").alias("chunk_type"), F.array().cast("array<string>").alias("risk_categories"))
+    out = sn.verification_signals(clauses(spark, sf), ["doc", "clause"], rules, chunks)
     return out.select("doc", "clause", "rule", F.array_join(F.transform("support_ids", lambda x: x.cast("string")), ",").alias("support_ids"), "contribution")
 
 
@@ -270,7 +275,7 @@ def verification_signals(spark, sf):
 LINES_SQL = r"""
 ln AS (SELECT doc_id, unnest(l) AS text, unnest(generate_series(0, len(l) - 1)) AS line FROM (SELECT doc_id, list_filter(string_split_regex(text, '\r\n|[\n\r]'), lambda x: trim(x) <> '') AS l FROM documents)),
 mk AS (SELECT doc_id, line, CASE WHEN line % 4 = 1 THEN (1 + line // 4) || '. ' || text WHEN line % 9 = 5 THEN 'Section ' || (1 + line // 9) || ' ' || text ELSE text END AS text FROM ln),
-sg AS (SELECT *, regexp_matches(text, '^\s*([①-⑳]|\(\s*[0-9]+\s*\)|\(\s*[A-Za-z가-힣]\s*\)|[0-9]+(\.[0-9]+)*[.)]|[A-Za-z가-힣][.)])\s+') OR regexp_matches(text, '^\s*(제\s*[0-9]+\s*조|(?i:article|section|clause)\s+[0-9IVX]+)') AS m FROM mk),
+sg AS (SELECT *, regexp_matches(text, '^\s*([①-⑳]|\(\s*[0-9]+\s*\)|\(\s*[A-Za-z가-힣]\s*\)|[0-9]+(\.[0-9]+)*[.)]|[A-Za-z가-힣][.)])\s+') OR regexp_matches(text, '^\s*((?i:article|section|clause)\s+[0-9]+[A-Za-z0-9_.-]*)\b') AS m FROM mk),
 cz AS (SELECT *, sum(CASE WHEN m AND line > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS clause FROM sg)
 """
 
@@ -373,6 +378,50 @@ def extract_open_ended(spark, sf):
     return t.select("id", "position", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
 
 
+#: Forms of terms: text before and after a number v, feature, value as SQL of v, open-ended, confidence.
+_FORMS = (
+    ("Payment due March ", ", 2026", "PAYMENT_DUE_DATE", "20260300 + v", False, 1.0),
+    ("Effective ", " March 2026", "EFFECTIVE_DATE", "20260300 + v", False, 1.0),
+    ("Delivery of part ", " in June 2026", "CONTRACT_DATE", "NULL", True, 0.85),
+    ("marketing ", "만원", "MARKETING_COST", "v * 10000", False, 1.0),
+    ("결제 수수료 ", "%", "PAYMENT_PROCESSING_FEE", "v / 100", False, 1.0),
+    ("MG ", ",000원", "MINIMUM_GUARANTEE", "v * 1000", False, 1.0),
+    ("손해배상 한도 ", "억 원", "LIABILITY_CAP", "v * 100000000", False, 1.0),
+    ("이차 권리 ", " percent", "SECONDARY_RIGHTS_SHARE", "v / 100", False, 1.0),
+    ("수익 약 ", "%", "REVENUE_SHARE_RATE", "NULL", True, 0.85),
+    ("Under clause ", " fees are charged as determined by the company", "OPEN_ENDED_NUMERIC_TERMS", "NULL", True, 0.75),
+    ("고정금 ", "원", "FIXED_FEE", "v", False, 1.0),
+    ("Gross sales ", ".5 million KRW", "GROSS_SALES", "v * 1000000 + 500000", False, 1.0),
+    ("작가 몫 ", "%", "REVENUE_SHARE_RATE", "v / 100", False, 1.0),
+    ("발효 2026.03.", "", "EFFECTIVE_DATE", "20260300 + v", False, 1.0),
+    ("Notice ", " business days", "TERMINATION_NOTICE_DAYS", "v", False, 1.0),
+    ("독점 ", "년", "EXCLUSIVITY_DURATION_MONTHS", "v * 12", False, 1.0),
+    ("손해배상 ", "만 원 등", "PENALTY_AMOUNT", "NULL", True, 0.85),
+    ("Late by ", "-40 days", "PAYMENT_DELAY_DAYS", "NULL", True, 0.85),
+)
+_FORMS_SQL = ", ".join(f"({k}, {_q(f)}, {str(o).lower()}, {c})" for k, (_, _, f, _, o, c) in enumerate(_FORMS))
+
+
+@query(f"""
+SELECT o_orderkey AS order_key, feature_id, CAST(CASE {' '.join(f'WHEN form = {k} THEN {value}' for k, (_, _, _, value, _, _) in enumerate(_FORMS))} END AS DOUBLE) AS value, is_open_ended, CAST(confidence AS DOUBLE) AS extraction_confidence
+FROM (SELECT o_orderkey, o_orderkey % {len(_FORMS)} AS form, 10 + o_orderkey % 18 AS v FROM orders) JOIN (VALUES {_FORMS_SQL}) t(form, feature_id, is_open_ended, confidence) USING (form)
+""")
+def extract_forms(spark, sf):
+    """One of many forms of terms for each order: month names, incomplete dates, units, contexts, vague values."""
+    pick = lambda at: F.element_at(F.array(*(F.lit(f[at]) for f in _FORMS)), (F.col("o_orderkey") % len(_FORMS) + 1).cast("int"))
+    text = F.concat(pick(0), (10 + F.col("o_orderkey") % 18).cast("string"), pick(1))
+    t = ex.extract_terms(read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_key"), text.alias("text")), ["order_key"])
+    return t.select("order_key", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) + 64 AS INTEGER) AS start, 'REVENUE_SHARE_RATE' AS feature_id, (5 + doc_id % 90) / 100 AS value, false AS is_open_ended FROM documents")
+def extract_document_terms(spark, sf):
+    """Terms of all whole documents, each with one appended behind a rule."""
+    rate = F.concat(F.lit("\n" + "=" * 48 + " Revenue share "), (5 + F.col("doc_id") % 90).cast("string"), F.lit("%"))
+    docs = read_table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), rate).alias("text"))
+    return ex.extract_terms(docs, ["doc_id"]).select("doc_id", "start", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended")
+
+
 @query("""
 WITH g AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'money' ELSE 'pct' END AS kind, CAST(l_quantity AS INTEGER) AS key FROM lineitem), p AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'money' ELSE 'pct' END AS kind, CAST(l_quantity AS INTEGER) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS key FROM lineitem WHERE l_orderkey % 11 <> 0),
 a AS (SELECT kind, key, count(*) AS g FROM g GROUP BY ALL), b AS (SELECT kind, key, count(*) AS p FROM p GROUP BY ALL), c AS (SELECT kind, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM a FULL JOIN b USING (kind, key))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Levels of a field's ``privacy`` metadata that logs may not hold, and keys of raw images.
 PRIVATE_LEVELS = ("P2", "P3")
@@ -19,8 +20,21 @@ def marked(df: DataFrame, **levels: str) -> DataFrame:
     return df.select(*(F.col(c).alias(c, metadata={"privacy": levels[c]}) if c in levels else F.col(c) for c in df.columns))
 
 
+def _scrubbed(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        kept = [_scrubbed(column[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name not in RAW_KEYS]
+        return F.when(column.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _scrubbed(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(column, lambda k, _: ~k.isin(*RAW_KEYS)) if isinstance(kind.keyType, T.StringType) else column
+        return F.transform_values(kept, lambda _, v: _scrubbed(v, kind.valueType))
+    return column
+
+
 def without_raw(df: DataFrame) -> DataFrame:
-    return df.drop(*RAW_KEYS)
+    """``df`` without keys of raw images, at any depth of structs, arrays and maps."""
+    return df.select(*(_scrubbed(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in RAW_KEYS))
 
 
 def json_reports(df: DataFrame, key: str) -> DataFrame:
