@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import drop_saved, free_shuffles, save
 
 TOP, QUERY_MODULO = 20, 20
-#: Neighbours in the graph, trees and rows of a leaf.
-NEIGHBOURS, TREES, LEAF = 30, 12, 1500
+#: Neighbours in the graph, trees and rows of a leaf of the first graph.
+NEIGHBOURS, TREES, LEAF = 30, 8, 400
 #: Descent ends once a round changes at most this share of neighbours; a query ends once it
 #: has gone on from each of its BEAM best.
 CHANGED, BEAM = 0.01, 40
@@ -39,7 +39,9 @@ def valid(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     big = F.lit(float("inf"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)
-    return vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", v.alias("v")).filter(F.coalesce(sound, F.lit(False)))
+    rows = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", v.alias("v")).filter(F.coalesce(sound, F.lit(False)))
+    usual = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.col("count").desc(), "size").first()
+    return rows.filter(F.size("v") == (usual["size"] if usual else 0))
 
 
 def _pack(batches):
@@ -181,8 +183,9 @@ def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: i
         planes.append((normal, np.median(m @ normal, axis=0)))
     dealt = nodes.select("node", "x", "asked").mapInArrow(_leaves(planes, leaf), "node long, x binary, asked boolean, tree int, leaf long")
     dealt = save(dealt)
-    sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))  # trees * 2^bits rows
-    dealt2 = dealt.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
+    # Spark broadcasts the sizes, trees * 2^bits rows, where they are small enough
+    sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))
+    dealt2 = dealt.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
     key = ["tree", "leaf", "part"]
     lists = save(dealt2.repartition(*key).sortWithinPartitions(*key).select(*key, "node", "x", "asked").mapInArrow(_leaf_join(k), _LISTS))
     drop_saved(dealt)
@@ -194,7 +197,7 @@ def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREE
     lists = tree_lists(nodes.withColumn("asked", F.lit(True)), n, k, trees, leaf)
     graph = save(_merged(lists, k))
     drop_saved(lists)
-    share = 1.0 if n > leaf else 0.0
+    share = 1.0
     while share > changed:
         free_shuffles(nodes.sparkSession)
         edges = graph.select(F.col("node").alias("centre"), F.posexplode("ids").alias("place", "member"))
@@ -275,8 +278,6 @@ def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k:
     """``found`` and what queries find in the leaves of further trees, until ``target`` of the
     sample's nearest are found.  Each batch of trees is drawn anew, so that each finds a share
     of what is missing."""
-    if n <= leaf:
-        return found
     truth = true_nearest(nodes, queries, k)
     wanted = truth.count()
     found, batch = save(found), 0
@@ -300,8 +301,8 @@ def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf
     is divisible by ``modulo`` its ``top`` nearest other rows that were found, ties to the
     smaller id.
 
-    Rows with a null id, or a vector that is null, zero or holds null or non-finite
-    components, take no part; vectors are expected to have one length.  Repeated rows are rows
+    Rows with a null id, or a vector that is null, zero, holds null or non-finite components or
+    has another length than most (of equally common lengths the least counts), take no part.  Repeated rows are rows
     of their own.  Other columns are ignored; an empty table gives an empty result.
     """
     rows = save(valid(vectors).withColumn("digest", F.xxhash64("v")))
