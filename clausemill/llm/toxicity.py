@@ -4,8 +4,8 @@
    Besides a short public list of insults they are mined from labelled training rows: terms
    that occur in clearly more toxic than clean documents.
 2. A generative label model: expectation maximisation estimates how often each voter fires
-   in either class; correlations of voters within a class discount the votes of voters that
-   repeat each other.  The label itself takes part as one more, noisy voter.
+   in either class and how voters correlate within the classes; the votes of voters that
+   repeat each other share their weight.  It starts from the number of votes and sees no label.
 3. A linear classifier over hit counts is trained on the posterior labels and scores all
    documents.
 
@@ -124,25 +124,30 @@ def _votes(voters):
     return run
 
 
-def label_model(fired: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior probabilities of the toxic class from votes (rows x voters, 0/1) and noisy labels."""
-    x = np.column_stack([fired, label]).astype(float)
-    p = np.where(label > 0, 0.9, 0.05)
-    discount = np.ones(x.shape[1])
+def shared_weights(x: np.ndarray, p: np.ndarray, shrink: float = 0.2) -> np.ndarray:
+    """A weight for each voter, from the correlations R of votes within the classes: the
+    solution of R w = 1, so that independent voters weigh 1 and n copies of one 1 / n each."""
+    covariance = np.zeros((x.shape[1],) * 2)
+    for q in (p, 1 - p):
+        mean = q @ x / q.sum()
+        covariance += (x * q[:, None]).T @ x - q.sum() * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+    r = (1 - shrink) * covariance / scale[:, None] / scale
+    np.fill_diagonal(r, 1.0)
+    return np.clip(np.linalg.solve(r, np.ones(len(r))), 0.05, 1.0)
+
+
+def label_model(fired: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Posterior probabilities of the toxic class from votes alone (rows x voters, 0/1)."""
+    x = fired.astype(float)
+    p = 1 - 0.98 * 0.4 ** x.sum(1)
     for _ in range(rounds):
         p = np.clip(p, 1e-6, 1 - 1e-6)
         prior = p.mean()
         on = (p @ x + 0.5) / (p.sum() + 1)  # P(fires | toxic)
         off = ((1 - p) @ x + 0.1) / ((1 - p).sum() + 1)  # P(fires | clean)
-        # correlations within the classes, from weighted second moments
-        covariance = np.zeros((x.shape[1],) * 2)
-        for w, mean in ((p, p @ x / p.sum()), (1 - p, (1 - p) @ x / (1 - p).sum())):
-            covariance += (x * w[:, None]).T @ x - w.sum() * np.outer(mean, mean)
-        scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-        r = np.abs(covariance / scale[:, None] / scale)
-        np.fill_diagonal(r, 0)
-        discount = 1 / (1 + np.where(r > 0.1, r, 0).sum(1))
-        odds = np.log(prior / (1 - prior)) + x @ (discount * np.log(on / off)) + (1 - x) @ (discount * np.log((1 - on) / (1 - off)))
+        weight = shared_weights(x, p)
+        odds = np.log(prior / (1 - prior)) + x @ (weight * np.log(on / off)) + (1 - x) @ (weight * np.log((1 - on) / (1 - off)))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
@@ -181,7 +186,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int
     sample = votes.toArrow()
     ids, y = sample["doc_id"], sample["label"].to_numpy()
     hits = sample["hits"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
-    p = label_model(hits > 0, y)
+    p = label_model(hits > 0)
     posterior = spark.createDataFrame(pa.table({"doc_id": ids, "p": p})).groupBy("doc_id").agg(F.max("p").alias("p"))
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
     frame = votes.select("doc_id", "hits").join(F.broadcast(posterior), "doc_id").select("hits", both.alias("x"))
