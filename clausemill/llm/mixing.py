@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with soft membership; DataFrame functions only.
 
-1. A naive Bayes classifier over counts of marked letters, fitted on a labelled table
-   (doc_id, domain), gives each document a posterior over the domains.  Its evidence is
-   tempered to that of ``EVIDENCE`` characters, so that memberships stay soft.
+1. A naive Bayes classifier over hashed words, fitted on any labelled table (doc_id, domain),
+   gives each document a posterior over the domains.  Its evidence is tempered to that of
+   ``EVIDENCE`` words, so that memberships stay soft.
 2. Each document gets a rate r >= 0.  The rates minimise
    ``sum_d (S_d - T_d)^2 / T_d``, ``S_d`` being the expected tokens of domain d,
    ``sum_i r_i * tokens_i * p_id``, by projected gradient in the metric of the documents'
@@ -28,8 +28,9 @@ from .common import drop_saved, save
 
 #: Target shares of tokens by domain (here: language).
 WEIGHTS = {"en": 0.52, "de": 0.18, "es": 0.13, "fr": 0.17}
-LETTERS = ("ä", "ö", "ü", "ß", "é", "è", "ê", "ç", "ñ", "ó", "í", "w", "k", "y", "j")
-EVIDENCE = 60
+#: Words are hashed to so many buckets; the pseudo-count of each.
+BUCKETS, PSEUDO = 4096, 0.5
+EVIDENCE = 2
 STEPS, TOLERANCE = 40, 1e-6
 
 
@@ -39,55 +40,46 @@ def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def letter_counts(text: Column) -> list[Column]:
-    """How often each of LETTERS occurs; a difference of byte lengths, so a scan each."""
-    return [(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c)))) / len(c.encode()) for c in LETTERS]
+def word_buckets(text: Column) -> Column:
+    """The buckets of all words between white space of a text that isn't null; none of an empty one."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
-def token_count(text: Column) -> Column:
-    """Words between white space; 0 for an empty or null text."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + 1).cast("long")
-
-
-def with_features(documents: DataFrame) -> DataFrame:
-    """doc_id, tokens, chars and one count for each letter (f0, f1, ...)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counts = {f"f{k}": c for k, c in enumerate(letter_counts(F.col("_t")))}
-    return documents.select("doc_id", text.alias("_t")).select("doc_id", token_count(F.col("_t")).alias("tokens"), F.length("_t").alias("chars"), *(c.alias(n) for n, c in counts.items()))
-
-
-def class_weights(features: DataFrame, labelled: DataFrame, domains: list[str]) -> np.ndarray:
-    """log P(letter | domain) and, last, log P(any other character | domain); and log priors
-    in the first column.  A domain without labelled rows has a flat distribution."""
+def class_weights(documents: DataFrame, labelled: DataFrame, domains: list[str]) -> np.ndarray:
+    """log prior and, for each bucket, log P(bucket | domain).  A domain without labelled rows
+    has a flat distribution.  Counts of BUCKETS buckets for each domain reach the driver."""
     known = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sums = features.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), *(F.sum(f"f{k}").alias(f"f{k}") for k in range(len(LETTERS))))
-    found = {r.domain: r for r in sums.collect()}  # a row for each domain
-    out = []
-    for d in domains:
-        r = found.get(d)
-        counts = np.array([r[f"f{k}"] for k in range(len(LETTERS))]) if r else np.zeros(len(LETTERS))
-        other = (r.chars if r else 0) - counts.sum()
-        p = np.append(counts, max(other, 0)) + np.append(np.full(len(LETTERS), 0.5), 0.5 * len(LETTERS))
-        out.append(np.append(np.log((r.n if r else 0) + 1.0), np.log(p / p.sum())))
-    return np.array(out)
-
-
-def with_posteriors(features: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds p0, p1, ... for the domains; they sum to 1."""
-    scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.col("chars"), F.lit(1)))
-    letters = reduce(lambda a, b: a + b, (F.col(f"f{k}") for k in range(len(LETTERS))))
-    prior = weights[:, 0] - np.log(np.exp(weights[:, 0]).sum())
-    scores = []
-    for d in range(len(weights)):
-        z = reduce(lambda a, b: a + b, (F.col(f"f{k}") * float(weights[d, 1 + k]) for k in range(len(LETTERS))))
-        scores.append(F.lit(float(prior[d])) + scale * (z + (F.col("chars") - letters) * float(weights[d, -1])))
-    names = [f"z{d}" for d in range(len(weights))]
-    out = computed(features, features.columns, **dict(zip(names, scores)))
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = computed(rows, ["domain"], b=word_buckets(F.coalesce("text", F.lit(""))))
+    # bucket -1 counts documents
+    counts = rows.select("domain", F.explode(F.concat(F.array(F.lit(-1)), "b")).alias("bucket")).groupBy("domain", "bucket").count().toArrow().to_pylist()
+    n, c = np.zeros(len(domains)), np.full((len(domains), BUCKETS), PSEUDO)
+    for r in counts:
+        d = domains.index(r["domain"])
+        if r["bucket"] < 0:
+            n[d] = r["count"]
+        else:
+            c[d, r["bucket"]] += r["count"]
+    prior = (n + 1) / (n + 1).sum()
+    return np.column_stack([np.log(prior), np.log(c / c.sum(1, keepdims=True))])
+
+
+def with_posteriors(rows: DataFrame, keep: list[str], text: Column, weights: np.ndarray) -> DataFrame:
+    """``keep``, the number of tokens and p0, p1, ... for the domains; they sum to 1."""
+    out = computed(rows, keep, b=word_buckets(F.coalesce(text.cast("string"), F.lit(""))))
+    scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.size("b"), F.lit(1)))
+    names, scores = [f"z{d}" for d in range(len(weights))], []
+    for w in weights:
+        table = F.split(F.lit(",".join(f"{x:.6f}" for x in w[1:])), ",").cast("array<double>")  # folded to a constant
+        scores.append(F.lit(float(w[0])) + scale * F.aggregate("b", F.lit(0.0), lambda acc, x: acc + F.get(table, x)))
+    out = computed(out, [*keep, "b"], **dict(zip(names, scores)))
+    keep = [*keep, "tokens"]
+    out = out.withColumn("tokens", F.size("b").cast("long"))
     top = F.greatest(*names) if len(names) > 1 else F.col("z0")
-    out = computed(out, features.columns, **{f"e{d}": F.exp(F.col(z) - top) for d, z in enumerate(names)})
+    out = computed(out, keep, **{f"e{d}": F.exp(F.col(z) - top) for d, z in enumerate(names)})
     total = reduce(lambda a, b: a + b, (F.col(f"e{d}") for d in range(len(weights))))
-    return computed(out, features.columns, **{f"p{d}": F.col(f"e{d}") / total for d in range(len(weights))})
+    return computed(out, keep, **{f"p{d}": F.col(f"e{d}") / total for d in range(len(weights))})
 
 
 def rate(slope: list[float], least: float = 0.0) -> Column:
@@ -130,10 +122,8 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, least: float = 0.0):
         self.domains = sorted(weights)
-        features = save(with_features(documents))
-        self.classes = class_weights(features, labelled, self.domains)
-        self.posteriors = save(with_posteriors(features, self.classes).drop("chars", *(f"f{k}" for k in range(len(LETTERS)))))
-        drop_saved(features)
+        self.classes = class_weights(documents, labelled, self.domains)
+        self.posteriors = save(with_posteriors(documents.select("doc_id", F.col("text").alias("_t")), ["doc_id"], F.col("_t"), self.classes))
         self.slope, self.before, self.targets, self.after = fit_rates(self.posteriors, [weights[d] for d in self.domains], budget, least=least)
 
 
@@ -156,10 +146,7 @@ def mix(documents: DataFrame, labelled: DataFrame, weights: dict[str, float] = W
     as they are.  Rates are computed beside the row from its text, without a join."""
     m = Mixture(documents, labelled, weights, budget, least)
     drop_saved(m.posteriors)
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = documents.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), text.alias("_t"))
-    counts = {f"f{k}": c for k, c in enumerate(letter_counts(F.col("_t")))}
-    place = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(1 << 20)) / (1 << 20)
-    rows = computed(rows, ["row"], chars=F.length("_t"), u=place, **counts)
-    rows = computed(with_posteriors(rows, m.classes), ["row"], copies=F.floor(rate(m.slope, least) + F.col("u")).cast("int"))
+    rows = documents.select(F.struct("*").alias("row"))
+    place = F.pmod(F.xxhash64("row.doc_id", F.coalesce(F.col("row.text").cast("string"), F.lit(""))), F.lit(1 << 20)) / (1 << 20)
+    rows = computed(with_posteriors(rows, ["row"], F.col("row.text"), m.classes), ["row"], copies=F.floor(rate(m.slope, least) + place).cast("int"))
     return rows.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -59,7 +59,10 @@ def test_mix_repeats_rows_by_their_rate(spark, fitted):
     docs, labelled = fitted
     out = M.mix(docs, labelled)
     assert out.columns == docs.columns
-    rates = {r.doc_id: r.rate for r in M.document_rates(docs, labelled).collect()}
+    whole = M.document_rates(docs, labelled)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    rates = {r.doc_id: r.rate for r in whole.collect()}
     copies = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert all(abs(copies.get(i, 0) - r) < 1 + 1e-9 for i, r in rates.items())
     assert abs(sum(copies.values()) - sum(rates.values())) < 4 * np.sqrt(len(rates))
@@ -78,5 +81,26 @@ def test_edge_cases(spark):
     assert M.document_rates(docs.limit(0), labelled).count() == 0
     assert M.document_rates(docs, labelled.limit(0)).count() == len(rows)
     assert M.mix(docs, labelled).columns == docs.columns
-    tokens = docs.select(M.token_count(F.col("text")).alias("n")).toPandas().n.tolist()
-    assert tokens == [len((t or "").split()) for _, t, _ in rows]
+    assert sorted(got.tokens) == sorted(len((t or "").split()) for _, t, _ in rows)
+
+
+def test_classifier_learns_any_labelled_table(spark):
+    """Topics of one alphabet, told apart by their words alone; posteriors equal a plain count's."""
+    rng = np.random.default_rng(6)
+    names = ("law", "sea", "tea")
+    words = {d: [f"{d}{k}" for k in range(30)] + ["of", "the", "and"] for d in names}
+    rows = [(i, " ".join(rng.choice(words[names[i % 3]], 25)), names[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    known = docs.filter("doc_id % 2 = 0").select("doc_id", "domain")
+    got = M.document_rates(docs.drop("domain"), known, dict.fromkeys(names, 1.0)).toPandas().set_index("doc_id")
+    p = got[[f"p_{d}" for d in names]].to_numpy()
+    assert all(names[k] == rows[i][2] for i, k in zip(got.index, p.argmax(1)))
+    bucket = {w: r for w, r in spark.createDataFrame([(w,) for x in words.values() for w in x], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(M.BUCKETS))).distinct().collect()}
+    counts = {d: np.full(M.BUCKETS, M.PSEUDO) for d in names}
+    for _, t, d in rows[::2]:
+        for w in t.split():
+            counts[d][bucket[w]] += 1
+    for i, t, _ in rows[:9]:
+        z = np.array([np.log(16) + M.EVIDENCE / 25 * sum(np.log(counts[d][bucket[w]] / counts[d].sum()) for w in t.split()) for d in names])
+        want = np.exp(z - z.max())
+        assert np.allclose(got.loc[i, [f"p_{d}" for d in names]].to_numpy(float), want / want.sum(), atol=1e-4)
