@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import ALNUM, LOWER, WordHasher, mix, text_blocks, word_borders
+from .words import ALNUM, LOWER, WordHasher, mix, text_blocks, texts_of, word_borders
 
 WINDOW = 10
 PATTERNS_PER_BLOCK = 200_000
@@ -102,7 +102,7 @@ def _searcher(tables):
         classes, hasher = tables.value, WordHasher()
         for batch in batches:
             n_words, runs, items = [], [], []
-            for _, raw, offsets in text_blocks(batch.column("text")):
+            for _, raw, offsets in text_blocks(texts_of(batch)):
                 data = LOWER[raw]
                 starts, ends, first_word = word_borders(data, offsets, ALNUM)
                 n_words.extend(np.diff(first_word).tolist())
@@ -124,7 +124,7 @@ def _searcher(tables):
                     spans, ids = found.get(doc, ((), ()))
                     runs.append([x for span in merge_runs(spans) for x in span])
                     items.append(sorted(ids))
-            keep = batch.drop_columns(["text"])
+            keep = batch.drop_columns(["text"]) if "text" in batch.schema.names else batch
             keep = keep.append_column("n_words", pa.array(n_words, pa.int64()))
             keep = keep.append_column("runs", pa.array(runs, pa.list_(pa.int64())))
             yield keep.append_column("items", pa.array(items, pa.list_(pa.int64())))
@@ -213,13 +213,13 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WIN
     """The rows of ``documents``, with all their columns, that hold no occurrence of a
     benchmark window; without a shuffle."""
     spark = documents.sparkSession
-    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.struct("*").alias("row"))
     for c in _pattern_blocks(benchmark, n, patterns_per_block):
         found = rows.mapInArrow(
             _searcher(spark.sparkContext.broadcast(c)),
             T.StructType([T.StructField("row", rows.schema["row"].dataType), *T._parse_datatype_string("n_words long, runs array<bigint>, items array<bigint>").fields]),
         )
-        rows = found.filter(F.size("items") == 0).select("row", F.col("row.text").cast("string").alias("text"))
+        rows = found.filter(F.size("items") == 0).select("row")
     return rows.select("row.*")
 
 

@@ -48,6 +48,8 @@ BLOCK, BLOCK_SHINGLES = 2048, 1 << 18
 LEAF = 16
 #: Bits of the table by which texts are picked.
 TABLE_BITS = 25
+#: Most rows of a table of ids and hashes that is broadcast (about 20 MB).
+SENT_ROWS = 1 << 20
 #: A shingle whose slot occurs more often than this is dealt over several tasks.
 SPLIT = 4096
 
@@ -583,6 +585,9 @@ def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     state = save(state.filter("NOT kept OR count > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "kept"))
     rows = documents.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("th"))
 
+    # up to SENT_ROWS rows of some 20 bytes are sent to all tasks; more are joined by a shuffle
+    state = F.broadcast(state) if state.count() <= SENT_ROWS else state
+
     def match(other):
         return rows["row.doc_id"].eqNullSafe(other["i"]) & (rows["th"] == other["t"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_saved, fold, save, training_labels
-from .words import LOWER, NON_SPACE, WordHasher, mix, text_blocks, word_borders
+from .words import LOWER, NON_SPACE, WordHasher, mix, text_blocks, texts_of, word_borders
 
 #: Bound of the sample of labelled rows that the model is fitted on.
 LABELLED_ROWS = 20_000
@@ -204,7 +204,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, most: int = LABELLED_
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``documents`` without rejected rows.  The statistics travel beside the row, so that
     nothing is joined; texts are read twice."""
-    rows = documents.select(F.struct("*").alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.struct("*").alias("row"))
     stats = save(text_stats(documents))
     model = fit(stats, labels, "quality")
     drop_saved(stats)
@@ -212,11 +212,11 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def beside(batches):
         hasher = WordHasher()
         for batch in batches:
-            parts = [block_stats(raw, offsets, hasher) for _, raw, offsets in text_blocks(batch.column("text"))]
+            parts = [block_stats(raw, offsets, hasher) for _, raw, offsets in text_blocks(texts_of(batch))]
             m = np.concatenate(parts) if parts else np.empty((0, len(STATS)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(m[:, k]) for k in range(len(STATS)))], ["row", *STATS])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(s, T.DoubleType()) for s in STATS)])
-    return rows.select("row", "text").mapInArrow(beside, schema).filter(model.score() >= THRESHOLD).select("row.*")
+    return rows.mapInArrow(beside, schema).filter(model.score() >= THRESHOLD).select("row.*")

@@ -53,6 +53,15 @@ def text_blocks(column, block_bytes: int = BLOCK_BYTES):
         lo = hi
 
 
+def texts_of(batch) -> pa.Array:
+    """The text column of a batch, or that of its struct column ``row``, as strings."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    row = batch.column("row")
+    names = [row.type.field(k).name for k in range(row.type.num_fields)]
+    return row.field(names.index("text")).cast(pa.string())
+
+
 def word_borders(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     """Starts and ends of all words and, for each row, the index of its first word (with
     the number of words last).  No word reaches over a row's end."""
