@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session sets no ``spark.checkpoint.dir`` (tests, laptops).
+#: Used only by local masters whose session sets no ``spark.checkpoint.dir`` (tests, laptops).
 FALLBACK_DIR = "file:///tmp/checkpoints/clausemill"
 
 
@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = FALLBACK_DIR
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
