@@ -27,9 +27,10 @@ from .common import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words remembered with their ids by a Python worker (some 25 MB), and the longest of them in
-#: bytes; the memory is emptied when full, which changes no result.
-REMEMBERED, REMEMBERED_BYTES = 120_000, 64
+#: Words remembered with their ids by a Python worker (some 50 MB), and the longest of them in
+#: bytes.  Common words come early, so once the memory is full it stays as it is, and other words
+#: are encoded wherever they occur; that changes no result.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
 #: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
 PIECE_BYTES = 1 << 20
 _MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
@@ -79,7 +80,8 @@ class WordEncoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> set[bytes]:
+        """Adds words that aren't known, and their parts; returns all that was added."""
         known, parts, pairs = self.known, set(), []
         for w in words:
             if m := _LETTERS_THEN_MARKS.fullmatch(w):
@@ -88,29 +90,27 @@ class WordEncoder:
             else:
                 parts.add(w)
         simple, whole = [], []
-        for w in parts.difference(known):
+        added = parts.difference(known)
+        for w in added:
             (simple if w.isalpha() or _MARKS.fullmatch(w) or w.decode().isalpha() else whole).append(w)
         if simple:
             known.update(zip(simple, self._simple_ids(simple)))
         if whole:
             known.update(zip(whole, self._ids([w.decode() for w in whole])))
         known.update([(w, known[a] + known[b]) for w, a, b in pairs])
+        return added | words
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [not (b"\x0b" in t or b"\x0c" in t or b"<|" in t) for t in texts]
         words = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
         new = set(chain.from_iterable(words)).difference(self.known)
-        # a word may bring its two parts along
-        if len(self.known) + 3 * len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(words))
-        if new:
-            self._learn(new)
+        added = self._learn(new) if new else new
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) if p else self._ids([t.decode()])[0] for w, p, t in zip(words, plain, texts)]
-        for w in new:
-            if len(w) > REMEMBERED_BYTES:
-                self.known.pop(w)
+        full = len(self.known) > REMEMBERED
+        for w in added:
+            if full or len(w) > REMEMBERED_BYTES:
+                del self.known[w]
         return [np.frombuffer(ids, np.int32) for ids in out]
 
 
