@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir
+from .words import ENCODERS
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words remembered with their ids by a Python worker (some 50 MB), and the longest of them in
+#: Words remembered with their ids by a Python worker (some 120 MB), and the longest of them in
 #: bytes.  Common words come early, so once the memory is full it stays as it is, and other words
 #: are encoded wherever they occur; that changes no result.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 64
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64
 #: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
 PIECE_BYTES = 1 << 20
 _MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
@@ -115,8 +116,8 @@ class WordEncoder:
 
 
 def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which later tasks use again."""
-    kept = sys.modules.setdefault("_clausemill_encoders", types.ModuleType("_clausemill_encoders")).__dict__
+    """The encoder of this Python worker, which later tasks of this operator use again."""
+    kept = sys.modules.setdefault(ENCODERS, types.ModuleType(ENCODERS)).__dict__
     if path not in kept:
         kept[path] = WordEncoder(path)
     return kept[path]
