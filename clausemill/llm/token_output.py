@@ -28,10 +28,10 @@ from .words import ENCODERS
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words remembered with their ids by a Python worker (some 120 MB), and the longest of them in
+#: Words remembered with their ids by a Python worker (some 80 MB), and the longest of them in
 #: bytes.  Common words come early, so once the memory is full it stays as it is, and other words
 #: are encoded wherever they occur; that changes no result.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64
 #: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
 PIECE_BYTES = 1 << 20
 _MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
@@ -186,6 +186,7 @@ def _with_start(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 
 def _crc32(batches):
+    sys.modules.pop(ENCODERS, None)  # reading back needs no tokenizer
     for batch in batches:
         tokens = batch.column("tokens")
         values = np.asarray(tokens.values).astype("<u4", copy=False)
