@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, licenses, lm_scoring, mixing, neighbours, quality, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, licenses, lm_scoring, mixing, neighbours, quality, simhash, spelling, token_output, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -55,6 +55,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_neighbours": op9_neighbours,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
@@ -73,4 +88,5 @@ ORACLE_SQL = {
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
+    "op13_spelling": spelling.ORACLE_SQL,
 }
