@@ -10,28 +10,25 @@ A manifest beside the files gives each shard's number of ids and the ids before
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir
-from .words import ENCODERS
+from .words import LOWER, NON_SPACE, WordHasher, text_blocks, word_borders
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Words remembered with their ids by a Python worker (some 80 MB), and the longest of them in
-#: bytes.  Common words come early, so once the memory is full it stays as it is, and other words
-#: are encoded wherever they occur; that changes no result.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+#: Slots of a task's table of words: 2^20 take 32 MB, for half a million words.  Once it is full it
+#: stays as it is, and other words are encoded once in each piece where they occur; that changes no
+#: result.  Words of more bytes than REMEMBERED_BYTES aren't kept.
+SLOTS, REMEMBERED_BYTES = 1 << 20, 64
 #: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
 PIECE_BYTES = 1 << 20
 _MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
@@ -49,8 +46,53 @@ WRITE_OPTIONS = {
 }
 
 
+class WordTable:
+    """Ids of words by a 64-bit hash of the word, in arrays whose size never changes: open
+    addressing over ``slots``, at most half of them taken, and four ids for each on average."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.keys, self.rows = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.begin, self.length = np.zeros(slots // 2, np.int32), np.zeros(slots // 2, np.int32)
+        self.ids, self.words, self.used = np.zeros(2 * slots, np.int32), 0, 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        at, out, left = self._place(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(left):
+            row = self.rows[at[left]]
+            same = (row >= 0) & (self.keys[at[left]] == keys[left])
+            out[left[same]] = row[same]
+            left = left[(row >= 0) & ~same]
+            at[left] = (at[left] + 1) % len(self.keys)
+        return out
+
+    def add(self, keys: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct keys that aren't there, as many as there is room for."""
+        n = min(len(keys), len(self.begin) - self.words, int(np.searchsorted(np.cumsum(length), len(self.ids) - self.used, "right")))
+        keys, length = keys[:n], length[:n]
+        rows = np.arange(self.words, self.words + n, dtype=np.int32)
+        ends = np.cumsum(length)
+        self.begin[rows], self.length[rows] = self.used + ends - length, length
+        total = int(ends[-1]) if n else 0
+        self.ids[self.used : self.used + total] = ids[:total]
+        self.words, self.used = self.words + n, self.used + total
+        at, left = self._place(keys), np.arange(n)
+        while len(left):
+            free = left[self.rows[at[left]] < 0]
+            # of several that meet in a slot the last gets it
+            self.rows[at[free]] = rows[free]
+            left = left[self.rows[at[left]] != rows[left]]
+            at[left] = (at[left] + 1) % len(self.keys)
+        slots = np.flatnonzero(self.rows >= self.words - n)
+        self.keys[slots] = keys[self.rows[slots] - (self.words - n)]
+
+
 class WordEncoder:
-    """Encodes whole texts word by word, remembering words.
+    """Encodes whole texts word by word; each different word of a piece once, and words that are
+    remembered not at all.
 
     The tokenizer lower-cases, then splits at white space and between letters and other
     characters before anything else, so the ids of a text are those of its white-space
@@ -59,88 +101,93 @@ class WordEncoder:
     hold a special token are encoded in one piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.is_end[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
+        self.table, self.hasher = WordTable(slots), WordHasher()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple_ids(self, words: list[bytes]) -> list[bytes]:
+    def _simple_ids(self, words: list[bytes]) -> list[np.ndarray]:
         """Of words that are letters only or marks only: one call for all, cut at the tokens
         that end a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int32)
-        cuts = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
-        if len(cuts) != len(words):
-            return self._ids([w.decode() for w in words])
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
-
-    def _learn(self, words: set[bytes]) -> set[bytes]:
-        """Adds words that aren't known, and their parts; returns all that was added."""
-        known, parts, pairs = self.known, set(), []
-        for w in words:
-            if m := _LETTERS_THEN_MARKS.fullmatch(w):
-                pairs.append((w, *m.groups()))
-                parts.update(m.groups())
-            else:
-                parts.add(w)
-        simple, whole = [], []
-        added = parts.difference(known)
-        for w in added:
-            (simple if w.isalpha() or _MARKS.fullmatch(w) or w.decode().isalpha() else whole).append(w)
-        if simple:
-            known.update(zip(simple, self._simple_ids(simple)))
+        (ids,) = self._ids([b" ".join(words).decode()])
+        cuts = np.flatnonzero(self.is_end[ids]) + 1
+        return np.split(ids, cuts[:-1]) if len(cuts) == len(words) else self._ids([w.decode() for w in words])
+
+    def word_ids(self, words: list[bytes]) -> list[np.ndarray]:
+        pairs = {w: m.groups() for w in words if (m := _LETTERS_THEN_MARKS.fullmatch(w))}
+        parts = list({*(w for w in words if w not in pairs), *chain.from_iterable(pairs.values())})
+        is_simple = [w.isalpha() or bool(_MARKS.fullmatch(w)) or w.decode().isalpha() for w in parts]
+        simple, whole = [w for w, s in zip(parts, is_simple) if s], [w for w, s in zip(parts, is_simple) if not s]
+        known = dict(zip(simple, self._simple_ids(simple))) if simple else {}
         if whole:
             known.update(zip(whole, self._ids([w.decode() for w in whole])))
-        known.update([(w, known[a] + known[b]) for w, a, b in pairs])
-        return added | words
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        plain = [not (b"\x0b" in t or b"\x0c" in t or b"<|" in t) for t in texts]
-        words = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
-        new = set(chain.from_iterable(words)).difference(self.known)
-        added = self._learn(new) if new else new
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) if p else self._ids([t.decode()])[0] for w, p, t in zip(words, plain, texts)]
-        full = len(self.known) > REMEMBERED
-        for w in added:
-            if full or len(w) > REMEMBERED_BYTES:
-                del self.known[w]
-        return [np.frombuffer(ids, np.int32) for ids in out]
-
-
-def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, which later tasks of this operator use again."""
-    kept = sys.modules.setdefault(ENCODERS, types.ModuleType(ENCODERS)).__dict__
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+        return [np.concatenate([known[x] for x in pairs[w]]) if w in pairs else known[w] for w in words]
+
+    def _piece(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts, and how many each text has."""
+        table, data = self.table, LOWER[raw]
+        starts, ends, first = word_borders(data, offsets, NON_SPACE)
+        if not len(starts):
+            ids, count = np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        else:
+            keys, at, which = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
+            rows = table.find(keys)
+            new = np.flatnonzero(rows < 0)
+            s, e = starts[at[new]], ends[at[new]]
+            found = self.word_ids([data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())])
+            new_length = np.array([len(x) for x in found], np.int64)
+            store = np.concatenate([table.ids[: table.used], *found])
+            begin, length = table.begin[rows].astype(np.int64), table.length[rows].astype(np.int64)
+            begin[new], length[new] = table.used + np.cumsum(new_length) - new_length, new_length
+            short = np.flatnonzero(e - s <= REMEMBERED_BYTES)
+            table.add(keys[new[short]], new_length[short], np.concatenate([found[k] for k in short.tolist()]) if len(short) else np.empty(0, np.int32))
+            n = length[which]
+            after = np.cumsum(n)
+            ids = store[np.arange(int(after[-1])) + np.repeat(begin[which] - (after - n), n)]
+            count = np.diff(np.append(0, after)[first])
+        odd = (raw == 11) | (raw == 12)
+        odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+        odd = np.diff(np.append(0, np.cumsum(odd))[offsets]) > 0
+        if odd.any():
+            each = np.split(ids, np.cumsum(count)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                (each[k],) = self._ids([raw[offsets[k] : offsets[k + 1]].tobytes().decode()])
+            ids, count = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return ids, count
+
+    def __call__(self, column, end_id: int | None = None):
+        """Of the texts of an Arrow column (null: empty), piece by piece: all ids, and the end of
+        each text's ids; with ``end_id`` after each text."""
+        for _, raw, offsets in text_blocks(column, PIECE_BYTES):
+            ids, count = self._piece(raw, offsets)
+            ends = np.cumsum(count)
+            if end_id is not None:
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+            yield ids, ends
 
 
 def _encoder(path: str, end_id: int):
     def run(batches):
-        encode, shard, total = worker_encoder(path), TaskContext.get().partitionId(), 0
+        encode, shard, total = WordEncoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            column = batch.column("text").fill_null("").cast(pa.binary())
-            lo, before = 0, np.append(0, np.cumsum(np.asarray(pc.binary_length(column), np.int64)))
-            while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + PIECE_BYTES, "right")) - 1)
-                ids = [np.append(x, np.int32(end_id)) for x in encode(column[lo:hi].to_pylist())]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            lo = 0
+            for ids, ends in encode(batch.column("text"), end_id):
+                n = len(ends)
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+                sizes = np.diff(np.append(0, ends))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(np.full(len(ids), shard), pa.int32()), pa.array(total + ends - sizes), pa.array(sizes), tokens],
+                    [batch.column("doc_id")[lo : lo + n], pa.array(np.full(n, shard), pa.int32()), pa.array(total + ends - sizes), pa.array(sizes), tokens],
                     ["doc_id", "shard", "shard_start", "n_tokens", "tokens"],
                 )
                 total += int(ends[-1])
-                lo = hi
+                lo += n
 
     return run
 
@@ -186,7 +233,6 @@ def _with_start(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 
 def _crc32(batches):
-    sys.modules.pop(ENCODERS, None)  # reading back needs no tokenizer
     for batch in batches:
         tokens = batch.column("tokens")
         values = np.asarray(tokens.values).astype("<u4", copy=False)

@@ -7,14 +7,10 @@ a block holds whole documents, so a very long one is a block of its own.
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
-#: Where a Python worker keeps the encoders of ``token_output``.
-ENCODERS = "_clausemill_encoders"
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -39,7 +35,6 @@ def mix(h: np.ndarray) -> np.ndarray:
 def text_blocks(column, block_bytes: int = BLOCK_BYTES):
     """Yields (first row, bytes as uint8, offsets of its rows and the end) of an Arrow
     string array.  Nulls count as empty."""
-    sys.modules.pop(ENCODERS, None)  # a worker that goes on to other work lets go of its tokenizer
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

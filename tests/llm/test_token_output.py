@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -81,12 +82,29 @@ def test_files_are_encoded_as_stated(spark, tmp_path):
     assert sorted(r.doc_id for r in asked.collect()) == [40, 41, 42]
 
 
-def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(O, "REMEMBERED", 50)
-    tok, encode = Tokenizer.from_file(public_tokenizers.path(O.TOKENIZER)), O.WordEncoder(public_tokenizers.path(O.TOKENIZER))
+def test_memory_of_words_is_bounded():
+    path = public_tokenizers.path(O.TOKENIZER)
+    tok, encode = Tokenizer.from_file(path), O.WordEncoder(path, slots=128)
     rng = np.random.default_rng(4)
     for _ in range(6):
-        texts = [" ".join(f"w{i}x, {i % 7}." for i in rng.integers(0, 60, 9)) for _ in range(5)]
-        for ids, t in zip(encode([t.encode() for t in texts]), texts):
-            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
-        assert len(encode.known) <= 50
+        texts = [" ".join(f"w{i}x, {i % 7}." for i in rng.integers(0, 60, 9)) for _ in range(5)] + [None, ""]
+        (ids, ends), *more = encode(pa.array(texts))
+        assert not more
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+        assert encode.table.words <= 64 and len(encode.table.ids) == 256
+    assert encode.table.words > 40
+
+
+def test_word_table_finds_what_was_added():
+    rng, t = np.random.default_rng(5), O.WordTable(256)
+    keys = rng.integers(0, 2**63, 90, np.uint64) << np.uint64(5)  # many meet in the same slots
+    keys = np.unique(keys)
+    for part in np.array_split(keys, 4):
+        length = np.full(len(part), 2)
+        t.add(part, length, np.repeat((part % np.uint64(1000)).astype(np.int32), 2))
+    rows = t.find(np.append(keys, np.arange(1, 50, dtype=np.uint64)))
+    assert (rows[: len(keys)] >= 0).all() and (rows[len(keys) :] < 0).all()
+    assert (t.ids[t.begin[rows[: len(keys)]]] == (keys % np.uint64(1000)).astype(np.int32)).all()
+    t.add(np.arange(1, 200, dtype=np.uint64), np.ones(199, np.int64), np.arange(199, dtype=np.int32))
+    assert t.words == 128 and (t.find(np.arange(1, 200, dtype=np.uint64)) >= 0).sum() == 128 - len(keys)
