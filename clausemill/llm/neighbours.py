@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by NN-descent, nearness being the largest inner product.
 
-Equal vectors form one node that keeps its ``TOP + 1`` smallest ids, more than any result can
+Equal vectors form one node, numbered by its smallest id, that keeps its ``TOP + 1`` smallest ids, more than any result can
 hold.  A first graph comes from leaves of random hyperplane trees, each leaf of bounded size
 compared within itself.  NN-descent then joins neighbours of neighbours: for each node its
 neighbours and a bounded number of reverse neighbours meet, and each learns of the others
@@ -8,8 +8,10 @@ that are nearer than its worst, until hardly a neighbour changes.  A query start
 node's neighbours and goes on greedily to neighbours of the best found, until it has gone on
 from all of its best.  Descent can settle short of the nearest, and the more the larger the
 table.  So a bounded sample of queries is compared with all nodes, and queries meet the leaves
-of further trees until the sample's recall is TARGET: effort follows the table, and nothing
-has a fixed number of rounds.  Results are scored anew in double precision.
+of further trees until the sample's recall is TARGET, or until BATCHES batches of trees are
+spent; the recall that was measured is a column of the result.  Recall counts scores, not ids:
+whatever is as near as the last of the true nearest is found.  Results are scored anew in double
+precision.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ NEIGHBOURS, TREES, LEAF = 30, 8, 400
 CHANGED, BEAM = 0.01, 40
 #: Share of the nearest that must be found for SAMPLE queries compared with all nodes.
 TARGET, SAMPLE = 0.95, 200
+#: Most batches of further trees, and how much nearer (in relation) single precision may put a node.
+BATCHES, ROUNDING = 16, 1e-5
 SEED = 11
 
 
@@ -264,26 +268,35 @@ def _nearest_of(qs: list[int], queries: np.ndarray, k: int):
 
 
 def true_nearest(nodes: DataFrame, queries: DataFrame, k: int, most: int = SAMPLE) -> DataFrame:
-    """(q, node), saved: the k nearest nodes of at most ``most`` query nodes, by comparison with all."""
+    """(q, least, m), saved: of at most ``most`` query nodes, compared with all nodes, how many
+    nodes there are among the k nearest and the least of their scores."""
     drawn = queries.orderBy(F.xxhash64("x"), "q").limit(most).select("q", "x").toArrow()
     if not drawn.num_rows:
-        return save(queries.select("q", F.col("q").alias("node")))
+        return save(queries.select("q", F.lit(0.0).cast("float").alias("least"), F.lit(0).cast("long").alias("m")))
     lists = nodes.select("node", "x").mapInArrow(_nearest_of(drawn["q"].to_pylist(), _matrix(drawn["x"]), k), _LISTS)
     rows = lists.select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
-    return save(rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select("q", "node"))
+    return save(rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("m")))
 
 
-def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf: int, keep: int, target: float = TARGET) -> DataFrame:
+def measured_recall(found: DataFrame, truth: DataFrame) -> float:
+    """The share of the sample's nearest that are found, or others as near."""
+    near = F.count_if(F.col("score") >= F.col("least") - F.abs("least") * ROUNDING)
+    # SAMPLE rows are sent
+    per = F.broadcast(truth).join(found, "q", "left").groupBy("q").agg(F.least(near, F.first("m")).alias("hits"), F.first("m").alias("m"))
+    r = per.agg(F.sum("hits").alias("hits"), F.sum("m").alias("m")).first()
+    return r.hits / r.m if r.m else 1.0
+
+
+def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf: int, keep: int, target: float = TARGET, batches: int = BATCHES) -> tuple[DataFrame, float]:
     """``found`` and what queries find in the leaves of further trees, until ``target`` of the
-    sample's nearest are found.  Each batch of trees is drawn anew, so that each finds a share
-    of what is missing."""
+    sample's nearest are found or ``batches`` batches are spent, and the recall reached.  Each batch
+    of trees is drawn anew, so that each finds a share of what is missing."""
     truth = true_nearest(nodes, queries, k)
-    wanted = truth.count()
     found, batch = save(found), 0
     asked = nodes.join(queries.select(F.col("q").alias("node"), F.lit(True).alias("asked")), "node", "left").select("node", "x", F.coalesce("asked", F.lit(False)).alias("asked"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
-    while found.join(F.broadcast(truth), ["q", "node"], "left_semi").count() < target * wanted:  # SAMPLE * k rows
+    while (recall := measured_recall(found, truth)) < target and batch < batches:
         batch += 1
         lists = tree_lists(asked, n, k + 4, trees, leaf, batch)
         more = lists.select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
@@ -293,13 +306,13 @@ def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k:
         found = new
         free_shuffles(nodes.sparkSession)
     drop_saved(truth)
-    return found
+    return found, recall
 
 
 def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) whose id
-    is divisible by ``modulo`` its ``top`` nearest other rows that were found, ties to the
-    smaller id.
+    """(query_id, rank, vec_id, score, sample_recall): for each row of ``vectors`` (vec_id,
+    embedding) whose id is divisible by ``modulo`` its ``top`` nearest other rows that were found,
+    ties to the smaller id.  ``sample_recall`` is one value, measured on SAMPLE queries.
 
     Rows with a null id, or a vector that is null, zero, holds null or non-finite components or
     has another length than most (of equally common lengths the least counts), take no part.  Repeated rows are rows
@@ -308,17 +321,17 @@ def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf
     rows = save(valid(vectors).withColumn("digest", F.xxhash64("v")))
     own = Window.partitionBy("digest", "v").orderBy("vec_id")
     members = save(rows.withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= top + 1))
-    nodes = save(members.filter("rn = 1").select(F.monotonically_increasing_id().alias("node"), "digest", "v").mapInArrow(_pack, "node long, digest long, v array<double>, x binary"))
+    nodes = save(members.filter("rn = 1").select(F.col("vec_id").cast("long").alias("node"), "digest", "v").mapInArrow(_pack, "node long, digest long, v array<double>, x binary"))
     n = nodes.count()
     if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, sample_recall double")
     graph = build_graph(nodes, n, max(NEIGHBOURS, top + 4), trees, leaf)
     asked = rows.filter(F.col("vec_id") % modulo == 0).select(F.col("vec_id").alias("query_id"), "digest", "v")
     asked = save(asked.join(nodes.select("node", "digest", "v", "x"), ["digest", "v"]).select("query_id", F.col("node").alias("q"), "x"))
     queries = asked.select("q", "x").dropDuplicates(["q"])
     found = search(graph, nodes, queries, max(BEAM, top), max(64, top + 1))
-    found = complete(found, nodes, n, queries, top, trees, leaf, max(64, top + 1)).select("q", "node")
-    found = found.unionByName(queries.select("q", F.col("q").alias("node"))).distinct()
+    found, recall = complete(found, nodes, n, queries, top, trees, leaf, max(64, top + 1))
+    found = found.select("q", "node").unionByName(queries.select("q", F.col("q").alias("node"))).distinct()
     vec = nodes.select("node", "v")
     near = found.join(vec, "node").join(vec.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q")
     product = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -332,4 +345,4 @@ def nearest(vectors: DataFrame, top: int = TOP, modulo: int = QUERY_MODULO, leaf
     hits = hits.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= top + 1)
     answers = asked.select("query_id", "q").join(hits, "q").filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rn"))
-    return answers.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return answers.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score", F.lit(recall).alias("sample_recall"))

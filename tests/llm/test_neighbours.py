@@ -63,3 +63,32 @@ def test_recall_well_above_the_leaf_size(spark):
     s[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-s, 20, axis=1)[:, :20]
     assert np.mean([len(got[int(q)] & set(row.tolist())) / 20 for q, row in zip(asked, near)]) >= 0.9
+
+
+def test_thousands_of_equal_scores_end_and_count_as_found(spark):
+    """Vectors with three ones among 64 entries have the scores 0 to 3 alone."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((2500, 64), np.float32)
+    for row in x:
+        row[rng.choice(64, 3, replace=False)] = 1
+    got: dict = {}
+    for r in N.nearest(spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert r.sample_recall >= N.TARGET
+    assert set(got) == set(range(0, 2500, 20))
+    hits = 0
+    for q, found in got.items():
+        assert found == sorted(found) and len(found) == 20
+        s = x @ x[q]
+        s[q] = -1
+        hits += sum(-score >= np.sort(s)[-20] for score, _ in found)
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_loop_ends_without_reaching_its_target(spark, monkeypatch):
+    monkeypatch.setattr(N, "BATCHES", 1)
+    df = table(spark, "/root/testdata/sf0.01", "embeddings")
+    nodes = N.save(df.selectExpr("vec_id AS node", "transform(embedding, e -> double(e)) AS v").mapInArrow(N._pack, "node long, v array<double>, x binary"))
+    queries = nodes.filter("node % 20 = 0").select(N.F.col("node").alias("q"), "x")
+    found, recall = N.complete(queries.selectExpr("q", "q AS node", "float(-1) AS score"), nodes, 500, queries, 20, 2, 100, 64, target=1.1, batches=2)
+    assert 0.2 < recall <= 1 and found.count() > 0
