@@ -21,7 +21,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
+SHINGLE, CONTAINMENT = 5, 0.8
+#: The most that the chance of a match that meets its template in no band may be.
+MISSED = 1e-5
 WORD = re.compile(r"[a-z0-9]+")
 #: Notices that are looked for: name and text.
 TEMPLATES = {
@@ -52,12 +54,18 @@ def size_class(shingles: int) -> int:
     return c
 
 
-def needed_words(templates: dict[str, str]) -> list[str]:
-    """Words of which a document must have at least one to hold 80 % of any template."""
+def band_count(threshold: float = CONTAINMENT) -> int:
+    """Bands of one value each such that a match is missed with a chance of MISSED at most: 24 at 0.8."""
+    similar = threshold * 0.8 / (1.5 + 0.8 - 0.8 * threshold)
+    return math.ceil(math.log(MISSED) / math.log(1 - similar)) if 0 < similar < 1 else 1
+
+
+def needed_words(templates: dict[str, str], threshold: float = CONTAINMENT) -> list[str]:
+    """Words of which a document must have at least one to hold ``threshold`` of any template."""
     out: set[str] = set()
     for text in templates.values():
         left = shingle_set(text)
-        least = math.ceil(CONTAINMENT * len(left) - 1e-9)
+        least = math.ceil(threshold * len(left) - 1e-9)
         for word in sorted({w for s in left for w in s.split()}, key=lambda w: (w not in out, -len(w), w)):
             if len(left) < least:
                 break
@@ -71,13 +79,13 @@ def _shingle(words: Column, place: Column) -> Column:
     return F.array_join(F.slice(words, place, SHINGLE), " ")
 
 
-def _signature(shingles: Column) -> Column:
+def _signature(shingles: Column, bands: int) -> Column:
     """The MinHash values of an array of shingles, one for each band."""
 
     def least(k):
         return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k))))
 
-    return F.array(*(least(k) for k in range(BANDS)))
+    return F.array(*(least(k) for k in range(bands)))
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
@@ -86,14 +94,14 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "license string, size int, width int, known array<string>")
 
 
-def band_shingles(known: DataFrame) -> list[int]:
+def band_shingles(known: DataFrame, bands: int) -> list[int]:
     """Hashes of the shingles that give a template the value of some band."""
 
     def least(k):
         return F.array_min(F.transform("known", lambda x: F.struct(F.xxhash64(x, F.lit(k)), F.xxhash64(x).alias("h"))))["h"]
 
-    rows = known.select(F.explode(F.array_distinct(F.array(*(least(k) for k in range(BANDS))))).alias("h")).distinct()
-    return sorted(r.h for r in rows.collect())  # at most BANDS for each template
+    rows = known.select(F.explode(F.array_distinct(F.array(*(least(k) for k in range(bands))))).alias("h")).distinct()
+    return sorted(r.h for r in rows.collect())  # at most a shingle for each template and band
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
@@ -114,13 +122,13 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
     widths = sorted({size_class(len(s)) for t in templates.values() if (s := shingle_set(t))}) or [1]
     steps = [max(1, w // 2) for w in widths]
     lower = F.lower(F.col("text").cast("string"))
-    needed = needed_words(templates) or ["\0"]
+    needed, n_bands = needed_words(templates, threshold) or ["\0"], band_count(threshold)
     docs = documents.filter("doc_id IS NOT NULL").select("doc_id", lower.alias("t")).filter(F.col("t").rlike("|".join(needed)))
     docs = docs.select("doc_id", F.filter(F.split("t", "[^a-z0-9]+", -1), lambda w: w != "").alias("words"))
 
     words = F.col("words")
     places = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
-    marks = band_shingles(known)
+    marks = band_shingles(known, n_bands)
     marked = F.filter(F.sequence(F.lit(1), places), lambda i: F.xxhash64(_shingle(words, i)).isin(marks))
 
     def around(i):
@@ -142,9 +150,9 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
 
     numbers = F.array_distinct(F.flatten(F.transform(marked, around)))
     windows = docs.select("doc_id", F.inline(F.transform(numbers, cut)))
-    bands = windows.select("doc_id", "begin", "width", "held", F.posexplode(_signature(F.col("held"))).alias("band", "value"))
-    signs = known.select("license", "size", "width", "known", F.posexplode(_signature(F.col("known"))).alias("band", "value"))
-    found = bands.join(F.broadcast(signs), ["width", "band", "value"])  # BANDS rows for each template
+    bands = windows.select("doc_id", "begin", "width", "held", F.posexplode(_signature(F.col("held"), n_bands)).alias("band", "value"))
+    signs = known.select("license", "size", "width", "known", F.posexplode(_signature(F.col("known"), n_bands)).alias("band", "value"))
+    found = bands.join(F.broadcast(signs), ["width", "band", "value"])  # a row for each template and band
     inside = F.filter(F.sequence(F.lit(0), F.size("held") - 1), lambda i: F.array_contains("known", F.get("held", i)))
     verified = found.select(
         "doc_id", "license", (F.size(F.array_intersect("held", "known")) / F.col("size")).alias("containment"), (F.col("begin") + F.array_min(inside)).alias("first_word")

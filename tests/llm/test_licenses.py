@@ -56,3 +56,19 @@ def test_whole_table(spark):
     got = {(r.doc_id, r.license) for r in L.scan_licenses(docs).collect()}
     want = {(r.doc_id, n) for r in docs.select("doc_id", "text").collect() for n in brute(r.text)}
     assert got == want and got
+
+
+def test_lower_threshold_finds_what_it_asks_for(spark):
+    """Documents with three fifths of a notice, cut so that its longest words are missing."""
+    docs, want = [], {}
+    for k, (name, text) in enumerate(L.TEMPLATES.items()):
+        words = re.findall("[a-z0-9]+", text.lower())
+        cut = words[: 5 + int(0.64 * max(1, len(words) - 4))]
+        docs.append((k, " ".join(cut)))
+        share = len(L.shingle_set(" ".join(cut)) & L.shingle_set(text)) / len(L.shingle_set(text))
+        if share >= 0.6:
+            want[k, name] = round(share, 9)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.license): round(r.containment, 9) for r in L.scan_licenses(df, threshold=0.6).collect()}
+    assert len(want) > 6 and {k: got.get(k) for k in want} == want
+    assert L.band_count() == 24 and L.band_count(0.6) > 24
