@@ -155,9 +155,11 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = nodes.sparkSession
     rows, found = nodes.select(F.lit(0).cast("long").alias("parent"), "fp"), []
     for level in tables(radius):
-        # 15, 225 and 3,375 rows
-        masks = spark.createDataFrame([(p, k, _signed(m)) for p, k, m in level], "parent long, path long, mask long")
-        keyed = rows.join(F.broadcast(masks), "parent").select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level[0][0] == 0:
+            keyed = rows.select(F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for _, k, m in level))), "fp")
+        else:  # 225 or 3,375 rows are sent
+            masks = spark.createDataFrame([(p, k, _signed(m)) for p, k, m in level], "parent long, path long, mask long")
+            keyed = rows.join(F.broadcast(masks), "parent").select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         buckets = save(keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
         free_shuffles(spark)
         found.append(buckets.filter(f"n = 2 AND bit_count(a ^ b) <= {radius}").select("a", "b"))
