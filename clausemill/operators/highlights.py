@@ -41,14 +41,6 @@ def merge_equal(parts: DataFrame, doc: str) -> DataFrame:
     return step.groupBy(doc, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("labels").alias("labels")).drop("_g")
 
 
-def valid_candidates(candidates: DataFrame, findings: DataFrame, spans: DataFrame) -> DataFrame:
-    """Candidates (finding_id, span_id, start, end, exact_text) that name a known finding and
-    span and whose text stands at their offsets; all others fall away."""
-    c = candidates.join(findings.select("finding_id"), "finding_id", "left_semi").join(spans.select("span_id", F.col("text").alias("_t")), "span_id")
-    same = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("exact_text")
-    return c.filter((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_t")) & same).drop("_t")
-
-
 def apply_corrections(spans: DataFrame, corrections: DataFrame) -> DataFrame:
     """Spans with the text of their latest correction (span_id, revision, corrected_text); of equal
     revisions the larger text counts."""

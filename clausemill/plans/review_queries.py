@@ -479,16 +479,6 @@ def span_corrections(spark, sf):
     return hl.apply_corrections(spans, fixes)
 
 
-@query("""
-WITH t AS (SELECT o_orderkey AS k, o_orderpriority AS text FROM orders) SELECT k AS finding_id, 2 AS start, 5 AS "end" FROM t WHERE k % 2 = 0 AND length(text) >= 5 AND k % 3 <> 0
-""")
-def valid_highlights(spark, sf):
-    """Candidates fail closed: the finding must exist and the text stand at its place."""
-    spans = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("span_id"), F.col("o_orderpriority").alias("text"))
-    c = spans.select(F.col("span_id").alias("finding_id"), "span_id", F.lit(2).alias("start"), F.lit(5).alias("end"), F.when(F.col("span_id") % 3 == 0, "??").otherwise(F.substring("text", 3, 3)).alias("exact_text"))
-    return hl.valid_candidates(c, spans.filter("span_id % 2 = 0").select(F.col("span_id").alias("finding_id")), spans).select("finding_id", "start", "end")
-
-
 @query(f"WITH {CLAUSES_SQL} SELECT doc, clause, CASE WHEN regexp_matches(text, '[가-힣]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[가-힣]') THEN 'ko' ELSE 'en' END AS tag FROM cl")
 def clause_languages(spark, sf):
     return clauses(spark, sf).select("doc", "clause", tx.language_tag(F.col("text")).alias("tag"))
