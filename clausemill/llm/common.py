@@ -17,7 +17,19 @@ FALLBACK_DIR = "file:///tmp/checkpoints/clausemill"
 EDGES_DEALT = 1 << 16
 
 
+#: Spark's setting for the bytes of a batch that goes to Python, its default and ours.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts are of 8 MB, unless the session says otherwise: a worker and the executor
+    each hold several copies of one."""
+    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +47,7 @@ def save(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage
     ends there, and a lost executor loses nothing."""
     path = scratch_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

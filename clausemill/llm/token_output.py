@@ -9,9 +9,7 @@ A manifest beside the files gives each shard's number of ids and the ids before
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import bound_batches, scratch_dir
 from .words import LOWER, NON_SPACE, WordHasher, text_blocks, word_borders
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,8 +29,11 @@ END_ID = 1
 SLOTS, REMEMBERED_BYTES = 1 << 20, 64
 #: Texts are encoded and handed on in pieces of about so many bytes, one text at least.
 PIECE_BYTES = 1 << 20
-_MARKS = re.compile(rb"[!#-&*-/:-@^_|~]+")  # no apostrophe: the tokenizer has rules for 's and the like
-_LETTERS_THEN_MARKS = re.compile(rb"([a-z]+)([!#-&*-/:-@^_|~]+)")
+#: Bytes by class: a-z, 0-9, marks between which and letters the tokenizer splits before anything
+#: else (no apostrophe: it has rules for 's and the like), and all others.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[ord("a") : ord("z") + 1], _CLASS[ord("0") : ord("9") + 1] = 1, 2
+_CLASS[list(b"!#$%&*+,-./:;<=>?@^_|~")] = 3
 WRITE_OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(32 << 20),
@@ -46,6 +47,25 @@ WRITE_OPTIONS = {
 }
 
 
+def atoms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where the tokenizer cuts them: those of a-z, digits and marks alone into runs of
+    letters, single digits and runs of marks; others stay whole.  Starts, ends, and which are such
+    cuts."""
+    kind = _CLASS[data]
+    odd = np.append(0, np.cumsum(kind == 0))
+    plain = odd[ends] == odd[starts]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts[plain]] += 1
+    step[ends[plain]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    cut = np.zeros(len(data), bool)
+    cut[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut[starts] = True
+    firsts = np.flatnonzero(cut)
+    of = np.searchsorted(starts, firsts, "right") - 1
+    return firsts, np.minimum(np.append(firsts[1:], len(data)), ends[of]), plain[of]
+
+
 class WordTable:
     """Ids of words by a 64-bit hash of the word, in arrays whose size never changes: open
     addressing over ``slots``, at most half of them taken, and four ids for each on average."""
@@ -94,7 +114,7 @@ class WordEncoder:
     """Encodes whole texts word by word; each different word of a piece once, and words that are
     remembered not at all.
 
-    The tokenizer lower-cases, then splits at white space and between letters and other
+    The tokenizer lower-cases, then splits at white space and between letters, digits and other
     characters before anything else, so the ids of a text are those of its white-space
     words in order, and those of ``word,`` are those of ``word`` and ``,``.  Texts with a
     vertical tab or form feed, whose class depends on the regex engine, and texts that may
@@ -113,45 +133,55 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple_ids(self, words: list[bytes]) -> list[np.ndarray]:
-        """Of words that are letters only or marks only: one call for all, cut at the tokens
-        that end a word."""
+    def _one_call(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has, by one call for all, cut at the tokens that end a
+        word; word by word if these aren't as many."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         (ids,) = self._ids([b" ".join(words).decode()])
         cuts = np.flatnonzero(self.is_end[ids]) + 1
-        return np.split(ids, cuts[:-1]) if len(cuts) == len(words) else self._ids([w.decode() for w in words])
-
-    def word_ids(self, words: list[bytes]) -> list[np.ndarray]:
-        pairs = {w: m.groups() for w in words if (m := _LETTERS_THEN_MARKS.fullmatch(w))}
-        parts = list({*(w for w in words if w not in pairs), *chain.from_iterable(pairs.values())})
-        is_simple = [w.isalpha() or bool(_MARKS.fullmatch(w)) or w.decode().isalpha() for w in parts]
-        simple, whole = [w for w, s in zip(parts, is_simple) if s], [w for w, s in zip(parts, is_simple) if not s]
-        known = dict(zip(simple, self._simple_ids(simple))) if simple else {}
-        if whole:
-            known.update(zip(whole, self._ids([w.decode() for w in whole])))
-        return [np.concatenate([known[x] for x in pairs[w]]) if w in pairs else known[w] for w in words]
+        if len(cuts) == len(words):
+            return ids, np.diff(np.append(0, cuts))
+        each = self._ids([w.decode() for w in words])
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def word_ids(self, words: list[bytes], is_plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which words are encoded, their ids in that order and how many each has:
+        plain ones, then others that are letters alone, then the rest one by one."""
+        plain, others = np.flatnonzero(is_plain), np.flatnonzero(~is_plain).tolist()
+        letters = [k for k in others if words[k].decode().isalpha()]
+        rest = sorted(set(others).difference(letters))
+        parts = [self._one_call([words[k] for k in some]) for some in (plain.tolist(), letters)]
+        if rest:
+            each = self._ids([words[k].decode() for k in rest])
+            parts.append((np.concatenate(each), np.array([len(x) for x in each], np.int64)))
+        ids, length = (np.concatenate(x) for x in zip(*parts))
+        return np.concatenate([plain, letters, rest]).astype(np.int64), ids, length
 
     def _piece(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and how many each text has."""
         table, data = self.table, LOWER[raw]
-        starts, ends, first = word_borders(data, offsets, NON_SPACE)
+        starts, ends, _ = word_borders(data, offsets, NON_SPACE)
         if not len(starts):
             ids, count = np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         else:
+            starts, ends, is_plain = atoms(data, starts, ends)
             keys, at, which = np.unique(self.hasher(data, starts, ends), return_index=True, return_inverse=True)
             rows = table.find(keys)
-            new = np.flatnonzero(rows < 0)
-            s, e = starts[at[new]], ends[at[new]]
-            found = self.word_ids([data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())])
-            new_length = np.array([len(x) for x in found], np.int64)
-            store = np.concatenate([table.ids[: table.used], *found])
             begin, length = table.begin[rows].astype(np.int64), table.length[rows].astype(np.int64)
-            begin[new], length[new] = table.used + np.cumsum(new_length) - new_length, new_length
-            short = np.flatnonzero(e - s <= REMEMBERED_BYTES)
-            table.add(keys[new[short]], new_length[short], np.concatenate([found[k] for k in short.tolist()]) if len(short) else np.empty(0, np.int32))
+            store, new = table.ids, np.flatnonzero(rows < 0)
+            if len(new):
+                s, e = starts[at[new]], ends[at[new]]
+                order, found, n = self.word_ids([data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())], is_plain[at[new]])
+                new, size = new[order], (e - s)[order]
+                store = np.concatenate([table.ids[: table.used], found])
+                begin[new], length[new] = table.used + np.cumsum(n) - n, n
+                short = size <= REMEMBERED_BYTES
+                table.add(keys[new[short]], n[short], found if short.all() else found[np.repeat(short, n)])
             n = length[which]
             after = np.cumsum(n)
             ids = store[np.arange(int(after[-1])) + np.repeat(begin[which] - (after - n), n)]
-            count = np.diff(np.append(0, after)[first])
+            count = np.diff(np.append(0, after)[np.searchsorted(starts, offsets)])
         odd = (raw == 11) | (raw == 12)
         odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
         odd = np.diff(np.append(0, np.cumsum(odd))[offsets]) > 0
@@ -197,6 +227,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     ``path/manifest``.  Null texts are empty (the end id alone); null ids come first;
     repeated ids stay, ordered by a hash of their text.  Other columns are ignored."""
     spark = documents.sparkSession
+    bound_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()

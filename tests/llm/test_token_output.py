@@ -87,7 +87,7 @@ def test_memory_of_words_is_bounded():
     tok, encode = Tokenizer.from_file(path), O.WordEncoder(path, slots=128)
     rng = np.random.default_rng(4)
     for _ in range(6):
-        texts = [" ".join(f"w{i}x, {i % 7}." for i in rng.integers(0, 60, 9)) for _ in range(5)] + [None, ""]
+        texts = [" ".join(f"w'{i}x, {i % 7}." for i in rng.integers(0, 60, 9)) for _ in range(5)] + [None, ""]
         (ids, ends), *more = encode(pa.array(texts))
         assert not more
         want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -108,3 +108,16 @@ def test_word_table_finds_what_was_added():
     assert (t.ids[t.begin[rows[: len(keys)]]] == (keys % np.uint64(1000)).astype(np.int32)).all()
     t.add(np.arange(1, 200, dtype=np.uint64), np.ones(199, np.int64), np.arange(199, dtype=np.int32))
     assert t.words == 128 and (t.find(np.arange(1, 200, dtype=np.uint64)) >= 0).sum() == 128 - len(keys)
+
+
+def test_words_are_cut_where_the_tokenizer_cuts(spark):
+    path = public_tokenizers.path(O.TOKENIZER)
+    tok, encode = Tokenizer.from_file(path), O.WordEncoder(path)
+    rng = np.random.default_rng(6)
+    signs = list("abcXYZ019.,-_;:!?/\\\"'()[]{}@#$%^&*+=~`<>|é漢 \t\n")
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 60)))) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("ab12.-:/ "), 40)) for _ in range(2000)]
+    (ids, ends), *more = encode(pa.array(texts))
+    assert not more
+    for got, t in zip(np.split(ids, ends[:-1]), texts):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, t
