@@ -72,3 +72,5 @@ PHRASES = (
     "Signed copies are kept in electronic form by the platform.",
     "The parties may use each other's names in press releases.",
 )
+#: Short mixed texts.
+KOREAN = ("정산 내역을 열람", "가", "MG 선급금 100만원", "권리 반환 clause 2차", "독점기간")

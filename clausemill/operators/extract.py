@@ -1,9 +1,10 @@
 """Financial terms with offsets, by scanning patterns in the JVM; no UDF.
 
-A text is scanned once for each family of patterns.  Ranges mask single values, dates mask
-durations.  The words near a value name its feature (the first rule that fits) and tell
-whether it is open-ended.  Steps are separated by generators (``once``), so that the optimizer
-evaluates each scan once and doesn't write it into every place that uses its result.
+A text is scanned once for each pattern of the families asked for, and of those that mask them:
+ranges mask single values, dates mask durations.  What is left becomes a row for each match, with
+the words near it but without the text; there its value is computed once, and the words name its
+feature (the first rule that fits) and tell whether it is open-ended.  Steps are separated by
+generators (``once``), so that the optimizer doesn't write a step into every place that uses it.
 """
 
 from __future__ import annotations
@@ -96,7 +97,15 @@ SCANS = {
     "percent": (NUMBER + r"\s*" + PERCENT,), "time": tuple(NUMBER + r"\s*" + unit + AFTER_TIME for unit in (DAYS, MONTHS, YEARS)),
 }
 _SPAN = "array<struct<start:int,end:int,value:string>>"
-_TERM = "array<struct<start:int,end:int,feature_id:string,value_raw:string,unit:string,value_norm:decimal(38,6),is_open_ended:boolean,scale:double>>"
+#: Families of patterns whose matches mask those of a family.
+MASKS = {
+    "date": (), "month_alone": ("date",), "money_range": (), "percent_range": (), "time_range": ("date", "month_alone"), "money": ("money_range", "percent_range", "time_range"),
+    "percent": ("money_range", "percent_range", "time_range"), "time": ("money_range", "percent_range", "time_range", "date", "month_alone"),
+}
+#: Families that give terms of a unit.
+GIVES = {"krw": ("money_range", "money"), "frac": ("percent_range", "percent"), "days": ("time_range", "time"), "months": ("time_range", "time"), "none": ("date", "month_alone", "open_phrase")}
+#: What a text must hold for a family to occur in it.
+HINTS = {"money": KRW + "|₩", "money_range": KRW, "percent": PERCENT, "percent_range": PERCENT, "time": f"{DAYS}|{MONTHS}|{YEARS}", "time_range": f"{DAYS}|{MONTHS}|{YEARS}"}
 
 
 def near(text: Column, m: Column, width: int) -> Column:
@@ -105,16 +114,25 @@ def near(text: Column, m: Column, width: int) -> Column:
     return F.substring(text, begin + 1, m["end"] + width - begin)
 
 
-def feature(text: Column, m: Column, family: str) -> Column:
-    words = near(text, m, NEAR_FEATURE)
-    (pattern, name), *more = RULES[family]
-    return reduce(lambda acc, r: acc.when(words.rlike(ANY_CASE + r[0]), r[1]), more, F.when(words.rlike(ANY_CASE + pattern), name)).otherwise(DEFAULTS[family])
+def feature(words: Column, family: Column, families) -> Column:
+    """The first rule of the family that fits the words."""
+
+    def of(f):
+        (pattern, name), *more = RULES[f]
+        return reduce(lambda acc, r: acc.when(words.rlike(ANY_CASE + r[0]), r[1]), more, F.when(words.rlike(ANY_CASE + pattern), name)).otherwise(DEFAULTS[f])
+
+    return reduce(lambda acc, f: acc.when(family == f, of(f)), families[1:], F.when(family == families[0], of(families[0])))
 
 
 def overlaps(m: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"]))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number(raw: Column) -> Column:
     return F.replace(F.regexp_extract(raw, NUMBER, 0), F.lit(","), F.lit("")).try_cast("decimal(28,6)")
 
@@ -135,10 +153,9 @@ def months_value(raw: Column) -> Column:
 
 def date_value(raw: Column) -> Column:
     """yyyymmdd, or null where there is no such day."""
-    n = F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0))
     named = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTH_NAMES)), F.lower(F.regexp_extract(raw, "[A-Za-z]{3}", 0))).cast("string")
-    parts = F.when(F.size(n) == 2, F.array(n[1], named, n[0])).otherwise(n)
-    padded = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
+    parts = bound(F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0)), lambda n: F.when(F.size(n) == 2, F.array(F.get(n, F.lit(1)), named, F.get(n, F.lit(0)))).otherwise(n))
+    padded = bound(parts, lambda x: F.concat_ws("-", F.get(x, F.lit(0)), F.lpad(F.get(x, F.lit(1)), 2, "0"), F.lpad(F.get(x, F.lit(2)), 2, "0")))
     return F.date_format(F.try_to_date(padded, "yyyy-MM-dd"), "yyyyMMdd").cast("decimal(38,6)")
 
 
@@ -146,76 +163,72 @@ def is_months(m: Column) -> Column:
     return m["value"].rlike(ANY_CASE + f"{MONTHS}|{YEARS}")
 
 
-def term(m: Column, feature_id: Column, unit: str, value: Column, is_open: Column, scale: Column) -> Column:
-    return F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), feature_id.alias("feature_id"), F.trim(m["value"]).alias("value_raw"), F.lit(unit).alias("unit"),
-        F.when(~is_open, value.cast("decimal(38,6)")).alias("value_norm"), is_open.alias("is_open_ended"), scale.cast("double").alias("scale"),
-    )
-
-
-def open_terms(text: Column, spans, family: str) -> Column:
-    """Terms without a value."""
-    none = F.lit(None).cast("decimal(38,6)")
-    return F.transform(spans, lambda m: term(m, feature(text, m, family), UNITS[family], none, F.lit(True), F.lit(UNSURE))).cast(_TERM)
-
-
-def valued_terms(text: Column, spans, family: str, value) -> Column:
-    def one(m):
-        v = value(m["value"]).cast("decimal(38,6)")
-        vague = F.coalesce(near(text, m, NEAR_OPEN).rlike(ANY_CASE + OPEN_ENDED), F.lit(False)) | v.isNull()
-        vague = vague | ~v.between(0, 1) if family == "percent" else vague
-        return term(m, feature(text, m, family), UNITS[family], v, vague, F.when(vague, UNSURE).otherwise(SURE))
-
-    return F.transform(spans, one).cast(_TERM)
+def _needed(units) -> list[str]:
+    """Families to scan for, in the order of SCANS; open phrases are masked by all terms."""
+    wanted = {f for u in units for f in GIVES[u]}
+    wanted |= set(SCANS) if "open_phrase" in wanted else set()
+    wanted |= {m for f in wanted for m in MASKS.get(f, ())}
+    wanted |= {m for f in wanted for m in MASKS.get(f, ())}
+    return [f for f in SCANS if f in wanted]
 
 
-def extract_terms(clauses: DataFrame, keys: list[str], confidence: Column | None = None) -> DataFrame:
-    """A row for each term of each clause (keys, text), in the order of start, end and feature:
+def extract_terms(clauses: DataFrame, keys: list[str], confidence: Column | None = None, units=tuple(GIVES)) -> DataFrame:
+    """A row for each term of each clause (keys, text), in the order of start and end:
     position, feature_id, value_raw, unit, value_norm (null if open-ended), is_open_ended and
-    extraction_confidence.  Null texts have no terms."""
-    t, keep = F.col("text"), [*keys, "_conf"]
+    extraction_confidence.  Null texts have no terms.  With ``units`` only terms of these units
+    come, positions being those among them; nothing else is scanned for."""
+    t, keep, families = F.col("text"), [*keys, "_conf"], _needed(units)
     rows = clauses.filter("text IS NOT NULL").select(*keys, "text", (confidence if confidence is not None else F.lit(1.0)).alias("_conf"))
     # scans, then places of what was found
-    scans = [(f"{family}_{k}", ANY_CASE + p, family) for family, patterns in SCANS.items() for k, p in enumerate(patterns)]
-    digits = t.rlike("[0-9]")
-    found = {name: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for name, p, _ in scans}
-    rows = once(rows, [*keep, "text"], **{n: c if n == "open_phrase_0" else F.when(digits, c).otherwise(F.array().cast("array<string>")) for n, c in found.items()})
-    rows = once(rows, [*keep, "text"], **{family: F.concat(*(match_spans(t, p, F.col(n)) for n, p, f in scans if f == family)).cast(_SPAN) for family in SCANS})
-
-    def free(spans: str, *masks: str) -> Column:
-        return F.filter(spans, lambda m: ~reduce(lambda a, b: a | b, (overlaps(m, F.col(mask)) for mask in masks)))
-
-    spans = [*keep, "text", *SCANS]
-    rows = once(rows, spans, lone=free("month_alone", "date"))
-    rows = once(rows, [*spans, "lone"], dates=F.concat("date", "lone"))
-    rows = once(rows, [*spans, "lone", "dates"], times=free("time_range", "dates"))
-    rows = once(rows, [*spans, "lone", "dates", "times"], ranges=F.concat("money_range", "percent_range", "times"))
-
-    def by_unit(spans: Column, make, family: str) -> Column:
-        return make(F.filter(spans, lambda m: is_months(m) if family == "months" else ~is_months(m)))
-
-    def dated(m):
-        v = date_value(m["value"])
-        return term(m, feature(t, m, "date"), UNITS["date"], v, v.isNull(), F.when(v.isNull(), BAD_DATE).otherwise(SURE))
-
-    single = free("time", "ranges", "dates")
-    terms = [
-        F.transform("date", dated).cast(_TERM),
-        open_terms(t, F.col("lone"), "date"),
-        open_terms(t, F.col("money_range"), "money"),
-        open_terms(t, F.col("percent_range"), "percent"),
-        *(by_unit(F.col("times"), lambda s, f=f: open_terms(t, s, f), f) for f in ("days", "months")),
-        valued_terms(t, free("money", "ranges"), "money", money_value),
-        valued_terms(t, free("percent", "ranges"), "percent", percent_value),
-        by_unit(single, lambda s: valued_terms(t, s, "days", number), "days"),
-        by_unit(single, lambda s: valued_terms(t, s, "months", months_value), "months"),
-    ]
-    rows = once(rows, [*keep, "open_phrase"], terms=F.concat(*terms))
-    none = F.lit(None).cast("decimal(38,6)")
-    phrases = F.transform(free("open_phrase", "terms"), lambda m: term(m, F.lit("OPEN_ENDED_NUMERIC_TERMS"), UNITS["date"], none, F.lit(True), F.lit(PHRASE))).cast(_TERM)
-    rows = rows.select(*keep, F.posexplode(F.array_sort(F.concat("terms", phrases))).alias("position", "x"))
-    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") * F.col("x.scale")))
-    return rows.select(*keys, "position", "x.start", "x.end", "x.feature_id", "x.value_raw", "x.unit", "x.value_norm", "x.is_open_ended", F.round(sure, 6).alias("extraction_confidence"))
+    scans = [(f"{family}_{k}", ANY_CASE + p, family) for family in families for k, p in enumerate(SCANS[family])]
+    none, no_span = F.array().cast("array<string>"), F.array().cast(_SPAN)
+    asks = once(rows, [*keep, "text"], digits=t.rlike("[0-9]"))
+    asks = once(asks, [*keep, "text"], **{f"has_{f}": F.col("digits") & t.rlike(ANY_CASE + HINTS[f]) if f in HINTS else (F.lit(True) if f == "open_phrase" else F.col("digits")) for f in families})
+    rows = once(asks, [*keep, "text"], **{n: F.when(F.col(f"has_{f}"), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for n, p, f in scans})
+    placed = {f: F.concat(*(F.when(F.size(n) > 0, match_spans(t, p, F.col(n))).otherwise(no_span) for n, p, g in scans if g == f)) for f in families}
+    rows = once(rows, [*keep, "text"], **placed)
+
+    def free(family: str) -> Column:
+        masks = [m for m in MASKS[family] if m in families]
+        return F.filter(family, lambda m: ~reduce(lambda a, b: a | b, (overlaps(m, F.col(x)) for x in masks))) if masks else F.col(family)
+
+    # masks are masked themselves before they mask others
+    for step in (("month_alone",), ("time_range",), ("money", "percent", "time")):
+        if some := [f for f in step if f in families]:
+            rows = once(rows, [*keep, "text", *(f for f in families if f not in some)], **{f: free(f) for f in some})
+
+    def matches(spans, family, source):
+        return F.transform(
+            spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(source).alias("source"), family(m).alias("family"), m["value"].alias("value"), near(t, m, NEAR_FEATURE).alias("words"), near(t, m, NEAR_OPEN).alias("close"))
+        )
+
+    months = lambda m: F.when(is_months(m), "months").otherwise("days")
+    kinds = {"date": "date", "month_alone": "date", "money_range": "money", "money": "money", "percent_range": "percent", "percent": "percent"}
+    valued = [f for f in families if f != "open_phrase"]
+    found = [matches(F.col(f), (lambda m, f=f: F.lit(kinds[f])) if f in kinds else months, f) for f in valued]
+    if "open_phrase" in families:
+        found.append(matches(F.filter("open_phrase", lambda m: ~reduce(lambda a, b: a | b, (overlaps(m, F.col(x)) for x in valued))), lambda m: F.lit("phrase"), "open_phrase"))
+    rows = once(rows, keep, found=F.array_sort(F.filter(F.concat(*found), lambda m: m["family"].isin(*(f for f, u in (*UNITS.items(), ("phrase", UNITS["date"])) if u in units)))))
+    rows = rows.select(*keep, F.posexplode("found").alias("position", "m")).select(*keep, "position", "m.*")
+
+    # a row for each match
+    v, family, source = F.col("value"), F.col("family"), F.col("source")
+    given = ~source.isin("month_alone", "money_range", "percent_range", "time_range", "open_phrase")
+    values = {"money": money_value, "percent": percent_value, "days": number, "months": months_value, "date": date_value}
+    kept = [f for f, u in UNITS.items() if u in units]
+    value = reduce(lambda acc, f: acc.when(given & (family == f), values[f](v).cast("decimal(38,6)")), kept[1:], F.when(given & (family == kept[0]), values[kept[0]](v).cast("decimal(38,6)")))
+    rows = once(rows, [*keep, "position", "start", "end", "source", "family", "value", "words", "close"], norm=value)
+    norm = F.col("norm")
+    vague = norm.isNull() | ((family != "date") & F.col("close").rlike(ANY_CASE + OPEN_ENDED)) | ((family == "percent") & ~norm.between(0, 1))
+    named = feature(F.col("words"), family, kept)
+    rows = once(rows, [*keep, "position", "start", "end", "source", "family", "value", "norm"], feature_id=F.coalesce(named, F.lit("OPEN_ENDED_NUMERIC_TERMS")), vague=F.coalesce(vague, F.lit(True)))
+    vague = F.col("vague")
+    scale = F.when(source == "open_phrase", PHRASE).when((source == "date") & vague, BAD_DATE).when(vague, UNSURE).otherwise(SURE)
+    unit = reduce(lambda acc, kv: acc.when(family == kv[0], kv[1]), list(UNITS.items())[1:], F.when(family == "money", UNITS["money"])).otherwise(UNITS["date"])
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_conf") * scale))
+    return rows.select(
+        *keys, "position", "start", "end", "feature_id", F.trim("value").alias("value_raw"), unit.alias("unit"), F.when(~vague, norm).alias("value_norm"), vague.alias("is_open_ended"), F.round(sure, 6).alias("extraction_confidence")
+    )
 
 
 def exact_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:

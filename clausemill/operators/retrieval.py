@@ -1,35 +1,42 @@
 """BM25 retrieval over a term-keyed postings table, with authority gates and conflict groups.
 
-Query terms meet postings by an equi join; a chunk without any query term is never touched.
-Collection statistics are those of the whole corpus, filters apply to candidates alone.
+An index is a folder of postings, terms and a row that says what it is: version, kind, digest of
+the corpus, counts.  It is written aside and swapped in; one that is missing, of another version, of
+another corpus or damaged is built anew.  Query terms meet postings by an equi join; a chunk
+without any query term is never touched.  Collection statistics are those of the whole corpus,
+filters apply to candidates alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import BM25_B, BM25_K1
 from ..functions.text import once, tier_order, tokens
+from ..sources.saved import swapped_in
+
+
+INDEX_VERSION, INDEX_TYPE = 1, "bm25"
+_META = "schema_version int, index_type string, digest string, n_docs long, avg_length double, n_postings long, n_terms long"
+
+
+class IndexMismatch(ValueError):
+    """A saved index that can't serve: another version, kind or corpus, or files that lack."""
 
 
 @dataclass
 class Index:
-    """postings (chunk_id, term, tf, length), terms (term, df, idf) and the averages."""
+    """postings (chunk_id, term, tf, length), terms (term, df, idf), the number of chunks and their mean length."""
 
     postings: DataFrame
     terms: DataFrame
-    averages: DataFrame
-
-    def save(self, path: str) -> None:
-        for name in ("postings", "terms", "averages"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-
-    @staticmethod
-    def load(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "averages")))
+    n_docs: int
+    avg_length: float
 
 
 def term_counts(texts: DataFrame, key: str) -> DataFrame:
@@ -40,15 +47,60 @@ def term_counts(texts: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Of (chunk_id, text).  Chunks without a token count in the averages."""
-    sized = chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("length"))
-    averages = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    postings = term_counts(chunks, "chunk_id")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.join(F.broadcast(averages), how="cross").select("term", "df", idf.alias("idf"))  # one row of averages
-    return Index(postings, terms, averages)
+def corpus_digest(chunks: DataFrame) -> tuple[int, str]:
+    """The number of chunks (chunk_id, text), and a digest of them in any order, by one pass."""
+    h = F.xxhash64("chunk_id", "text")
+    r = chunks.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("text", "chunk_id")).alias("x")).first()
+    return r.n, f"{r.n}:{r.s or 0}:{r.x or 0}"
+
+
+def save_index(chunks: DataFrame, path: str, digest: tuple[int, str] | None = None) -> None:
+    """Builds the index of (chunk_id, text) and swaps it in at ``path``.  Texts are tokenized once:
+    terms and averages come from the postings that were written.  Chunks without a token count in
+    the averages."""
+    spark = chunks.sparkSession
+    n_docs, name = digest or corpus_digest(chunks)
+
+    def write(folder: str) -> None:
+        term_counts(chunks, "chunk_id").write.parquet(f"{folder}/postings")
+        postings = spark.read.parquet(f"{folder}/postings")
+        df = F.count("*")
+        idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        postings.groupBy("term").agg(df.alias("df")).select("term", "df", idf.alias("idf")).write.parquet(f"{folder}/terms")
+        total = postings.agg(F.sum("tf").alias("tokens"), F.count("*").alias("n")).first()
+        n_terms = spark.read.parquet(f"{folder}/terms").count()
+        row = (INDEX_VERSION, INDEX_TYPE, name, n_docs, (total.tokens or 0) / n_docs if n_docs else 0.0, total.n, n_terms)
+        spark.createDataFrame([row], _META).coalesce(1).write.parquet(f"{folder}/meta")
+
+    swapped_in(spark, path, write)
+
+
+def load_index(spark, path: str, digest: str | None = None) -> Index:
+    """The index at ``path``; IndexMismatch if it isn't of this version and kind, not of the corpus
+    with this digest, or hasn't the rows that it had when it was written."""
+    try:
+        (meta,) = spark.read.schema(_META).parquet(f"{path}/meta").collect()
+        postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+        counts = (postings.count(), terms.count())  # from the files' footers
+    except (PySparkException, Py4JJavaError, ValueError) as error:
+        raise IndexMismatch(f"{path} can't be read") from error
+    if (meta.schema_version, meta.index_type) != (INDEX_VERSION, INDEX_TYPE):
+        raise IndexMismatch(f"{path} is {meta.index_type} of version {meta.schema_version}")
+    if digest is not None and meta.digest != digest:
+        raise IndexMismatch(f"{path} is of another corpus")
+    if counts != (meta.n_postings, meta.n_terms):
+        raise IndexMismatch(f"{path} lacks rows")
+    return Index(postings, terms, meta.n_docs, meta.avg_length)
+
+
+def load_or_build(chunks: DataFrame, path: str) -> Index:
+    """The saved index of (chunk_id, text) at ``path``, built anew if it can't serve."""
+    spark, digest = chunks.sparkSession, corpus_digest(chunks)
+    try:
+        return load_index(spark, path, digest[1])
+    except IndexMismatch:
+        save_index(chunks, path, digest)
+        return load_index(spark, path, digest[1])
 
 
 def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
@@ -63,10 +115,12 @@ def _weighted(hits: DataFrame, k1: float, b: float, digits: int) -> DataFrame:
 
 def bm25(index: Index, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, score, matched): all chunks that share a term with the query of
-    (query_id, text).  A repeated query term weighs by its count."""
+    (query_id, text).  A repeated query term weighs by its count.  Postings of terms that are asked
+    for are dealt by chunk, and sums are made where they lie."""
     asked = term_counts(queries, "query_id").select("query_id", "term", F.col("tf").alias("qtf"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(F.broadcast(index.averages), how="cross")  # one row of averages
-    return _weighted(hits, k1, b, digits)
+    weights = small(asked.join(index.terms.select("term", "idf"), "term"))
+    rows = index.postings.join(small(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    return _weighted(rows.join(weights, "term").withColumn("avg_length", F.lit(index.avg_length)), k1, b, digits)
 
 
 def search(chunks: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, digits: int = 9) -> DataFrame:

@@ -60,25 +60,12 @@ def boundary_scores(gold: DataFrame, predicted: DataFrame, doc: str = "doc_id")
     return out.select("gold", "predicted", "hit", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def near_matches(gold: Column, predicted: Column, tolerance: int) -> Column:
-    """Number of 1:1 matches of sorted positions: each gold position takes the nearest free
-    prediction within the tolerance (the earlier of two)."""
-    start = F.struct(F.array_sort(F.array_distinct(predicted)).alias("free"), F.lit(0).alias("n"))
-
-    def step(acc, g):
-        near = F.array_min(F.transform(F.filter(acc["free"], lambda p: F.abs(p - g) <= tolerance), lambda p: F.struct(F.abs(p - g).alias("d"), p.alias("p"))))
-        free = F.when(near.isNotNull(), F.filter(acc["free"], lambda p: p != near["p"])).otherwise(acc["free"])
-        return F.struct(free.alias("free"), (acc["n"] + near.isNotNull().cast("int")).alias("n"))
-
-    return F.aggregate(F.array_sort(F.array_distinct(gold)), start, step)["n"]
-
-
 def line_clusters(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (text, x, y, h, confidence) of a page to lines: sorted by vertical centre and x, a
     span joins the nearest line within max(8, 0.65 * smaller height); a line's centre and height
     are means of its members.  A page's spans are one array; pages are bounded."""
     kind = "array<struct<centre:double,height:double,n:int,members:array<struct<x:int,text:string,confidence:double>>>>"
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("y") + F.col("h") / 2.0).alias("c"), "x", F.col("h").cast("double").alias("h"), "text", F.col("confidence").cast("double").alias("confidence"))))
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("y") + F.col("h") / 2.0).alias("c"), "x", F.greatest(F.col("h").cast("double"), F.lit(1.0)).alias("h"), "text", F.col("confidence").cast("double").alias("confidence"))))
 
     def step(lines, s):
         member = F.array(F.struct(s["x"].cast("int").alias("x"), s["text"].alias("text"), s["confidence"].alias("confidence")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..dims import KOREAN
 from ..functions import text as tx
 from ..operators import retrieval as rt
 from ..sources.readers import read_table
+from ..sources.saved import shared_folder
 from .registry import query
 
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[가-힣]+')"
@@ -25,10 +29,15 @@ c AS (SELECT doc_id AS chunk_id, lang, source, {_TIER} AS tier, CASE WHEN doc_id
 """
 
 
+def index_of(spark, sf):
+    """The saved index of all documents, below the shared folder."""
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return rt.load_or_build(docs, f"{shared_folder(spark)}/indexes/{hashlib.sha256(sf.encode()).hexdigest()[:16]}")
+
+
 def scored(spark, sf):
     """BM25 of each benchmark item against all documents."""
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return rt.search(docs, read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), digits=6)
+    return rt.bm25(index_of(spark, sf), read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), digits=6)
 
 
 def chunk_table(spark, sf):
@@ -54,8 +63,7 @@ def bm25_filtered_topk(spark, sf):
 
 @query(f"WITH {INDEX_SQL} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM t CROSS JOIN n")
 def doc_frequency(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return rt.build_index(docs).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS avg_length, max(n) AS longest FROM (SELECT lang, len({TOKENS}) AS n FROM documents) GROUP BY lang")
@@ -64,18 +72,22 @@ def token_length_stats(spark, sf):
     return read_table(spark, sf, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 6).alias("avg_length"), F.max("n").cast("long").alias("longest"))
 
 
-_KO = [(1, "정산 내역을 열람"), (2, "가"), (3, "MG 선급금 100만원"), (4, ""), (5, "권리 반환 clause 2차")]
+_KO = "[" + ", ".join(f"'{p}'" for p in KOREAN) + "]"
 
 
-@query("""
-WITH t(id, text) AS (VALUES (1, '정산 내역을 열람'), (2, '가'), (3, 'MG 선급금 100만원'), (4, ''), (5, '권리 반환 clause 2차')),
+@query(f"""
+WITH t AS (SELECT o_orderkey AS id, {_KO}[1 + o_orderkey % {len(KOREAN)}] || ' ' || o_orderpriority || ' ' || {_KO}[1 + o_custkey % {len(KOREAN)}] AS text FROM orders),
 w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+')) AS x FROM t),
 g AS (SELECT id, x AS token FROM w UNION ALL
       SELECT id, substr(x, i, n) FROM (SELECT id, x, n, unnest(generate_series(1, length(x) - n + 1)) AS i FROM w, (VALUES (2), (3)) v(n) WHERE regexp_matches(x, '^[가-힣]') AND length(x) >= n))
 SELECT id, token, count(*) AS tf FROM g GROUP BY ALL
 """)
 def hangul_ngram_tokens(spark, sf):
-    return spark.createDataFrame(_KO, "id int, text string").select("id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    """Of a mixed text for each order."""
+    pick = lambda k: F.element_at(F.array(*map(F.lit, KOREAN)), (F.col(k) % len(KOREAN) + 1).cast("int"))
+    text = F.concat_ws(" ", pick("o_orderkey"), "o_orderpriority", pick("o_custkey"))
+    rows = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(tx.tokens(text)).alias("token"))
+    return rows.groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 @query(f"""

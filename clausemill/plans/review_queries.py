@@ -12,8 +12,10 @@ from ..dims import HEADS, PHRASES, RULES, SHORT
 from ..functions import text as tx
 from ..operators import extract as ex
 from ..operators import highlights as hl
+from ..operators import matching as mt
 from ..operators import scoring as sc
 from ..operators import segment as sg
+from ..operators import selection as sl
 from ..operators import signals as sn
 from ..sources.readers import read_table
 from .registry import query
@@ -308,18 +310,61 @@ def boundary_f1(spark, sf):
     return sg.boundary_scores(gold, predicted)
 
 
-_SPANS = [(1, "Fee", 10, 10, 18, 0.9), (1, "due", 60, 12, 18, 0.8), (1, "1. Term", 10, 40, 18, 1.0), (1, "five years", 90, 44, 16, 0.7), (1, " ", 5, 44, 16, 0.7), (2, "End", 10, 10, 20, 0.6)]
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Fee due', 0.85::DOUBLE), (1, 1, '1. Term five years', 0.85::DOUBLE), (2, 0, 'End', 0.6::DOUBLE)) t(page, line, text, confidence)")
+@query("""
+WITH RECURSIVE s AS (SELECT l_orderkey AS page, CAST(5 + 7 * l_linenumber AS INTEGER) AS x, min(l_returnflag) || l_linenumber AS t, 3.0::DOUBLE * max(l_quantity) + (8 + max(l_partkey % 10)) / 2.0::DOUBLE AS c, CAST(8 + max(l_partkey % 10) AS DOUBLE) AS h, 1 - min(l_discount) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber),
+o AS (SELECT page, list(struct_pack(c := c, x := x, h := h) ORDER BY c, x) AS l FROM s GROUP BY page),
+r(page, l, i, cs, hs, ns, who) AS (
+  SELECT page, l, 0, CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[]), CAST([] AS INTEGER[]), CAST([] AS INTEGER[]) FROM o UNION ALL
+  SELECT page, l, i + 1, CASE WHEN k IS NULL THEN list_append(cs, v.c) ELSE list_transform(cs, lambda y, j: CASE WHEN j = k THEN (y * ns[k] + v.c) / (ns[k] + 1) ELSE y END) END,
+    CASE WHEN k IS NULL THEN list_append(hs, v.h) ELSE list_transform(hs, lambda y, j: CASE WHEN j = k THEN (y * ns[k] + v.h) / (ns[k] + 1) ELSE y END) END,
+    CASE WHEN k IS NULL THEN list_append(ns, 1) ELSE list_transform(ns, lambda y, j: CASE WHEN j = k THEN y + 1 ELSE y END) END, list_append(who, CAST(coalesce(k, len(cs) + 1) AS INTEGER))
+  FROM (SELECT *, l[i + 1] AS v, list_sort(list_filter(list_transform(cs, lambda y, j: CASE WHEN abs(y - l[i + 1].c) <= greatest(8.0, 0.65 * least(l[i + 1].h, hs[j])) THEN struct_pack(d := abs(y - l[i + 1].c), j := j) END), lambda z: z IS NOT NULL))[1].j AS k FROM r WHERE i < len(l))),
+e AS (SELECT page, cs, hs, l[q].x AS x, who[q] AS g FROM (SELECT *, unnest(generate_series(1, len(l))) AS q FROM r WHERE i = len(l))),
+m AS (SELECT page, g, any_value(cs[g]) AS c, any_value(hs[g]) AS h, string_agg(t, ' ' ORDER BY x) AS text, round(avg(f), 6) AS confidence FROM e JOIN s USING (page, x) GROUP BY page, g)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY c, h, g) - 1 AS INTEGER) AS line, text, confidence FROM m
+""")
 def ocr_line_clustering(spark, sf):
-    return sg.line_clusters(spark.createDataFrame(_SPANS, "page int, text string, x int, y int, h int, confidence double"), ["page"])
+    """An order is a page, its lines are spans; quantities are heights on the page."""
+    lines = read_table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("t"), F.max("l_quantity").alias("q"), F.max(F.col("l_partkey") % 10).alias("p"), F.min("l_discount").alias("d"))
+    spans = lines.select(
+        F.col("l_orderkey").alias("page"), F.concat("t", F.col("l_linenumber").cast("string")).alias("text"), (5 + 7 * F.col("l_linenumber")).alias("x"),
+        (3 * F.col("q")).alias("y"), (8 + F.col("p")).alias("h"), (1 - F.col("d")).alias("confidence"),
+    )
+    return sg.line_clusters(spans, ["page"])
 
 
-@query("SELECT g.k, CAST(CASE g.k WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS matched FROM (VALUES (1), (2), (3)) g(k)")
+@query(f"""
+WITH RECURSIVE {LINES_SQL}, g AS (SELECT doc_id, list(line ORDER BY line) AS g FROM ln WHERE line % 5 = 2 GROUP BY doc_id), p AS (SELECT doc_id, list(pos ORDER BY pos) AS p FROM (SELECT doc_id, min(line) AS pos FROM cz WHERE clause > 0 GROUP BY doc_id, clause) GROUP BY doc_id),
+b AS (SELECT doc_id, coalesce(g, CAST([] AS BIGINT[])) AS g, coalesce(p, CAST([] AS BIGINT[])) AS p FROM g FULL JOIN p USING (doc_id)),
+r(doc_id, i, g, free, n) AS (SELECT doc_id, 0, g, p, 0 FROM b UNION ALL
+  SELECT doc_id, i + 1, g, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda x: x <> best) END, n + CASE WHEN best IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT *, list_sort(list_transform(list_filter(free, lambda x: abs(x - g[i + 1]) <= 2), lambda x: struct_pack(d := abs(x - g[i + 1]), p := x)))[1].p AS best FROM r WHERE i < len(g))),
+c AS (SELECT doc_id, len(b.g) AS gold, len(p) AS predicted, n AS matched FROM b JOIN r USING (doc_id) WHERE i = len(r.g))
+SELECT doc_id, gold, predicted, CAST(matched AS BIGINT) AS matched, round(CASE WHEN predicted > 0 THEN matched / predicted ELSE 0 END, 6) AS precision, round(CASE WHEN gold > 0 THEN matched / gold ELSE 0 END, 6) AS recall, round(CASE WHEN matched > 0 THEN 2 * matched / (gold + predicted) ELSE 0 END, 6) AS f1 FROM c
+""")
 def boundary_tolerance_matches(spark, sf):
-    rows = [(1, [10, 20, 40], [11, 19, 30]), (2, [5], [9]), (3, [10, 11], [10, 20])]
-    return spark.createDataFrame(rows, "k int, g array<int>, p array<int>").select("k", sg.near_matches(F.col("g"), F.col("p"), 2).alias("matched"))
+    """Starts of clauses against every fifth line of a document, up to two lines off."""
+    lines = marked_lines(spark, sf)
+    predicted = sg.clauses(lines).filter("clause > 0").select("doc_id", F.col("first_line").alias("position"))
+    return mt.boundary_report(lines.filter("line % 5 = 2").select("doc_id", F.col("line").alias("position")), predicted, "doc_id", 2)
+
+
+#: Lists of checkpoints by category; neighbours share most of theirs.
+_TOPICS = {f"F{c}": [f"K{c + j}" for j in range(6)] + ["common"] for c in range(1, 10)}
+
+
+@query(f"""
+WITH RECURSIVE {CLAUSES_SQL}, tp(category, keys) AS (VALUES {', '.join(f"({_q(c)}, {[k.casefold() for k in ks]})" for c, ks in _TOPICS.items())}),
+f AS (SELECT doc, clause, rule, s.category, keys, row_number() OVER (PARTITION BY doc ORDER BY clause, rule) AS i FROM sig s JOIN tp ON tp.category = s.category),
+r(doc, i, clause, rule, category, pick, seen) AS (
+  SELECT doc, i, clause, rule, category, keys[1:3], keys[1:3] FROM f WHERE i = 1 UNION ALL
+  SELECT doc, i, clause, rule, category, pick, list_concat(seen, pick) FROM (SELECT r.doc, f.i, f.clause, f.rule, f.category, r.seen, list_filter(f.keys, lambda k: NOT list_contains(r.seen, k))[1:3] AS pick FROM r JOIN f ON f.doc = r.doc AND f.i = r.i + 1))
+SELECT doc, clause, rule, category, array_to_string(pick, '+') AS keys FROM r WHERE len(pick) > 0
+""")
+def shared_checkpoints(spark, sf):
+    """Checkpoints of a document's findings in turn, none twice, from lists that overlap."""
+    findings = sn.rule_signals(clauses(spark, sf), ["doc", "clause"]).select("doc", "clause", "rule", "category")
+    return sl.curated_checkpoints(findings, _TOPICS, "doc", ["clause", "rule"]).withColumn("keys", F.array_join("keys", "+"))
 
 
 # --- extraction ----------------------------------------------------------------------------
@@ -335,7 +380,7 @@ def sentences(spark, sf):
 
 
 def _terms(spark, sf, unit):
-    t = ex.extract_terms(sentences(spark, sf), ["order_key"]).filter(F.col("unit") == unit)
+    t = ex.extract_terms(sentences(spark, sf), ["order_key"], units=(unit,))
     return t.select("order_key", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
 
 
@@ -369,13 +414,17 @@ def extract_months(spark, sf):
 _OPEN = [(1, "A fee of 100~200만원 applies."), (2, "approximately 30% of sales"), (3, "150% share"), (4, "additional processing fees apply"), (5, "2026년 13월 40일 계약"), (6, "2026년 7월 말 지급"), (7, "KRW 5,000원"), (8, "3 million won advance"), (9, "3-5 months renewal")]
 
 
-@query("""
-SELECT * FROM (VALUES (1, 0, 'GROSS_SALES', NULL::DOUBLE, true, 0.85::DOUBLE), (2, 0, 'REVENUE_SHARE_RATE', NULL, true, 0.85), (3, 0, 'REVENUE_SHARE_RATE', NULL, true, 0.85), (4, 0, 'OPEN_ENDED_NUMERIC_TERMS', NULL, true, 0.75), (5, 0, 'CONTRACT_DATE', NULL, true, 0.95),
-  (6, 0, 'PAYMENT_DUE_DATE', NULL, true, 0.85), (7, 0, 'GROSS_SALES', 5000, false, 1.0), (7, 1, 'GROSS_SALES', 5000, false, 1.0), (8, 0, 'ADVANCE_AMOUNT', 3000000, false, 1.0), (9, 0, 'RENEWAL_DURATION_MONTHS', NULL, true, 0.85)) t(id, position, feature_id, value, is_open_ended, extraction_confidence)
+@query(f"""
+WITH t(id, position, feature_id, value, is_open_ended, extraction_confidence) AS (VALUES (1, 0, 'GROSS_SALES', NULL::DOUBLE, true, 0.85::DOUBLE), (2, 0, 'REVENUE_SHARE_RATE', NULL, true, 0.85), (3, 0, 'REVENUE_SHARE_RATE', NULL, true, 0.85), (4, 0, 'OPEN_ENDED_NUMERIC_TERMS', NULL, true, 0.75), (5, 0, 'CONTRACT_DATE', NULL, true, 0.95),
+  (6, 0, 'PAYMENT_DUE_DATE', NULL, true, 0.85), (7, 0, 'GROSS_SALES', 5000, false, 1.0), (7, 1, 'GROSS_SALES', 5000, false, 1.0), (8, 0, 'ADVANCE_AMOUNT', 3000000, false, 1.0), (9, 0, 'RENEWAL_DURATION_MONTHS', NULL, true, 0.85))
+SELECT o_orderkey AS order_key, position, feature_id, value, is_open_ended, extraction_confidence FROM orders JOIN t ON id = 1 + o_orderkey % {len(_OPEN)}
 """)
 def extract_open_ended(spark, sf):
-    t = ex.extract_terms(spark.createDataFrame(_OPEN, "id int, text string"), ["id"])
-    return t.select("id", "position", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
+    """One of some open-ended forms for each order."""
+    k = F.col("o_orderkey")
+    text = F.element_at(F.array(*(F.lit(x) for _, x in _OPEN)), (k % len(_OPEN) + 1).cast("int"))
+    t = ex.extract_terms(read_table(spark, sf, "orders").select(k.alias("order_key"), text.alias("text")), ["order_key"])
+    return t.select("order_key", "position", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
 
 
 #: Forms of terms: text before and after a number v, feature, value as SQL of v, open-ended, confidence.
@@ -414,9 +463,31 @@ def extract_forms(spark, sf):
     return t.select("order_key", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended", "extraction_confidence")
 
 
-@query("SELECT doc_id, CAST(length(coalesce(text, '')) + 64 AS INTEGER) AS start, 'REVENUE_SHARE_RATE' AS feature_id, (5 + doc_id % 90) / 100 AS value, false AS is_open_ended FROM documents")
+def _percent_sql() -> str:
+    """Percent terms of the texts of ``tx`` (doc_id, text): matches with offsets, ranges, features by
+    the words near, open ends."""
+    plain = lambda p: _q("(?i)" + p.replace(r"(?<![가-힣])약", "(?:^|[^가-힣])약"))  # noqa: E731  RE2 has no lookbehind
+    families = [(f, p) for f in ("money_range", "percent_range", "time_range", "percent") for p in ex.SCANS[f]]
+    rules = " ".join(f"WHEN regexp_matches(words, {plain(p)}) THEN {_q(name)}" for p, name in ex.RULES["percent"])
+    return f"""
+pt(family, p) AS (VALUES {", ".join(f"({_q(f)}, {plain(p)})" for f, p in families)}),
+xm AS (SELECT doc_id, text, family, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM tx, pt WHERE regexp_matches(text, p)),
+xi AS (SELECT doc_id, text, family, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM xm)),
+xr AS (SELECT doc_id, s, s + length(v) AS e FROM xi WHERE family <> 'percent'),
+xf AS (SELECT * FROM xi WHERE family = 'percent_range' OR family = 'percent' AND NOT EXISTS (SELECT 1 FROM xr WHERE xr.doc_id = xi.doc_id AND xi.s < xr.e AND xi.s + length(xi.v) > xr.s)),
+xw AS (SELECT doc_id, s, family, substr(text, greatest(0, s - {ex.NEAR_FEATURE}) + 1, s + length(v) + {ex.NEAR_FEATURE} - greatest(0, s - {ex.NEAR_FEATURE})) AS words, substr(text, greatest(0, s - {ex.NEAR_OPEN}) + 1, s + length(v) + {ex.NEAR_OPEN} - greatest(0, s - {ex.NEAR_OPEN})) AS close,
+  CAST(replace(regexp_extract(v, {_q(ex.NUMBER)}), ',', '') AS DOUBLE) / 100 AS value FROM xf),
+xo AS (SELECT doc_id, s, CASE {rules} ELSE {_q(ex.DEFAULTS["percent"])} END AS feature_id, value, family = 'percent_range' OR value NOT BETWEEN 0 AND 1 OR regexp_matches(close, {plain(ex.OPEN_ENDED)}) AS is_open_ended FROM xw)
+"""
+
+
+@query(f"""
+WITH tx AS (SELECT doc_id, coalesce(text, '') || chr(10) || repeat('=', 48) || ' Revenue share ' || (5 + doc_id % 90) || '%' AS text FROM documents), {_percent_sql()}
+SELECT doc_id, CAST(s AS INTEGER) AS start, feature_id, CASE WHEN NOT is_open_ended THEN value END AS value, is_open_ended FROM xo
+""")
 def extract_document_terms(spark, sf):
-    """Terms of all whole documents, each with one appended behind a rule."""
+    """Terms of all whole documents, each with one appended behind a rule.  The SQL finds percent
+    terms; money, dates and durations don't occur in these texts, and it has no such terms."""
     rate = F.concat(F.lit("\n" + "=" * 48 + " Revenue share "), (5 + F.col("doc_id") % 90).cast("string"), F.lit("%"))
     docs = read_table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), rate).alias("text"))
     return ex.extract_terms(docs, ["doc_id"]).select("doc_id", "start", "feature_id", F.col("value_norm").cast("double").alias("value"), "is_open_ended")
