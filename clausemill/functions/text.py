@@ -195,3 +195,30 @@ def mask_personal(text: Column) -> Column:
 def source_year(*values: Column) -> Column:
     """The first year 19xx or 20xx in the values, in their order."""
     return F.coalesce(*(F.regexp_extract(v, r"((?:19|20)[0-9]{2})", 1).try_cast("int") for v in values))
+
+
+#: Openers that models put before an answer, and how often they are looked for.
+PREAMBLES = (
+    r"^\s*창작자님[\s,，.]*",
+    r"^\s*(?:창작자님?의?\s*)?질문에\s*대(?:한|해)\s*답(?:변|하)[^\n]*?다음과\s*같습니다\s*[:：.]*\s*",
+    r"^\s*답변은\s*다음과\s*같습니다\s*[:：.]*\s*",
+    r"^\s*(?:아래|다음)(?:와|과)?\s*같(?:이|습니다)\s*[:：.]*\s*",
+    r"^\s*답변\s*[:：]\s*",
+    r"^\s*[^.!?\n]{0,40}?에\s*대해\s*(?:물어보세요|문의하세요|여쭤보세요)[.!]?\s*",
+    r"(?i)^\s*(?:Here(?:'s| is)|The answer(?: to your question)? is)[^:.\n]*[:.]\s*",
+)
+PASSES = 4
+
+
+def without_preamble(text: Column) -> Column:
+    """The text without openers, each pass taking one of each kind from its start; trimmed.  A pass
+    that changes nothing is followed by such alone, so the passes are a fixpoint with a bound.  A
+    text of nothing but openers stays, trimmed; null is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    out = F.regexp_replace(whole, r"(?U)^\s+", "")
+    for _ in range(PASSES):
+        out = reduce(lambda t, p: F.regexp_replace(F.regexp_replace(t, "(?U)" + p, ""), r"(?U)^\s+", ""), PREAMBLES, out)
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # most texts have no opener, and need none of the passes
+    opened = reduce(lambda a, b: a | b, (whole.rlike("(?U)" + p) for p in PREAMBLES))
+    return F.when(opened, F.coalesce(F.nullif(trimmed(out), F.lit("")), trimmed(whole))).otherwise(trimmed(whole))

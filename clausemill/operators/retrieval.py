@@ -200,6 +200,25 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks=(3, 5)) -> DataFrame:
     return best.agg(F.count("*").alias("queries"), *(F.round(F.avg(F.coalesce((F.col("best") <= k).cast("int"), F.lit(0))), 6).alias(f"recall_at_{k}") for k in ks))
 
 
+def caveat_coverage(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, canonical_id, hits, caveat_present, label_violation) of scored chunks (query_id, en,
+    canonical_id, chunk_id, score, caveat, translated), the best ``k`` canonical ids of either side.
+
+    The target is the first of the side that isn't English, or else the English one.  A required
+    caveat is covered if the target has hits and none of them lacks it; an English hit that isn't
+    a translation is labelled as if it were evidence.
+    """
+    best = hits.groupBy("query_id", "en", "canonical_id").agg(F.max("score").alias("score"), F.min_by(F.struct("chunk_id", "caveat", "translated"), F.struct(-F.col("score"), "chunk_id")).alias("_c"))
+    w = Window.partitionBy("query_id", "en").orderBy(F.col("score").desc(), "canonical_id")
+    top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    first = lambda en: F.max(F.when((F.col("rank") == 1) & (F.col("en") == en), F.col("canonical_id")))
+    targets = top.groupBy("query_id").agg(F.coalesce(first(False), first(True)).alias("target"))
+    on, lacks = F.col("canonical_id") == F.col("target"), F.coalesce(F.trim("_c.caveat"), F.lit("")) == ""
+    return top.join(targets, "query_id").groupBy("query_id", F.col("target").alias("canonical_id")).agg(
+        F.count_if(on).alias("hits"), ((F.count_if(on) > 0) & (F.count_if(on & lacks) == 0)).alias("caveat_present"), (F.count_if(F.col("en") & ~F.col("_c.translated")) > 0).alias("label_violation")
+    )
+
+
 def holding(chunks: DataFrame, items: DataFrame, words: int = 3) -> DataFrame:
     """(query_id, chunk_id) of chunks (chunk_id, text) whose text holds the whole text of an item
     (query_id, item).  Candidates share the item's second to fourth word, which are whole words

@@ -62,23 +62,27 @@ def nonzero(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(0.0))
 
 
-def best_exposure(exposures: DataFrame, key: str) -> DataFrame:
-    """One exposure of each key and module and type: the largest by (high, base, type); 0
-    counts as missing."""
+def best_exposure(exposures: DataFrame, by: list[str]) -> DataFrame:
+    """(by, e): one exposure of each ``by``, the largest by (high, base, type); 0 counts as missing."""
     order = F.struct(F.coalesce(nonzero("high"), nonzero("base"), F.col("nominal"), F.lit(0.0)).alias("h"), F.coalesce(nonzero("base"), F.col("nominal"), F.lit(0.0)).alias("b"), F.col("exposure_type").alias("t"))
-    picked = F.max_by(F.struct("low", "base", "high", "nominal", "user_input_required", "flags"), order).alias("e")
-    return exposures.groupBy(key, "fim_module", "exposure_type").agg(picked).select(key, "fim_module", "exposure_type", "e.*")
+    picked = F.max_by(F.struct("exposure_type", "low", "base", "high", "nominal", "user_input_required", "flags"), order).alias("e")
+    return exposures.groupBy(*by).agg(picked)
 
 
 def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy: str = "exposure_aware", gate: str = "enforced") -> DataFrame:
     """Ranks a document's signals (key, clause_id, signal_id, category, severity, confidence,
     contribution) by the ladder unbounded, quantified, to verify, qualitative, unverified; amounts
-    are compared inside a type alone.  ``policy``: exposure_aware or severity_baseline; ``gate``:
+    are compared inside a type alone.  A signal's exposure is that of its module and type, or else
+    the largest of its module, if its category has a type at all.  ``policy``: exposure_aware or severity_baseline; ``gate``:
     enforced or bypass."""
     module, kind = literal_map(MODULE_OF)[F.col("category")], literal_map(TYPE_OF)[F.col("category")]
     s = signals.withColumns({"fim_module": module, "expected_type": kind})
-    e = best_exposure(exposures, key).withColumn("has_exposure", F.lit(True))
-    s = s.join(e, [s[key].eqNullSafe(e[key]), s["fim_module"] == e["fim_module"], s["expected_type"] == e["exposure_type"]], "left").drop(e[key], e["fim_module"])
+    exact = best_exposure(exposures, [key, "fim_module", "exposure_type"]).withColumnsRenamed({key: "_k", "fim_module": "_m", "exposure_type": "_t", "e": "_exact"})
+    any_type = best_exposure(exposures, [key, "fim_module"]).withColumnsRenamed({key: "_k2", "fim_module": "_m2", "e": "_any"})
+    s = s.join(exact, F.col(key).eqNullSafe(F.col("_k")) & (F.col("fim_module") == F.col("_m")) & (F.col("expected_type") == F.col("_t")), "left")
+    s = s.join(any_type, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("fim_module") == F.col("_m2")) & F.col("expected_type").isNotNull(), "left")
+    s = s.withColumn("_e", F.coalesce("_exact", "_any")).withColumn("has_exposure", F.when(F.col("_e").isNotNull(), True))
+    s = s.select("*", "_e.*").drop("_k", "_m", "_t", "_exact", "_k2", "_m2", "_any", "_e")
     scored = F.lit(True) if gate == "bypass" else F.col("contribution") > 0
     unbounded = F.exists(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.isin("uncapped", "unbounded") | f.endswith(":uncapped"))
     whole = F.col("low").isNotNull() & F.col("base").isNotNull() & F.col("high").isNotNull()

@@ -284,3 +284,24 @@ def koen_consistency(spark, sf):
     tops = best.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("query_id").pivot("side", [True, False]).agg(F.collect_set("canonical_id")).toDF("query_id", "a", "b")
     tops = tops.filter("size(a) > 0 AND size(b) > 0")
     return tops.select("query_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("agreement"))
+
+
+_OPENERS = ("", "Here is the reply: ", "창작자님, 답변은 다음과 같습니다: ", "The answer to your question is this. Here's more: ", "정산에 대해 물어보세요. ", "  답변: 아래와 같습니다. ")
+
+
+def _peeled_sql(column: str) -> str:
+    for p in tx.PREAMBLES:
+        column = f"ltrim(regexp_replace({column}, '{p.replace(chr(39), chr(39) * 2)}', ''), E' \\t\\n\\r\\x0b\\x0c')"
+    return column
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, {list(_OPENERS[:3])!r}[1 + CAST(turn % 3 AS INTEGER)] || {[x.replace("'", "’") for x in _OPENERS[3:]]!r}[1 + CAST(conv_id % 3 AS INTEGER)] || coalesce(text, '') AS whole FROM conversations),
+r(conv_id, turn, whole, x, i) AS (SELECT conv_id, turn, whole, ltrim(whole, E' \t\n\r\x0b\x0c'), 0 FROM t UNION ALL SELECT conv_id, turn, whole, {_peeled_sql("x")}, i + 1 FROM r WHERE i < 4)
+SELECT conv_id, turn, CASE WHEN trim(x, E' \t\n\r\x0b\x0c') <> '' THEN trim(x, E' \t\n\r\x0b\x0c') ELSE trim(whole, E' \t\n\r\x0b\x0c') END AS text FROM r WHERE i = 4
+""")
+def stripped_preambles(spark, sf):
+    """Turns behind one or two openers."""
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (F.col(k) % 3 + 1).cast("int"))
+    whole = F.concat(pick(_OPENERS[:3], "turn"), pick([x.replace("'", "’") for x in _OPENERS[3:]], "conv_id"), F.coalesce("text", F.lit("")))
+    return read_table(spark, sf, "conversations").select("conv_id", "turn", tx.without_preamble(whole).alias("text"))

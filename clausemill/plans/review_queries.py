@@ -161,7 +161,7 @@ def missing_input_penalty(spark, sf):
 def exposures(spark, sf):
     """(doc, fim_module, exposure_type, low, base, high, nominal, user_input_required, flags) of customers."""
     k, m = F.col("c_custkey"), F.round(F.abs("c_acctbal"), 2)
-    kinds = (("FIM-1", "revenue_leakage", 0), ("FIM-2", "present_value_loss", 1), ("FIM-3", "cashflow_deferral", 2), ("FIM-7", "liability_exposure", 3), ("FIM-5", "opportunity_cost", 4))
+    kinds = (("FIM-1", "revenue_leakage", 0), ("FIM-2", "present_value_loss", 1), ("FIM-3", "cashflow_deferral", 2), ("FIM-7", "liability_exposure", 3), ("FIM-5", "opportunity_cost", 4), ("FIM-4", "present_value_loss", 5), ("FIM-6", "revenue_leakage", 6))
     none = F.lit(None).cast("double")
 
     def one(module, kind, i):
@@ -176,17 +176,17 @@ def exposures(spark, sf):
 
 
 EXPOSURES_SQL = GROUND_SQL + """,
-kd(m, t, i) AS (VALUES ('FIM-1', 'revenue_leakage', 0), ('FIM-2', 'present_value_loss', 1), ('FIM-3', 'cashflow_deferral', 2), ('FIM-7', 'liability_exposure', 3), ('FIM-5', 'opportunity_cost', 4)),
+kd(m, t, i) AS (VALUES ('FIM-1', 'revenue_leakage', 0), ('FIM-2', 'present_value_loss', 1), ('FIM-3', 'cashflow_deferral', 2), ('FIM-7', 'liability_exposure', 3), ('FIM-5', 'opportunity_cost', 4), ('FIM-4', 'present_value_loss', 5), ('FIM-6', 'revenue_leakage', 6)),
 xp AS (SELECT c_custkey AS doc, m, t, (c_custkey + i) % 4 = 0 AS blank, round(abs(c_acctbal), 2) AS v, CASE WHEN (c_custkey + i) % 8 = 0 THEN round(abs(c_acctbal), 2) END AS nominal, c_custkey % 10 = 0 AND t = 'liability_exposure' AS unb FROM customer, kd),
 mp(category, m, t) AS (VALUES ('F1','FIM-1','revenue_leakage'), ('F2','FIM-1','revenue_leakage'), ('F3','FIM-2','present_value_loss'), ('F4','FIM-3','cashflow_deferral'), ('F5','FIM-6','opportunity_cost'), ('F6','FIM-5','opportunity_cost'), ('F7','FIM-7','liability_exposure'), ('F8','FIM-4','revenue_leakage'), ('F9','FIM-8',NULL)),
-f0 AS (SELECT g.*, mp.m, mp.t, x.doc IS NOT NULL AS has, x.blank, x.v, x.nominal, coalesce(x.unb, false) AS unb FROM gr g JOIN mp USING (category) LEFT JOIN xp x ON x.doc = g.doc AND x.m = mp.m AND x.t = mp.t),
+f0 AS (SELECT g.*, mp.m, mp.t, x.doc IS NOT NULL AS has, x.t AS xt, x.blank, x.v, x.nominal, coalesce(x.unb, false) AS unb FROM gr g JOIN mp USING (category) LEFT JOIN xp x ON x.doc = g.doc AND x.m = mp.m AND mp.t IS NOT NULL),
 f1 AS (SELECT *, CASE WHEN t IS NULL THEN 'not_applicable' WHEN NOT has THEN 'input_required' WHEN unb THEN 'unbounded' WHEN NOT blank THEN 'quantified' WHEN nominal IS NOT NULL THEN 'partially_bounded' WHEN blank THEN 'input_required' ELSE 'not_applicable' END AS quantification FROM f0),
 f2 AS (SELECT *, contribution > 0 AS scored, CASE WHEN quantification = 'quantified' THEN CASE WHEN v <> 0 THEN 2 * v ELSE 0.5 * v END WHEN quantification = 'partially_bounded' THEN nominal END AS amount FROM f1)
 """
 
 
 def _rank_sql(scored: str, order: str) -> str:
-    basis = f"""CASE WHEN NOT ({scored}) THEN 'unverified_candidate' WHEN quantification = 'unbounded' THEN 'uncapped_or_unbounded' WHEN has AND t = 'present_value_loss' THEN 'present_value_timing'
+    basis = f"""CASE WHEN NOT ({scored}) THEN 'unverified_candidate' WHEN quantification = 'unbounded' THEN 'uncapped_or_unbounded' WHEN has AND xt = 'present_value_loss' THEN 'present_value_timing'
       WHEN quantification IN ('quantified', 'partially_bounded') THEN 'quantified_exposure' WHEN category IN ('F1', 'F9') THEN 'counterparty_verification' ELSE 'grounded_qualitative_signal' END"""
     keys = {
         "exposure": "list_position(['uncapped_or_unbounded', 'quantified_exposure', 'counterparty_verification', 'grounded_qualitative_signal', 'unverified_candidate'], CASE basis WHEN 'present_value_timing' THEN 'quantified_exposure' ELSE basis END), "
