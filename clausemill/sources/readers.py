@@ -90,6 +90,26 @@ def glossary_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
+def _practice_chunks(rows: DataFrame, chunk, kind: str, *text: str) -> DataFrame:
+    """Practice sources explain; they never score."""
+    ids, cats = split_list(F.col("source_ids")), split_list(F.col("risk_categories"))
+    tier = source_tier(ids)
+    return rows.select(
+        chunk.alias("chunk_id"), F.lit(kind).alias("chunk_type"), F.concat_ws(" ", *text).alias("text"), tier.alias("authority_tier"), ids.alias("source_ids"),
+        cats.alias("risk_categories"), hierarchy(tier, ids, cats, chunk).alias("hierarchy"), F.lit(False).alias("score_eligible"), lenient_bool(F.col("public")).alias("public_export"),
+    )
+
+
+def card_chunks(rows: DataFrame) -> DataFrame:
+    """Knowledge cards (card_id, title, text, ...) to chunks."""
+    return _practice_chunks(rows, F.col("card_id"), "card", "title", "text")
+
+
+def checklist_chunks(rows: DataFrame) -> DataFrame:
+    """Checklist items (item_id, question, answer, ...) to chunks."""
+    return _practice_chunks(rows, F.concat(F.lit("CL-"), "item_id"), "checklist", "question", "answer")
+
+
 def corpus(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
