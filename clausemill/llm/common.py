@@ -87,6 +87,19 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     )
 
 
+def one_a_document(rows: DataFrame, *values: str) -> DataFrame:
+    """Saved training rows (doc_id, label, values), one for each id, so that their number has the
+    bound of ``training_labels`` however often a document is repeated: of different rows the least
+    by a hash of the values.  Rows without repeated ids are returned as they are."""
+    r = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if r.n == r.ids:
+        return rows
+    picked = F.min(F.struct(F.xxhash64(*values).alias("h"), *values)).alias("v")
+    kept = save(rows.groupBy("doc_id", "label").agg(picked).select("doc_id", "label", *(F.col(f"v.{c}").alias(c) for c in values)))
+    drop_saved(rows)
+    return kept
+
+
 def _share_stars(batches):
     """(u, v) of each node u that this share of links connects to a smaller one: v, the smallest."""
     parent: dict[int, int] = {}

@@ -142,6 +142,23 @@ def merge_runs(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _merged_runs(sets):
+    """What ``merge_runs`` does, of a column of flat lists, as a flat list."""
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def pairs(flat):
+        at = F.sequence(F.lit(0), F.greatest(F.size(flat) - 2, F.lit(0)), F.lit(2))
+        return F.when(F.size(flat) > 1, F.transform(at, lambda i: F.struct(F.get(flat, i).alias("a"), F.get(flat, i + 1).alias("b")))).otherwise(none)
+
+    def step(out, p):
+        last = F.get(out, F.size(out) - 1)
+        wider = F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], p["b"]).alias("b")))
+        return F.when((F.size(out) > 0) & (p["a"] <= last["b"] + 1), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), wider)).otherwise(F.concat(out, F.array(p)))
+
+    merged = F.aggregate(F.array_sort(F.flatten(F.transform(sets, pairs))), none, step)
+    return F.flatten(F.transform(merged, lambda x: F.array(x["a"], x["b"])))
+
+
 def _pattern_blocks(benchmark: DataFrame, n: int, most: int):
     """Reads the items one after the other and yields lists of pattern classes."""
     rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").toLocalIterator()
@@ -189,8 +206,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, n: int = WIND
             F.collect_set("runs").alias("runs"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
-        merge = F.udf(lambda sets: [x for s in merge_runs(p for f in sets for p in zip(f[::2], f[1::2])) for x in s], "array<bigint>")
-        out = merged.withColumn("runs", merge("runs")).withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows", "_")
+        out = merged.withColumn("runs", _merged_runs(F.col("runs"))).withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows", "_")
     size = F.expr("aggregate(transform(runs, (x, i) -> if(i % 2 = 1, x + 1, -x)), 0L, (s, x) -> s + x)")
     return out.withColumn("n_hit", size)
 

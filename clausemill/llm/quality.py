@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, fold, save, training_labels
+from .common import drop_saved, fold, one_a_document, save, training_labels
 from .words import LOWER, NON_SPACE, WordHasher, mix, text_blocks, texts_of, word_borders
 
 #: Bound of the sample of labelled rows that the model is fitted on.
@@ -170,6 +170,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     kind, the score is the constant share of label 1 (0.5 without any)."""
     train = training_labels(labels, label, most)
     rows = save(stats.join(F.broadcast(train), "doc_id"))  # at most `most` ids are broadcast
+    rows = one_a_document(rows, *STATS)
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         share = (ones / n) if n else 0.5

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, fold, save, training_labels
+from .common import drop_saved, fold, one_a_document, save, training_labels
 from .words import ALNUM, LOWER, WordHasher, hash_word, mix, text_blocks, word_borders
 
 #: Bound of the sample of labelled rows that voters and models are fitted on.
@@ -173,6 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", most: int
     train = training_labels(labels, label, most)
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = save(docs.join(F.broadcast(train), "doc_id").select("doc_id", "label", "text"))  # at most `most` ids are broadcast
+    rows = one_a_document(rows, "text")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     border = float(np.log(THRESHOLD / (1 - THRESHOLD)))
     if not n or ones in (0, n):

@@ -122,3 +122,16 @@ def test_statistics_are_those_of_a_plain_count(spark):
         }
         want["repeated_lines"] = want["repeated_lines"] if lines else 1.0
         assert {k: r[k] for k in want} == pytest.approx(want)
+
+
+def test_repeated_labelled_documents_count_once_in_training(spark):
+    from clausemill.llm.common import one_a_document, save
+
+    rows = save(spark.createDataFrame([(1, 1.0, "a")] * 50 + [(1, 1.0, "b"), (2, 0.0, None), (2, 0.0, None), (3, 0.0, "c")], "doc_id long, label double, text string"))
+    got = sorted((r.doc_id, r.label, r.text) for r in one_a_document(rows, "text").collect())
+    assert [g[:2] for g in got] == [(1, 1.0), (2, 0.0), (3, 0.0)] and got[0][2] in ("a", "b") and got[2][2] == "c"
+    single = save(spark.createDataFrame([(1, 1.0, "a"), (2, 0.0, "b")], "doc_id long, label double, text string"))
+    assert one_a_document(single, "text") is single
+    docs, labels, n = tiny(spark)
+    again = docs.unionByName(docs.filter("doc_id IN (2, 3)")).unionByName(docs.filter("doc_id = 4"))
+    assert quality.score_quality(again, labels).count() == n + 3 and toxicity.score_toxicity(again, labels).count() == n + 3

@@ -86,3 +86,11 @@ def test_whole_table_against_brute_force(spark):
     plain = [tuple(r) for r in items.select("item_id", "text").collect()]
     want = sorted((r.doc_id, *brute(r.text, plain)) for r in docs.select("doc_id", "text").collect())
     assert rows(D.contamination_report(docs, items)) == want and any(w[-1] for w in want)
+
+
+def test_runs_of_several_passes_are_merged(spark):
+    from clausemill.llm import decontaminate as D
+
+    sets = [[[0, 3, 10, 12], [4, 5], []], [[1, 9], [2, 3], [20, 20]], [[]], [], [[5, 6], [5, 6], [0, 1, 7, 8]]]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(sets)), "i int, s array<array<bigint>>").orderBy("i").select(D._merged_runs(D.F.col("s")).alias("x")).collect()]
+    assert got == [[x for run in D.merge_runs(p for f in s for p in zip(f[::2], f[1::2])) for x in run] for s in sets]
