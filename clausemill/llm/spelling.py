@@ -166,7 +166,8 @@ def near_words(words: DataFrame) -> DataFrame:
         wide = save(rows.join(sizes.filter("m > 1 AND any").select("grp", "weight"), "grp"))
         drop_saved(rows)
         free_shuffles(spark)
-        light = wide.filter(F.col("weight") <= WEIGHT).repartition("grp").sortWithinPartitions("grp")
+        # as many tasks as the session says: a trie takes far longer than its few bytes suggest
+        light = wide.filter(F.col("weight") <= WEIGHT).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp")
         found.append(save(light.select("grp", "floor", "skip", "word", "n", "lo", "hi").mapInArrow(_near, "word string, near string, near_n long")))
         rows = wide.filter(F.col("weight") > WEIGHT).drop("weight")
         if rows.isEmpty():
