@@ -9,6 +9,8 @@ A manifest beside the files gives each shard's number of ids and the ids before
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -22,8 +24,9 @@ from .common import bound_batches, scratch_dir
 from .words import LOWER, NON_SPACE, WordHasher, text_blocks, word_borders
 
 TOKENIZER = "word_bpe_49k.json"
+_KEPT = "_clausemill_encoders"
 END_ID = 1
-#: Slots of a task's table of words: 2^20 take 32 MB, for half a million words.  Once it is full it
+#: Slots of a worker's table of words: 2^20 take 32 MB, for half a million words.  Once it is full it
 #: stays as it is, and other words are encoded once in each piece where they occur; that changes no
 #: result.  Words of more bytes than REMEMBERED_BYTES aren't kept.
 SLOTS, REMEMBERED_BYTES = 1 << 20, 64
@@ -203,9 +206,18 @@ class WordEncoder:
             yield ids, ends
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which its later tasks use again with the words that it
+    remembers: some 40 MB, whose size never changes."""
+    kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _encoder(path: str, end_id: int):
     def run(batches):
-        encode, shard, total = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encode, shard, total = worker_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             lo = 0
             for ids, ends in encode(batch.column("text"), end_id):
