@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import finance as fin
 from ..operators import invariants as iv
 from ..operators import retrieval as rt
-from ..sources.readers import read_table
 from .registry import query
 from .retrieval_queries import INDEX_SQL, chunk_table, scored
 from .review_queries import EXPOSURES_SQL, GROUND_SQL, exposures, grounded

@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators; each stage gets what its predecessor kept."""
+"""A corpus pipeline of five operators; each stage gets what its predecessor kept.
+
+All but the last stage return rows of ``documents`` as they came, with all their columns, whatever
+these are called.  Rows with null ids, and null, empty or very long texts, are judged like others;
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +15,18 @@ from clausemill.llm.queries import labelled_domains
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null texts are judged as empty ones."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id; of repeated
+    rows one.  Documents without a word stay."""
     return jaccard_join.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; a document without a word holds none."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -31,7 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids are written in order of doc_id; returns their digest, read back."""
+    """Token ids are written in order of doc_id, null ids first; returns their digest, read back.  A
+    text that is null or empty has the end id alone."""
     return token_output.encode_and_digest(docs)
 
 
