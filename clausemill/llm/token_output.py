@@ -276,6 +276,7 @@ def _with_start(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 
 def _crc32(batches):
+    sys.modules.pop(_KEPT, None)  # ids are written; a worker that reads them back needs no encoder any more
     for batch in batches:
         tokens = batch.column("tokens")
         values = np.asarray(tokens.values).astype("<u4", copy=False)
