@@ -62,11 +62,15 @@ def nonzero(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(0.0))
 
 
-def best_exposure(exposures: DataFrame, by: list[str]) -> DataFrame:
-    """(by, e): one exposure of each ``by``, the largest by (high, base, type); 0 counts as missing."""
-    order = F.struct(F.coalesce(nonzero("high"), nonzero("base"), F.col("nominal"), F.lit(0.0)).alias("h"), F.coalesce(nonzero("base"), F.col("nominal"), F.lit(0.0)).alias("b"), F.col("exposure_type").alias("t"))
-    picked = F.max_by(F.struct("exposure_type", "low", "base", "high", "nominal", "user_input_required", "flags"), order).alias("e")
-    return exposures.groupBy(*by).agg(picked)
+def exposure_order(of: str = "") -> Column:
+    """Exposures by (high, base, type); 0 counts as missing."""
+    high, base, nominal = nonzero(f"{of}high"), nonzero(f"{of}base"), F.col(f"{of}nominal")
+    return F.struct(F.coalesce(high, base, nominal, F.lit(0.0)).alias("h"), F.coalesce(base, nominal, F.lit(0.0)).alias("b"), F.col(f"{of}exposure_type").alias("t"))
+
+
+def best_exposure() -> Column:
+    """The largest exposure of a group."""
+    return F.max_by(F.struct("exposure_type", "low", "base", "high", "nominal", "user_input_required", "flags"), exposure_order())
 
 
 def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy: str = "exposure_aware", gate: str = "enforced") -> DataFrame:
@@ -77,12 +81,15 @@ def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy:
     enforced or bypass."""
     module, kind = literal_map(MODULE_OF)[F.col("category")], literal_map(TYPE_OF)[F.col("category")]
     s = signals.withColumns({"fim_module": module, "expected_type": kind})
-    exact = best_exposure(exposures, [key, "fim_module", "exposure_type"]).withColumnsRenamed({key: "_k", "fim_module": "_m", "exposure_type": "_t", "e": "_exact"})
-    any_type = best_exposure(exposures, [key, "fim_module"]).withColumnsRenamed({key: "_k2", "fim_module": "_m2", "e": "_any"})
-    s = s.join(exact, F.col(key).eqNullSafe(F.col("_k")) & (F.col("fim_module") == F.col("_m")) & (F.col("expected_type") == F.col("_t")), "left")
-    s = s.join(any_type, F.col(key).eqNullSafe(F.col("_k2")) & (F.col("fim_module") == F.col("_m2")) & F.col("expected_type").isNotNull(), "left")
-    s = s.withColumn("_e", F.coalesce("_exact", "_any")).withColumn("has_exposure", F.when(F.col("_e").isNotNull(), True))
-    s = s.select("*", "_e.*").drop("_k", "_m", "_t", "_exact", "_k2", "_m2", "_any", "_e")
+    # a row for each module of a document, with its largest exposure and that of each type; merged, as
+    # exposures that a generator made count as few with Spark, which would send them through the driver
+    of_type = exposures.groupBy(key, "fim_module", "exposure_type").agg(best_exposure().alias("e"))
+    typed = F.map_from_entries(F.collect_list(F.when(F.col("exposure_type").isNotNull(), F.struct("exposure_type", "e"))))
+    module_of = of_type.groupBy(key, "fim_module").agg(typed.alias("_exact"), F.max_by("e", exposure_order("e.")).alias("_any")).withColumnsRenamed({key: "_k", "fim_module": "_m"})
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("fim_module") == F.col("_m")) & F.col("expected_type").isNotNull()
+    s = s.join(module_of.hint("merge"), same, "left")
+    s = s.withColumn("_e", F.coalesce(F.try_element_at("_exact", F.col("expected_type")), "_any")).withColumn("has_exposure", F.when(F.col("_e").isNotNull(), True))
+    s = s.select("*", "_e.*").drop("_k", "_m", "_exact", "_any", "_e")
     scored = F.lit(True) if gate == "bypass" else F.col("contribution") > 0
     unbounded = F.exists(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.isin("uncapped", "unbounded") | f.endswith(":uncapped"))
     whole = F.col("low").isNotNull() & F.col("base").isNotNull() & F.col("high").isNotNull()

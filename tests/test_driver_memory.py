@@ -12,3 +12,9 @@ def test_segments_broadcast_nothing(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     df.collect()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rank_exposure_aware", "rank_severity_baseline", "ablation_four_arms"])
+def test_exposures_are_not_broadcast(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
