@@ -56,7 +56,7 @@ u AS (SELECT query_id, chunk_id, CASE WHEN tier LIKE 'A%' THEN 'grounding' ELSE
 SELECT query_id, chunk_id, 'tag_missing' AS violation FROM u WHERE vs = ' ' UNION ALL SELECT query_id, chunk_id, 'explanation_scores' FROM u WHERE use_ = 'explanation' AND se
 """)
 def authority_tag_violations(spark, sf):
-    hits = rt.top_k(scored(spark, sf).join(chunk_table(spark, sf), "chunk_id"), 5)
+    hits = rt.top_k(scored(spark, sf, chunk_table(spark, sf).select("chunk_id", "authority_tier", "canonical_id")), 5)
     official = F.col("authority_tier").startswith("A")
     rows = hits.select(
         F.struct("query_id", "chunk_id").alias("row"), F.when(official, "grounding").otherwise("explanation").alias("use"), F.col("canonical_id").alias("source_id"), "authority_tier",
@@ -84,6 +84,6 @@ SELECT query_id, target AS canonical_id, count(tp.chunk_id) FILTER (source = tar
 def koen_caveats(spark, sf):
     """Of each query's best two sources on either side: whether all hits of the target have their
     caveat (every third chunk lacks it), and whether an English hit isn't marked as a translation."""
-    hits = scored(spark, sf).join(chunk_table(spark, sf).select("chunk_id", (F.col("lang") == "en").alias("en"), "canonical_id"), "chunk_id")
+    hits = scored(spark, sf, chunk_table(spark, sf).select("chunk_id", (F.col("lang") == "en").alias("en"), "canonical_id"))
     rows = hits.withColumns({"caveat": F.when(F.col("chunk_id") % 3 != 0, "not equivalent").otherwise(" "), "translated": F.col("chunk_id") % 4 == 0})
     return rt.caveat_coverage(rows, 2)
