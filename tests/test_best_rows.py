@@ -38,3 +38,12 @@ def test_scores_are_cut_into_whole_chunks(spark, tmp_path, monkeypatch):
     some = chunks.filter("chunk_id % 3 = 0").select("chunk_id", F.lit("x").alias("tag"))
     joined = [tuple(r) for r in rt.bm25(index, queries, chunks=some).select("query_id", "chunk_id", "score", "matched").collect()]
     assert sorted(joined) == [r for r in want if r[1] % 3 == 0]
+
+
+def test_queries_without_known_terms_and_repeated_chunks(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, ""), (1, "fee due"), (2, None), (3, "fee")], "chunk_id int, text string")
+    rt.save_index(chunks, f"file://{tmp_path}/i")
+    index = rt.load_index(spark, f"file://{tmp_path}/i")
+    assert sorted((r.chunk_id, r.term, r.tf, r.length) for r in index.postings.collect()) == [(1, "due", 1, 2), (1, "fee", 1, 2), (3, "fee", 1, 1)]
+    unknown = spark.createDataFrame([("q1", "nothing known"), ("q2", None)], "query_id string, text string")
+    assert rt.bm25(index, unknown).collect() == []
