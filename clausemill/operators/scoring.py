@@ -73,12 +73,10 @@ def best_exposure() -> Column:
     return F.max_by(F.struct("exposure_type", "low", "base", "high", "nominal", "user_input_required", "flags"), exposure_order())
 
 
-def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy: str = "exposure_aware", gate: str = "enforced") -> DataFrame:
-    """Ranks a document's signals (key, clause_id, signal_id, category, severity, confidence,
-    contribution) by the ladder unbounded, quantified, to verify, qualitative, unverified; amounts
-    are compared inside a type alone.  A signal's exposure is that of its module and type, or else
-    the largest of its module, if its category has a type at all.  ``policy``: exposure_aware or severity_baseline; ``gate``:
-    enforced or bypass."""
+def matched_findings(signals: DataFrame, exposures: DataFrame, key: str) -> DataFrame:
+    """Signals (key, clause_id, signal_id, category, severity, confidence, contribution) with their
+    exposure, its quantification and amount.  A signal's exposure is that of its module and type, or else
+    the largest of its module, if its category has a type at all."""
     module, kind = literal_map(MODULE_OF)[F.col("category")], literal_map(TYPE_OF)[F.col("category")]
     s = signals.withColumns({"fim_module": module, "expected_type": kind})
     # a row for each module of a document, with its largest exposure and that of each type; merged, as
@@ -90,27 +88,50 @@ def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy:
     s = s.join(module_of.hint("merge"), same, "left")
     s = s.withColumn("_e", F.coalesce(F.try_element_at("_exact", F.col("expected_type")), "_any")).withColumn("has_exposure", F.when(F.col("_e").isNotNull(), True))
     s = s.select("*", "_e.*").drop("_k", "_m", "_exact", "_any", "_e")
-    scored = F.lit(True) if gate == "bypass" else F.col("contribution") > 0
     unbounded = F.exists(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.isin("uncapped", "unbounded") | f.endswith(":uncapped"))
     whole = F.col("low").isNotNull() & F.col("base").isNotNull() & F.col("high").isNotNull()
     status = (
         F.when(F.col("expected_type").isNull(), "not_applicable").when(F.col("has_exposure").isNull(), "input_required").when(unbounded, "unbounded")
         .when(whole & ~F.col("user_input_required"), "quantified").when(F.col("nominal").isNotNull(), "partially_bounded").when(F.col("user_input_required"), "input_required").otherwise("not_applicable")
     )
-    s = s.withColumn("scored", scored).withColumn("quantification", status)
-    basis = (
-        F.when(~F.col("scored"), "unverified_candidate").when(F.col("quantification") == "unbounded", "uncapped_or_unbounded").when(F.col("exposure_type") == "present_value_loss", "present_value_timing")
+    amount = F.when(F.col("quantification") == "quantified", F.coalesce(nonzero("high"), nonzero("base"), F.col("low"))).when(F.col("quantification") == "partially_bounded", F.col("nominal"))
+    return s.withColumn("quantification", status).withColumn("amount", amount)
+
+
+def _basis(gate: str) -> Column:
+    """Why a matched finding stands where it does; ``gate``: enforced or bypass."""
+    scored = F.lit(True) if gate == "bypass" else F.col("contribution") > 0
+    return (
+        F.when(~scored, "unverified_candidate").when(F.col("quantification") == "unbounded", "uncapped_or_unbounded").when(F.col("exposure_type") == "present_value_loss", "present_value_timing")
         .when(F.col("quantification").isin("quantified", "partially_bounded"), "quantified_exposure").when(F.col("category").isin("F1", "F9"), "counterparty_verification").otherwise("grounded_qualitative_signal")
     )
-    amount = F.when(F.col("quantification") == "quantified", F.coalesce(nonzero("high"), nonzero("base"), F.col("low"))).when(F.col("quantification") == "partially_bounded", F.col("nominal"))
-    s = s.withColumn("basis", basis).withColumn("amount", amount)
-    class_order = literal_map({"uncapped_or_unbounded": 0, "quantified_exposure": 10, "present_value_timing": 10, "counterparty_verification": 20, "grounded_qualitative_signal": 30, "unverified_candidate": 40})[F.col("basis")]
+
+
+def _rank(key: str, policy: str, basis: str) -> Column:
+    """The rank of matched findings by ``policy``, their basis being in a column."""
+    class_order = literal_map({"uncapped_or_unbounded": 0, "quantified_exposure": 10, "present_value_timing": 10, "counterparty_verification": 20, "grounded_qualitative_signal": 30, "unverified_candidate": 40})[F.col(basis)]
     status_order = literal_map({"quantified": 0, "partially_bounded": 1, "unbounded": 0, "input_required": 2, "not_applicable": 3})[F.col("quantification")]
     type_order = F.coalesce(literal_map(TYPE_ORDER)[F.col("expected_type")], F.lit(len(TYPE_ORDER)))
     by_exposure = [class_order, status_order, type_order, F.coalesce(nonzero("amount"), F.col("nominal"), F.lit(0.0)).desc(), F.col("severity").desc(), "signal_id", "clause_id"]
     by_severity = [(F.col("severity") * F.col("confidence")).desc(), "signal_id", "clause_id"]
-    w = Window.partitionBy(key).orderBy(*(by_exposure if policy == "exposure_aware" else by_severity))
-    return s.select(key, "clause_id", "signal_id", "category", "basis", "quantification", F.round("amount", 2).alias("amount"), F.row_number().over(w).alias("rank"))
+    return F.row_number().over(Window.partitionBy(key).orderBy(*(by_exposure if policy == "exposure_aware" else by_severity)))
+
+
+def rank_findings(signals: DataFrame, exposures: DataFrame, key: str, *, policy: str = "exposure_aware", gate: str = "enforced") -> DataFrame:
+    """Ranks a document's signals, matched with exposures, by the ladder unbounded, quantified, to
+    verify, qualitative, unverified; amounts are compared inside a type alone.  ``policy``:
+    exposure_aware or severity_baseline; ``gate``: enforced or bypass."""
+    s = matched_findings(signals, exposures, key).withColumn("basis", _basis(gate))
+    return s.select(key, "clause_id", "signal_id", "category", "basis", "quantification", F.round("amount", 2).alias("amount"), _rank(key, policy, "basis").alias("rank"))
+
+
+def rank_arms(signals: DataFrame, exposures: DataFrame, key: str, arms: list[tuple[str, str]]) -> DataFrame:
+    """(arm, key, clause_id, signal_id, basis, rank) of ``rank_findings`` for each arm (policy, gate).
+    Signals are matched once, and all arms are ranked where a document's signals lie."""
+    s = matched_findings(signals, exposures, key).withColumns({f"_{g}": _basis(g) for g in {g for _, g in arms}})
+    s = s.select(key, "clause_id", "signal_id", *(f"_{g}" for g in sorted({g for _, g in arms})), *(_rank(key, p, f"_{g}").alias(f"_r{i}") for i, (p, g) in enumerate(arms)))
+    each = F.array(*(F.struct(F.lit(f"{p}/{g}").alias("arm"), F.col(f"_{g}").alias("basis"), F.col(f"_r{i}").alias("rank")) for i, (p, g) in enumerate(arms)))
+    return s.select(key, "clause_id", "signal_id", F.inline(each))
 
 
 def review_minutes(pages: Column, corrections: Column, flagged: Column, missing: Column) -> Column:

@@ -18,3 +18,8 @@ def test_segments_broadcast_nothing(spark, name):
 def test_exposures_are_not_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_arms_match_signals_once(spark):
+    plan = catalog.QUERIES["ablation_four_arms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x for x in plan.splitlines()) == 4  # orders, lines, parts, customers
