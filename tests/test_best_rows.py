@@ -47,3 +47,24 @@ def test_queries_without_known_terms_and_repeated_chunks(spark, tmp_path):
     assert sorted((r.chunk_id, r.term, r.tf, r.length) for r in index.postings.collect()) == [(1, "due", 1, 2), (1, "fee", 1, 2), (3, "fee", 1, 1)]
     unknown = spark.createDataFrame([("q1", "nothing known"), ("q2", None)], "query_id string, text string")
     assert rt.bm25(index, unknown).collect() == []
+
+
+def test_products_block_by_block_find_the_nearest(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(-40, 41) / 80 for _ in range(6)]) for i in range(900)]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]  # one large group of copies
+    rows += [(2000, None), (2001, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (2002, [1.0]), (2050, None), (None, rows[0][1])]
+    rows += [(2100 + i, [0.00005, 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(2200, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0])]  # halves
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("e"))
+    pairs = asked.join(df, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(rt.dot(F.col("e"), F.col("embedding")), 4).alias("score"))
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r.qid, []).append((r.score is None, -(r.score or 0.0), r.vec_id, r.score))
+    want = sorted((q, v, s, k + 1) for q, all_ in want.items() for k, (_, _, v, s) in enumerate(sorted(all_, key=lambda x: x[:3])[:5]))
+    for vectors, queries, held in ((1 << 13, 1 << 12, 1 << 22), (100, 7, 1000)):
+        monkeypatch.setattr(rt, "VECTOR_BLOCK", vectors)
+        monkeypatch.setattr(rt, "QUERY_BLOCK", queries)
+        monkeypatch.setattr(rt, "PAIRS_AT_ONCE", held)
+        got = rt.nearest_by_product(df, asked, 5)
+        assert sorted((r.qid, r.vec_id, r.score, r.rank) for r in got.collect()) == want
