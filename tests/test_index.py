@@ -94,3 +94,26 @@ def test_a_build_that_fails_leaves_the_old_index(spark, path):
 def test_empty_corpus(spark, tmp_path):
     index = rt.load_or_build(chunks_of(spark, []), f"file://{tmp_path}/index")
     assert (index.n_docs, index.avg_length, index.postings.count()) == (0, 0.0, 0)
+
+
+def test_chunks_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(1, []), (1, ["b", "a", "b"]), (2, []), (3, ["a"]), (3, ["c", "a"]), (3, ["a"]), (None, ["x"]), (None, ["y", "x"])]
+    want = [(1, 3, ["b", "a"], [2, 1]), (3, 1, ["a", "c"], [3, 1]), (None, 1, ["x", "y"], [2, 1])]
+    for most, size in ((1 << 20, 8), (1, 8), (2, 3), (1, 1)):
+        monkeypatch.setattr(rt, "AT_ONCE", most)
+        cut = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.int64(), pa.list_(pa.string())))], ["chunk_id", "words"]) for i in range(0, len(rows), size)]
+        got = list(rt._counted(pa.int64())(iter(cut)))
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+    assert max(map(len, got)) == 1  # no more words at once than asked for
+
+
+def test_only_texts_with_hangul_are_looked_through_word_by_word(spark):
+    from pyspark.sql import functions as F
+
+    from clausemill.functions import text as tx
+
+    df = spark.createDataFrame([("A fee",), ("fee 정산내 fee",), ("",), (None,)], "text string").select(tx.tokens(F.col("text")).alias("w"))
+    assert [r.w for r in df.collect()] == [["a", "fee"], ["fee", "정산내", "정산", "산내", "정산내", "fee"], [], []]
+    assert "CASE WHEN" in df._jdf.queryExecution().analyzed().toString().split("transform(")[0]
