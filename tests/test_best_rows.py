@@ -68,3 +68,36 @@ def test_products_block_by_block_find_the_nearest(spark, monkeypatch):
         monkeypatch.setattr(rt, "PAIRS_AT_ONCE", held)
         got = rt.nearest_by_product(df, asked, 5)
         assert sorted((r.qid, r.vec_id, r.score, r.rank) for r in got.collect()) == want
+
+
+def test_siblings_are_ranked_in_parts(spark):
+    rng = random.Random(11)
+    tiers = ["A0", "A1", "B", "C", "?", None]
+    rows = [(f"q{q}", i, rng.randrange(60) / 8 if i % 3 else 2.5, rng.choice(tiers), rng.choice(["", "g1", "g2", "g3", None]), 1) for q in range(5) for i in range(q * q * 100)]
+    scored = spark.createDataFrame(rows, "query_id string, chunk_id long, score double, authority_tier string, conflict_group string, matched int").repartition(3)
+    order = {t: n for n, t in enumerate(["A0", "A1", "A2", "B", "C"])}
+    want = set()
+    for q in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], order.get(r[3], 99), r[1]))
+        groups = {r[4] for r in ranked[:3]} - {"", None}
+        want |= {(q, r[1], r[4], r[2], n + 1) for n, r in enumerate(ranked) if n < 3 or r[4] in groups}
+    for sample in (scored.filter("chunk_id % 7 = 3"), scored.filter("chunk_id % 100 = 1"), scored.limit(0)):
+        for few in (True, False):
+            got = rt.with_conflict_siblings(scored, 3, sample, few).cache()
+            assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    parts = rt.in_parts(scored, scored.filter("chunk_id % 7 = 3")).groupBy("query_id", "_part").count().agg(F.max("count")).first()[0]
+    assert parts < 150  # equal scores are parted too: no task sorts a query's whole ranking
+
+
+def test_texts_that_hold_items(spark, monkeypatch):
+    items = spark.createDataFrame([("q1", "x one two three y"), ("q2", "a one two three b c"), ("q3", "too short"), ("q4", "a b  c\td e"), ("q5", None)], "query_id string, item string")
+    texts = [(1, "an x one two three yes"), (2, "x one two three"), (3, None), (4, " zza one\x0btwo three b c"), (5, "a one two three b c and x one two three y"), (6, "ga b  c\td end"), (7, "a b c d e"), (8, ""), (9, "one two")]
+    chunks = spark.createDataFrame(texts, "chunk_id int, text string").repartition(2)
+    want = sorted((q, c) for q, i in (("q1", "x one two three y"), ("q2", "a one two three b c"), ("q4", "a b  c\td e")) for c, t in texts if t and i in t)
+    for small, once_ in ((1 << 18, 1 << 20), (1 << 18, 1), (1, 1)):
+        monkeypatch.setattr(rt, "SMALL", small)
+        monkeypatch.setattr(rt, "AT_ONCE", once_)
+        got = rt.holding(chunks, items)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert small == 1 or "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each run of words
+    assert rt.holding(chunks, items.filter("query_id = 'q3'")).collect() == []
