@@ -7,8 +7,8 @@ neighbours and a bounded number of reverse neighbours meet, and each learns of t
 that are nearer than its worst, until hardly a neighbour changes.  A query starts from its
 node's neighbours and goes on greedily to neighbours of the best found, until it has gone on
 from all of its best.  Descent can settle short of the nearest, and the more the larger the
-table.  So a bounded sample of queries is compared with all nodes, and queries meet the leaves
-of further trees until the sample's recall is TARGET, or until BATCHES batches of trees are
+table.  So a bounded sample of queries is compared with all nodes, and queries visit the leaves
+nearest to them of further trees until the sample's recall is TARGET, or until BATCHES batches of trees are
 spent; the recall that was measured is a column of the result.  Recall counts scores, not ids:
 whatever is as near as the last of the true nearest is found.  Results are scored anew in double
 precision.
@@ -35,6 +35,8 @@ CHANGED, BEAM = 0.01, 40
 TARGET, SAMPLE = 0.95, 200
 #: Most batches of further trees, and how much nearer (in relation) single precision may put a node.
 BATCHES, ROUNDING = 16, 1e-5
+#: Leaves of a further tree that a query visits, and planes near it that it may cross to them.
+PROBES, NEAR_PLANES = 16, 6
 SEED = 11
 
 
@@ -56,7 +58,7 @@ def _pack(batches):
 
 def _matrix(column) -> np.ndarray:
     rows = column if isinstance(column, list) else column.to_pylist()
-    return np.stack([np.frombuffer(r, np.float32) for r in rows])
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
 
 
 def _leaves(planes: list[tuple[np.ndarray, np.ndarray]], most: int):
@@ -75,6 +77,29 @@ def _leaves(planes: list[tuple[np.ndarray, np.ndarray]], most: int):
     return run
 
 
+def _visits(planes: list[tuple[np.ndarray, np.ndarray]], probes: int):
+    """A query's leaf in each tree, and those nearest to it beyond the hyperplanes that it lies closest to."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column("x"))
+            for t, (normal, middle) in enumerate(planes):
+                margin = m @ normal - middle
+                bits = 1 << np.arange(normal.shape[1])
+                near = np.argsort(np.abs(margin), axis=1)[:, :NEAR_PLANES]
+                # which of the nearest planes are crossed, in all ways
+                ways = (np.arange(1 << near.shape[1])[:, None] >> np.arange(near.shape[1])) & 1
+                cost, flips = np.take_along_axis(margin**2, near, 1) @ ways.T, bits[near] @ ways.T
+                cheap = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+                leaves = ((margin > 0) @ bits)[:, None] ^ np.take_along_axis(flips, cheap, 1)
+                rows = batch.take(pa.array(np.repeat(np.arange(len(m)), leaves.shape[1])))
+                yield rows.append_column("tree", pa.array(np.full(rows.num_rows, t, np.int32))).append_column("leaf", pa.array(leaves.ravel().astype(np.int64)))
+
+    return run
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int):
     """The k best, of repeated ids one."""
     order = np.lexsort((ids, -scores))
@@ -121,6 +146,28 @@ def _leaf_join(k: int):
     return run
 
 
+def _visit_join(k: int):
+    """The k best nodes of a leaf for each query that visits it, of those nearer than its worst."""
+
+    def run(batches):
+        for nodes, xs, worst in _groups(batches, ["tree", "leaf", "part"], ["node", "x", "worst"]):
+            m, ids = _matrix(xs), np.array(nodes)
+            of = np.array([w is not None for w in worst])
+            if not of.any() or of.all():
+                continue
+            s, own = m[of] @ m[~of].T, ids[~of]
+            better = (s > np.array([w for w in worst if w is not None], np.float32)[:, None]) & (own != ids[of][:, None])
+            out = []
+            for r in np.flatnonzero(better.any(1)):
+                n = np.flatnonzero(better[r])
+                if len(n) > k:
+                    n = n[np.argpartition(-s[r, n], k - 1)[:k]]
+                out.append((int(ids[of][r]), own[n].tolist(), s[r, n].tolist()))
+            yield _lists(out)
+
+    return run
+
+
 def _merge(k: int):
     """The best k of all lists of a node, best first, and how many of them it didn't know."""
 
@@ -173,9 +220,8 @@ def _worst(k: int):
     return F.when(F.size("scores") >= k, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float")
 
 
-def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: int = 0) -> DataFrame:
-    """(node, ids, scores), saved: near nodes in the leaves of a batch of random trees, of the
-    nodes of (node, x, asked) that are asked for."""
+def _planes(nodes: DataFrame, n: int, trees: int, leaf: int, batch: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The hyperplanes of each tree of a batch."""
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     rng = np.random.default_rng([SEED, batch])
     # a bounded sample places the hyperplanes; it affects balance alone
@@ -185,6 +231,13 @@ def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: i
     for _ in range(trees if bits else 1):
         normal = rng.standard_normal((m.shape[1], bits)).astype(np.float32)
         planes.append((normal, np.median(m @ normal, axis=0)))
+    return planes
+
+
+def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: int = 0) -> DataFrame:
+    """(node, ids, scores), saved: near nodes in the leaves of a batch of random trees, of the
+    nodes of (node, x, asked) that are asked for."""
+    planes = _planes(nodes, n, trees, leaf, batch)
     dealt = nodes.select("node", "x", "asked").mapInArrow(_leaves(planes, leaf), "node long, x binary, asked boolean, tree int, leaf long")
     dealt = save(dealt)
     # Spark broadcasts the sizes, trees * 2^bits rows, where they are small enough
@@ -196,6 +249,23 @@ def tree_lists(nodes: DataFrame, n: int, k: int, trees: int, leaf: int, batch: i
     return lists
 
 
+def visit_lists(nodes: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf: int, batch: int, probes: int = PROBES) -> DataFrame:
+    """(node, ids, scores), saved: for queries (q, x, worst) the nodes nearer than their worst in the
+    ``probes`` leaves of each tree of a batch that they lie nearest to."""
+    planes = _planes(nodes, n, trees, leaf, batch)
+    dealt = save(nodes.select("node", "x").mapInArrow(_leaves(planes, leaf), "node long, x binary, tree int, leaf long"))
+    visits = queries.select(F.col("q").alias("node"), "x", "worst").mapInArrow(_visits(planes, probes), "node long, x binary, worst float, tree int, leaf long")
+    # Spark broadcasts the sizes, trees * 2^bits rows, where they are small enough
+    sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))
+    both = dealt.withColumn("worst", F.lit(None).cast("float")).unionByName(visits).join(sizes, ["tree", "leaf"])
+    # nodes and visits of a crowded leaf are dealt over its parts
+    key = ["tree", "leaf", "part"]
+    both = both.withColumn("part", F.pmod(F.xxhash64("node", "tree", "leaf"), F.col("parts")).cast("int")).select(*key, "node", "x", "worst")
+    lists = save(both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_visit_join(k), _LISTS))
+    drop_saved(dealt)
+    return lists
+
+
 def build_graph(nodes: DataFrame, n: int, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF, changed: float = CHANGED) -> DataFrame:
     """(node, ids, scores, fresh) of (node, x): k near nodes each, best first."""
     lists = tree_lists(nodes.withColumn("asked", F.lit(True)), n, k, trees, leaf)
@@ -291,14 +361,16 @@ def measured_recall(found: DataFrame, truth: DataFrame) -> float:
 def complete(found: DataFrame, nodes: DataFrame, n: int, queries: DataFrame, k: int, trees: int, leaf: int, keep: int, target: float = TARGET, batches: int = BATCHES) -> tuple[DataFrame, float]:
     """``found`` and what queries find in the leaves of further trees, until ``target`` of the
     sample's nearest are found or ``batches`` batches are spent, and the recall reached.  Each batch
-    of trees is drawn anew, so that each finds a share of what is missing."""
+    of trees is drawn anew, so that each finds a share of what is missing.  A query visits PROBES leaves
+    of a tree, so that nodes, which are many more, are dealt to few trees."""
     truth = true_nearest(nodes, queries, k)
     found, batch = save(found), 0
-    asked = nodes.join(queries.select(F.col("q").alias("node"), F.lit(True).alias("asked")), "node", "left").select("node", "x", F.coalesce("asked", F.lit(False)).alias("asked"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "node")
     while (recall := measured_recall(found, truth)) < target and batch < batches:
         batch += 1
-        lists = tree_lists(asked, n, k + 4, trees, leaf, batch)
+        last = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") == k).select("q", F.col("score").alias("worst"))
+        asked = queries.join(last, "q", "left").select("q", "x", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
+        lists = visit_lists(nodes, n, asked, k + 4, trees, leaf, batch)
         more = lists.select(F.col("node").alias("q"), F.inline(F.arrays_zip("ids", "scores"))).toDF("q", "node", "score")
         every = found.unionByName(more).groupBy("q", "node").agg(F.max("score").alias("score"))
         new = save(every.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= keep).drop("rn"))

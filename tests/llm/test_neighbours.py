@@ -92,3 +92,15 @@ def test_loop_ends_without_reaching_its_target(spark, monkeypatch):
     queries = nodes.filter("node % 20 = 0").select(N.F.col("node").alias("q"), "x")
     found, recall = N.complete(queries.selectExpr("q", "q AS node", "float(-1) AS score"), nodes, 500, queries, 20, 2, 100, 64, target=1.1, batches=2)
     assert 0.2 < recall <= 1 and found.count() > 0
+
+
+def test_one_batch_of_trees_finds_most_without_a_graph(spark):
+    """Isotropic vectors, of which hardly any near ones share a leaf; a query visits several leaves."""
+    x = np.random.default_rng(5).standard_normal((6_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, v array<double>")
+    nodes = N.save(df.mapInArrow(N._pack, "node long, v array<double>, x binary"))
+    queries = nodes.filter("node % 20 = 0").select(N.F.col("node").alias("q"), "x")
+    found, recall = N.complete(queries.selectExpr("q", "q AS node", "float(-1) AS score"), nodes, 6_000, queries, 20, 8, 100, 64, batches=1)
+    assert recall >= 0.9
+    assert found.groupBy("q", "node").count().filter("count > 1").isEmpty()
