@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from clausemill.operators import extract as ex
 from clausemill.operators import segment as sg
@@ -49,3 +50,17 @@ def test_clause_markers(spark):
     lines = {"제 3 조 (정산)": "article", "Section 4.2 Fees": "article", "article 1": "article", "Section Income of the author": None, "Clause Various": None, "Section View": None, "(a) one": "subclause", "③ 셋": "subclause", "1.2) x": "subclause", "a sentence": None}
     rows = spark.createDataFrame(list(lines.items()), "text string, want string")
     assert {r.text: r.m for r in rows.select("text", sg.marker(rows.text).alias("m")).collect()} == lines
+
+
+def test_spans_are_split_at_a_mark_and_texts_may_hold_it(spark):
+    """``split`` compiles a pattern for each text; a mark is split at without one."""
+    import re
+
+    from clausemill.functions.text import match_spans
+
+    texts = ["7 days", "x 12 y 3", "no", "\x01 4\x01", "a\x015 6", "8", "억 9 원"]
+    spans = match_spans(F.col("t"), "[0-9]+", F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.alias("s"))
+    for r in df.collect():
+        assert [(m.start, m.end, m.value) for m in r.s] == [(*m.span(), m.group()) for m in re.finditer("[0-9]+", r.t)]
+    assert "regexp_replace" in df._jdf.queryExecution().analyzed().toString()
